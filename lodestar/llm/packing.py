@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -35,19 +36,44 @@ PIECE = T.StructType(
 RUN = "length long, first_rank long, per_sequence long, n long, first_sequence long, first_offset long"
 
 
+#: The tokenizer's own split of lower-case words of printable ASCII.
+ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+class Cache:
+    """A dictionary in two generations: what was not used since the last change of generation goes."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """The keys that are not there, each once; the others are young afterwards."""
+        young, old = self.young, self.old
+        if len(young) > self.most:
+            self.old, self.young = old, young = young, {}
+        absent = {k for k in keys if k not in young}
+        for k in absent & old.keys():
+            young[k] = old[k]
+        return list(absent - old.keys())
+
+
 class Tokens:
     """Token ids of texts as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are
-    its words' ids one after the other; words are looked up in a bounded cache.
+    its words' ids one after the other.  Words are looked up in a bounded cache; a
+    new word is normalized and split by the tokenizer's own rules, and its parts,
+    which repeat far more often, are looked up in another.
     """
 
-    def __init__(self, path: str, end_id: int, words: int = 400_000):
+    def __init__(self, path: str, end_id: int, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end, self.words, self.cache = end_id.to_bytes(4, "little"), words, {}
+        self.model, self.normalizer, self.splitter = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.end, self.words, self.parts = end_id.to_bytes(4, "little"), Cache(most), Cache(most)
 
     def _split(self, text: str) -> list[str]:
         # str.split also splits at these four, which the tokenizer need not do
@@ -55,14 +81,28 @@ class Tokens:
             return [text]
         return text.split()
 
+    def _ids(self, ids: Iterable[int]) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in ids])
+
+    def _learn(self, words: list[str]) -> None:
+        split = {}
+        for w in words:
+            if "<|" in w and any(x in w for x in self.special):
+                self.words.young[w] = self._ids(self.tokenizer.encode(w, add_special_tokens=False).ids)
+            elif w.isascii() and w.isprintable():  # what the tokenizer's rules come to for such words
+                split[w] = (w.lower(),) if w.isalpha() else ASCII_PARTS.findall(w.lower())
+            else:
+                split[w] = [x for x, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(w))]
+        for x in self.parts.missing(x for xs in split.values() for x in xs):
+            self.parts.young[x] = self._ids([t.id for t in self.model.tokenize(x)])
+        known = self.parts.young
+        for w, xs in split.items():
+            self.words.young[w] = b"".join([known[x] for x in xs])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._split(t) for t in texts]
-        if len(self.cache) > self.words:
-            self.cache.clear()
-        missing = list({w for words in split for w in words if w not in self.cache})
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.cache[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-        return [b"".join(map(self.cache.__getitem__, words)) + self.end for words in split]
+        self._learn(self.words.missing(w for words in split for w in words))
+        return [b"".join(map(self.words.young.__getitem__, words)) + self.end for words in split]
 
 
 @lru_cache(maxsize=2)
