@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint_index, jaccard_join, langid, mixing, packing
+from . import fingerprint_index, jaccard_join, langid, mixing, packing, suffix_array
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.dedup(_documents(spark, sf_dir))
+
+
 def incremental_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_index.dedup(_documents(spark, sf_dir))
 
@@ -74,6 +78,7 @@ FROM curve
 QUERIES = {
     "op1_best_fit_packing": best_fit_packing,
     "op5_curriculum_mixing": curriculum_mixing,
+    "op7_suffix_array_dedup": suffix_array_dedup,
     "op8_incremental_substring_dedup": incremental_substring_dedup,
     "op9_ngram_jaccard_join": ngram_jaccard_join,
     "op10_language_id": language_id,
