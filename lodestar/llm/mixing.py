@@ -127,3 +127,20 @@ def _even(schedule: Sequence[float], n: int) -> list[float]:
 def training_order(mixed: DataFrame) -> DataFrame:
     """One row for each take, range-sorted by position: the order of training."""
     return mixed.select("doc_id", "source", F.explode("takes").alias("take")).select("doc_id", "source", "take.*").orderBy("position", "doc_id", "pass")
+
+
+def apply_mix(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", source: str = "source", scratch: Scratch | None = None, **settings) -> DataFrame:
+    """``docs`` as often as the mix takes them, in training order; columns as they were.
+
+    A partial take counts as whole from half of the document on, so a source's words
+    come within one document of its target.  Documents that the mix never takes go.
+    Rows that share an id are told apart by their size and text.
+    """
+    mixed = mix(docs, id_=id_, text=text, source=source, scratch=scratch, **settings)
+    twin = F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("source", "taken"))
+    mixed = mixed.withColumn("__n", twin).withColumn("take", F.explode("takes")).filter("2 * take.words >= size")
+    mixed = mixed.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "__n", F.col("take.position").alias("__at"), F.col("take.pass").alias("__pass"))
+    rows = docs.withColumn("__size", words(F.col(f"`{text}`")))
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(F.col(f"`{id_}`"), "__size").orderBy(F.col(f"`{source}`"), F.xxhash64(F.col(f"`{text}`")))))
+    joined = rows.join(mixed.withColumnRenamed("__size", "__s").withColumnRenamed("__n", "__m"), F.col(f"`{id_}`").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__s")) & (F.col("__n") == F.col("__m")))
+    return joined.orderBy("__at", "__id", "__pass").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint_index, jaccard_join, langid, mixing, packing, suffix_array
+from . import ann, embedding_dedup, fingerprint_index, jaccard_join, langid, mixing, packing, quality, secrets, suffix_array
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +20,31 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return secrets.find(docs, secrets.fit(docs))
+
+
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels, _remainder("i", 3) != 1)
+    return quality.score(docs, model).withColumn("held_out", _remainder("doc_id", 3) == 1)
+
+
 def curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_documents(spark, sf_dir))
     first = F.array_min(F.transform("takes", lambda t: t["position"]))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.dedup(_documents(spark, sf_dir))
 
@@ -77,7 +96,11 @@ FROM curve
 
 QUERIES = {
     "op1_best_fit_packing": best_fit_packing,
+    "op2_embedding_near_dedup": embedding_near_dedup,
+    "op3_secret_scan": secret_scan,
+    "op4_quality_classifier": quality_classifier,
     "op5_curriculum_mixing": curriculum_mixing,
+    "op6_nearest_neighbours": nearest_neighbours,
     "op7_suffix_array_dedup": suffix_array_dedup,
     "op8_incremental_substring_dedup": incremental_substring_dedup,
     "op9_ngram_jaccard_join": ngram_jaccard_join,
