@@ -309,7 +309,14 @@ def join(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", n: int = 5
     return sets.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_representatives(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+#: Up to so many ids of copies, 8 bytes each, are broadcast; beyond, both sides are shuffled.
+MOST_BROADCAST = 2_000_000
+
+
+def keep_representatives(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", scratch: Scratch | None = None, **settings) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id; columns as they were."""
-    found = join(docs, id_=id_, text=text, **settings).filter("component_id <> doc_id").select(F.col("doc_id").alias("__copy")).distinct()
+    scratch = scratch or Scratch(docs.sparkSession)
+    found = join(docs, id_=id_, text=text, scratch=scratch, **settings).filter("component_id <> doc_id")
+    found = scratch.save(found.select(F.col("doc_id").alias("__copy")).distinct())
+    found = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
     return docs.join(found, F.col(f"`{id_}`") == F.col("__copy"), "left_anti")
