@@ -10,18 +10,20 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
+import unicodedata
 import zlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import bytescan as B
 from .scratch import Scratch, small_batches
 
 PIECE = T.StructType(
@@ -33,76 +35,140 @@ PIECE = T.StructType(
         T.StructField("ids_crc32", T.LongType()),
     ]
 )
+#: Characters that are encoded at once.
+CHARACTERS = 2_000_000
 RUN = "length long, first_rank long, per_sequence long, n long, first_sequence long, first_offset long"
 
 
-#: The tokenizer's own split of lower-case words of printable ASCII.
-ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Characters below this are told apart by table; a word with any beyond is left to the tokenizer as a whole.
+TABLE = 0x250
+WHITE, LETTER, NUMBER, OTHER, HARD = range(5)
+#: White space wherever it stands, and what ends a contraction.
+WHITE_CODES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
+APOSTROPHE = 0x27
 
 
-class Cache:
-    """A dictionary in two generations: what was not used since the last change of generation goes."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def missing(self, keys: Iterable[str]) -> list[str]:
-        """The keys that are not there, each once; the others are young afterwards."""
-        young, old = self.young, self.old
-        if len(young) > self.most:
-            self.old, self.young = old, young = young, {}
-        absent = {k for k in keys if k not in young}
-        for k in absent & old.keys():
-            young[k] = old[k]
-        return list(absent - old.keys())
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """(class, lower case) of characters; the last entry stands for all beyond the table."""
+    kinds, lower = np.full(TABLE + 1, HARD, np.uint8), np.arange(TABLE + 1, dtype=np.int64)
+    for c in range(TABLE):
+        category, low = unicodedata.category(chr(c)), chr(c).lower()
+        if c in WHITE_CODES:
+            kinds[c] = WHITE
+        elif c != APOSTROPHE and not category.startswith(("C", "Z")) and len(low) == 1 and ord(low) < TABLE and unicodedata.normalize("NFC", chr(c)) == chr(c):
+            kinds[c] = {"L": LETTER, "N": NUMBER}.get(category[0], OTHER)
+            lower[c] = ord(low)
+    return kinds, lower
 
 
 class Tokens:
-    """Token ids of texts as little-endian 32-bit bytes.
-
-    The tokenizer drops white space and never merges across it, so a text's ids are
-    its words' ids one after the other.  Words are looked up in a bounded cache; a
-    new word is normalized and split by the tokenizer's own rules, and its parts,
-    which repeat far more often, are looked up in another.
+    """Token ids of texts.
+
+    The tokenizer drops white space and never merges across it, nor across the parts
+    into which it splits a word: runs of letters, single digits, runs of marks.  Texts
+    are cut into such parts as arrays; a part met before is looked up by a 64-bit hash
+    in a sorted table of at most ``most`` parts, a new one is left to the tokenizer's
+    model.  Words with characters beyond the table, apostrophes, control characters or
+    what might be a special token are given to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 300_000):
+    def __init__(self, path: str, end_id: int, most: int = 3_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.normalizer, self.splitter = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.end, self.words, self.parts = end_id.to_bytes(4, "little"), Cache(most), Cache(most)
-
-    def _split(self, text: str) -> list[str]:
-        # str.split also splits at these four, which the tokenizer need not do
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return [text]
-        return text.split()
-
-    def _ids(self, ids: Iterable[int]) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
-
-    def _learn(self, words: list[str]) -> None:
-        split = {}
-        for w in words:
-            if "<|" in w and any(x in w for x in self.special):
-                self.words.young[w] = self._ids(self.tokenizer.encode(w, add_special_tokens=False).ids)
-            elif w.isascii() and w.isprintable():  # what the tokenizer's rules come to for such words
-                split[w] = (w.lower(),) if w.isalpha() else ASCII_PARTS.findall(w.lower())
-            else:
-                split[w] = [x for x, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(w))]
-        for x in self.parts.missing(x for xs in split.values() for x in xs):
-            self.parts.young[x] = self._ids([t.id for t in self.model.tokenize(x)])
-        known = self.parts.young
-        for w, xs in split.items():
-            self.words.young[w] = b"".join([known[x] for x in xs])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
-        self._learn(self.words.missing(w for words in split for w in words))
-        return [b"".join(map(self.words.young.__getitem__, words)) + self.end for words in split]
+        self.model, self.end, self.most = self.tokenizer.model, end_id, most
+        self.kinds, self.lower = _tables()
+        self.code = B.mixed(np.arange(TABLE + 1, dtype=np.uint64), 21)
+        self.spelled = {chr(c): "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))) for c in range(TABLE) if self.kinds[c] not in (WHITE, HARD)}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.new_keys, self.new_places, self.new_count = [], [], 0
+        self.start, self.size, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        self.count = 0
+
+    def _add(self, lists: list[list[int]]) -> np.ndarray:
+        """Places of new parts' ids in the pool."""
+        sizes = np.array([len(x) for x in lists], np.int64)
+        flat = np.array([i for x in lists for i in x], np.uint32)
+        n = len(lists)
+        if self.count + n > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros(max(len(x), n), np.int64)]) for x in (self.start, self.size))
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), np.uint32)])
+        at = slice(self.count, self.count + n)
+        self.start[at], self.size[at] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used, self.count = self.used + len(flat), self.count + n
+        return np.arange(at.start, at.stop)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1, np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            out[hit] = self.places[at[hit]]
+        return out
+
+    def _ids(self, part: str, hard: bool) -> list[int]:
+        if hard:
+            return self.tokenizer.encode(part, add_special_tokens=False).ids
+        return [t.id for t in self.model.tokenize("".join(map(self.spelled.__getitem__, part)))]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each with its end; offsets)."""
+        code = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        off = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        small = np.minimum(code, TABLE)
+        kind = self.kinds[small]
+        full = kind != WHITE
+        first = full.copy()
+        first[1:] &= ~full[:-1]
+        last = full.copy()
+        last[:-1] &= ~full[1:]
+        word_end = np.flatnonzero(last) + 1
+        word = np.cumsum(first) - 1
+        hard = kind == HARD
+        hard[1:] |= (code[1:] == 0x7C) & (code[:-1] == 0x3C)
+        slow = np.zeros(len(word_end) + 1, bool)
+        slow[word[hard]] = True
+        slow_at = slow[word] & full
+        split = full & ~slow_at
+        split[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        start = np.flatnonzero(first | split)
+        own = word[start]
+        end = np.append(start[1:], len(code))
+        end = np.minimum(end, word_end[own]) if len(own) else end[:0]
+        value = self.code[self.lower[small]]
+        if slow_at.any():
+            value[slow_at] = B.mixed(code[slow_at].astype(np.uint64), 22)
+        h = B.mixed(B.span(B.prefix(value), start, end))
+        keys, lead, item = np.unique(h, return_index=True, return_inverse=True)
+        place = self._find(keys)
+        absent = np.flatnonzero(place < 0)
+        if len(absent):
+            if self.count + len(absent) > self.most:
+                self._clear()
+                place[:] = -1
+                absent = np.arange(len(keys))
+            x = lead[absent]
+            raw = np.where(slow_at, code, self.lower[small]).astype("<u4").tobytes()
+            lists = [self._ids(raw[4 * a : 4 * b].decode("utf-32-le", "surrogatepass"), s) for a, b, s in zip(start[x].tolist(), end[x].tolist(), slow_at[start[x]].tolist(), strict=True)]
+            place[absent] = self._add(lists)
+            at = np.searchsorted(self.keys, keys[absent])
+            self.keys, self.places = np.insert(self.keys, at, keys[absent]), np.insert(self.places, at, place[absent])
+        place = place[item]
+        size = self.size[place]
+        per_text = np.bincount(np.searchsorted(off, start, "right") - 1, size, len(texts)).astype(np.int64)
+        ends = np.cumsum(per_text + 1)
+        out = np.empty(int(ends[-1]) if len(texts) else 0, np.uint32)
+        body = np.ones(len(out), bool)
+        body[ends - 1] = False
+        out[~body] = self.end
+        out[body] = self.pool[np.repeat(self.start[place] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        return out, np.concatenate([[0], ends])
 
 
 @lru_cache(maxsize=2)
@@ -126,23 +192,26 @@ def tokenize(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", max_to
     ``with_ids`` adds the ids themselves, an array of int, for writing sequences.
     """
     small_batches(docs.sparkSession)
-    path, step = tokenizer, 4 * max_tokens
+    path = tokenizer
     schema = T.StructType([*PIECE.fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         encoder = tokens(path or default_tokenizer(), end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            upto = np.cumsum([len(t) for t in texts])
+            at = 0
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHARACTERS, "right")))
+                found, off = encoder.encode(texts[at:to])
                 rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    for k, s in enumerate(range(0, len(ids), step)):
-                        own = ids[s : s + step]
-                        rows.append((doc, k, s // 4, len(own) // 4, zlib.crc32(own), *([np.frombuffer(own, "<i4")] if with_ids else [])))
+                for doc, a, b in zip(ids[at:to], off.tolist(), off[1:].tolist(), strict=False):
+                    for k, x in enumerate(range(a, b, max_tokens)):
+                        own = found[x : min(x + max_tokens, b)]
+                        rows.append((doc, k, x - a, len(own), zlib.crc32(own.astype("<u4", copy=False)), *([own] if with_ids else [])))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())], strict=False)], names=schema.names)
+                at = to
 
     return docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
 
