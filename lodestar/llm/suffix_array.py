@@ -316,7 +316,7 @@ def dedup(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", length: i
     parted = rows.withColumn("part", part)
     settled = scratch.save(rows.mapInArrow(_anchor_blocks(length, buckets), ANCHORS).groupBy("bucket").applyInArrow(_settle(parts), PARTED))
     suffixes = scratch.save(parted.groupBy("part").cogroup(settled.groupBy("part")).applyInArrow(_fetch(length), SUFFIXES))
-    ranges = B.parts(suffixes, 8 << 20, 12, 50000)
+    ranges = B.parts(suffixes, 1 << 20, 12, 50000)
     compared = scratch.save(suffixes.repartitionByRange(ranges, "lead", "doc", "start").mapInArrow(_sorted_range(length, parts), RANGES))
     ends = compared.filter("part IS NULL").select("hash1", "hash2", "doc", "start", "copied")
     twice = ends.groupBy("hash1", "hash2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
