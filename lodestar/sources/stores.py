@@ -60,8 +60,9 @@ def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def json_round_trip(df: DataFrame) -> DataFrame:
     """Rows as JSON texts and back, typed by their schema."""
-    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
-    return rows.select(F.from_json("j", df.schema).alias("r")).select("r.*")
+    times = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    rows = df.select(F.to_json(F.struct(*df.columns), times | {"ignoreNullFields": "false"}).alias("j"))
+    return rows.select(F.from_json("j", df.schema, times).alias("r")).select("r.*")
 
 
 def append_registry(df: DataFrame, path: str) -> None:
