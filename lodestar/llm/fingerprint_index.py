@@ -302,7 +302,8 @@ def dedup(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", n: int =
     buckets = B.parts(docs, 6 << 20, 12, 4096)
     parts = B.parts(docs, 6 << 20, 12, 50000)
     quantiles = [k / batches for k in range(1, batches)]
-    bounds = np.array(sorted(set(docs.select(F.col(id_).cast("double").alias("i")).approxQuantile("i", quantiles, 0.05))), np.float64).astype(np.int64)
+    cuts = docs.select(F.col(id_).cast("double").alias("i")).approxQuantile("i", quantiles, 0.05) if quantiles else []
+    bounds = np.array(sorted(set(cuts)), np.float64).astype(np.int64)
 
     def merge(blocks: pa.Table) -> pa.Table:
         return found_rows(*merge_batches(blocks, Runs([], fanout), bounds), parts)

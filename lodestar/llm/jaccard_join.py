@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import bytescan as B
 from .fingerprint_index import NO_ID, ids_of
 from .graph import Forest, components
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, free_names, small_batches
 
 LISTS = "bucket int, docs binary, counts binary, values binary"
 SHARED = "part int, docs binary, counts binary"
@@ -279,7 +279,7 @@ def join(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", n: int = 5
     Two documents link when 100 |A and B| >= percent |A or B|, A and B being their
     sets of n-word shingles.  component_id is the smallest id reachable by links.
     Null and empty texts have no shingles and link with nothing.  Ids should be
-    unique: rows with one id are one node, and null ids stand alone together.
+    unique: rows with one id are one node, and rows with null ids link with nothing.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     small_batches(docs.sparkSession)
@@ -288,8 +288,8 @@ def join(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", n: int = 5
     key = ["key1", "key2", "n_shingles"]
     members = sets.filter("shingles IS NOT NULL").select("doc_id", *key)
     leads = members.groupBy(*key).agg(F.min("doc_id").alias("lead"))
-    classes = sets.filter("shingles IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc_id", "shingles")).alias("x")).select("x.*")
-    classes = scratch.save(classes.filter("doc_id IS NOT NULL"))
+    classes = sets.filter("shingles IS NOT NULL AND doc_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc_id", "shingles")).alias("x")).select("x.*")
+    classes = scratch.save(classes)
     prefix, near = _neighbours(classes, num, den, scratch)
     hoods = scratch.save(components(near, scratch))
     sizes = hoods.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
@@ -317,6 +317,7 @@ def keep_representatives(docs: DataFrame, *, id_: str = "doc_id", text: str = "t
     """One document of each group of near copies, the one with the smallest id; columns as they were."""
     scratch = scratch or Scratch(docs.sparkSession)
     found = join(docs, id_=id_, text=text, scratch=scratch, **settings).filter("component_id <> doc_id")
-    found = scratch.save(found.select(F.col("doc_id").alias("__copy")).distinct())
+    (copy,) = free_names(docs, "__copy")
+    found = scratch.save(found.select(F.col("doc_id").alias(copy)).distinct())
     found = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
-    return docs.join(found, F.col(f"`{id_}`") == F.col("__copy"), "left_anti")
+    return docs.join(found, F.col(f"`{id_}`") == F.col(copy), "left_anti")

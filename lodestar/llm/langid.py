@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .scratch import small_batches
+from .scratch import free_names, small_batches
 
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -145,9 +145,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, *, text: str = "text"
     language takes less than ``min_margin`` more bytes than the first.  Repeated
     rows are judged alike; an empty table stays empty.
     """
-    tmp = "__language"
-    while tmp in docs.columns:
-        tmp += "_"
+    (tmp,) = free_names(docs, "__language")
     found = identify(docs, model, text=text, into=tmp)
     clear = (F.col(f"{tmp}.lang_pred") != UNDETERMINED) & (F.col(f"{tmp}.margin") >= min_margin)
     return found.filter(clear).select(*[F.col(f"`{c}`") for c in docs.columns])

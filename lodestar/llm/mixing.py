@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import Scratch
+from .scratch import Scratch, free_names
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Order of documents within a source: 60 bits of a hash of the id, which any engine can compute.
@@ -136,11 +136,12 @@ def apply_mix(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", sourc
     come within one document of its target.  Documents that the mix never takes go.
     Rows that share an id are told apart by their size and text.
     """
+    key, size, n, s, m, at, turn = free_names(docs, "__id", "__size", "__n", "__s", "__m", "__at", "__pass")
     mixed = mix(docs, id_=id_, text=text, source=source, scratch=scratch, **settings)
     twin = F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("source", "taken"))
-    mixed = mixed.withColumn("__n", twin).withColumn("take", F.explode("takes")).filter("2 * take.words >= size")
-    mixed = mixed.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "__n", F.col("take.position").alias("__at"), F.col("take.pass").alias("__pass"))
-    rows = docs.withColumn("__size", words(F.col(f"`{text}`")))
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(F.col(f"`{id_}`"), "__size").orderBy(F.col(f"`{source}`"), F.xxhash64(F.col(f"`{text}`")))))
-    joined = rows.join(mixed.withColumnRenamed("__size", "__s").withColumnRenamed("__n", "__m"), F.col(f"`{id_}`").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__s")) & (F.col("__n") == F.col("__m")))
-    return joined.orderBy("__at", "__id", "__pass").select(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed = mixed.withColumn("twin", twin).withColumn("take", F.explode("takes")).filter("2 * take.words >= size")
+    mixed = mixed.select(F.col("doc_id").alias(key), F.col("size").alias(s), F.col("twin").alias(m), F.col("take.position").alias(at), F.col("take.pass").alias(turn))
+    rows = docs.withColumn(size, words(F.col(f"`{text}`")))
+    rows = rows.withColumn(n, F.row_number().over(Window.partitionBy(F.col(f"`{id_}`"), size).orderBy(F.col(f"`{source}`"), F.xxhash64(F.col(f"`{text}`")))))
+    joined = rows.join(mixed, F.col(f"`{id_}`").eqNullSafe(F.col(key)) & (F.col(size) == F.col(s)) & (F.col(n) == F.col(m)))
+    return joined.orderBy(at, key, turn).select(*[F.col(f"`{c}`") for c in docs.columns])

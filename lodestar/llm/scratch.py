@@ -23,6 +23,16 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where the DataFrame has a column of that name (case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 class Scratch:
     """Intermediate tables of one operator call.
 
