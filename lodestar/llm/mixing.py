@@ -65,7 +65,7 @@ def when_supplied(share: Column, knots: Column, n: int) -> Column:
         y, slope = F.get(knots, F.lit(i)), (F.get(knots, F.lit(i + 1)) - F.get(knots, F.lit(i))) / width
         rest = share - done[i]
         # slope/2 x^2 + y x = rest, in the form that also holds without slope
-        x = 2 * rest / (y + F.sqrt(F.greatest(y * y + 2 * slope * rest, F.lit(0.0))))
+        x = F.try_divide(2 * rest, y + F.sqrt(F.greatest(y * y + 2 * slope * rest, F.lit(0.0))))
         out = F.when((share < done[i + 1]) | F.lit(i == n - 2), i * width + F.coalesce(x, F.lit(0.0))).otherwise(out)
     return F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0))
 
@@ -106,7 +106,7 @@ def mix(
     knots = F.element_at(curves, (F.col("class") % len(schedules) + 1).cast("int"))
 
     def place(e: Column) -> Column:
-        return when_supplied((e * F.col("source_size") + F.col("begins")) / F.col("target"), knots, n)
+        return when_supplied(F.try_divide((e * F.col("source_size") + F.col("begins")).cast("double"), F.col("target")), knots, n)
 
     full = F.when((F.col("passes") > 0) & (F.col("size") > 0), F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("passes") - 1, F.lit(0))), lambda e: F.struct(e.alias("pass"), F.col("size").alias("words"), place(e).alias("position"))))
     last = F.when(F.col("part") > 0, F.array(F.struct(F.col("passes").alias("pass"), F.col("part").alias("words"), place(F.col("passes")).alias("position"))))
