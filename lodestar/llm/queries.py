@@ -94,6 +94,37 @@ SELECT doc_id, size, source_size, target, CAST(passes * size + part AS BIGINT) A
 FROM curve
 """
 
+VECTOR_GROUPS_SQL = """
+WITH RECURSIVE d AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+v AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM d WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY 1), firsts AS (SELECT a, min(b) AS b FROM reach GROUP BY 1)
+SELECT vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(f.b, vec_id)) AS component_id, vec_id <= coalesce(f.b, vec_id) AS kept
+FROM embeddings LEFT JOIN counts c ON c.a = vec_id LEFT JOIN firsts f ON f.a = vec_id
+"""
+
+WINDOWS_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(len(w) - 19)) AS i, w FROM w WHERE len(w) >= 20),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i + 1 : i + 20], ' ') ORDER BY doc_id, i) > 1 AS again FROM starts),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM w),
+flagged AS (SELECT words.*, max(coalesce(again, false)::INT) OVER (PARTITION BY words.doc_id ORDER BY words.i ROWS 19 PRECEDING) AS gone FROM words LEFT JOIN ranked USING (doc_id, i)),
+kept AS (SELECT doc_id, count(*) AS n_words, count_if(gone = 1) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM flagged GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) WHEN len(w) > 0 THEN ['short ' || array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * common >= 80 * (na + nb - common)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+firsts AS (SELECT a, min(b) AS b FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id FROM sets LEFT JOIN firsts ON a = doc_id
+"""
+
 QUERIES = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_embedding_near_dedup": embedding_near_dedup,
@@ -108,5 +139,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_embedding_near_dedup": VECTOR_GROUPS_SQL,
+    "op8_incremental_substring_dedup": WINDOWS_SQL,
+    "op9_ngram_jaccard_join": JACCARD_SQL,
     "op5_curriculum_mixing": MIXING_SQL,
 }

@@ -38,7 +38,8 @@ from .scratch import Scratch, small_batches
 ANCHORS = "bucket int, docs binary, counts binary, places binary, before binary, extra binary, copied binary, keys binary, stretches binary, done_docs binary, done_starts binary, done_extra binary"
 PARTED = "part int, docs binary, places binary, before binary, extra binary, copied binary, open binary"
 SUFFIXES = "lead binary, doc long, start long, before int, extra int, copied boolean, stretch binary"
-RANGES = "part int, docs binary, starts binary, extra binary, hash1 long, hash2 long, doc long, start long, copied boolean"
+FOUND = "part int, docs binary, starts binary, extra binary"
+RANGES = FOUND + ", bucket int, hash1 binary, hash2 binary, copied binary"
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 PLACE = np.uint64((1 << 31) - 1)
 
@@ -232,25 +233,31 @@ def _sorted_range(length: int, parts: int):
         tell = tell[edge[owner[tell]]]
         settled = repeat | copied[owner]
         found = by_part(doc[owner[gone]], parts, starts=(start[owner[gone]] + shift[gone]).astype(np.int64), extra=np.zeros(len(gone), np.int16))
-        n, m = found.num_rows, len(tell)
         h1 = B.mixed(raw[tell], 8)
         h2 = B.mixed(B.windows(B.prefix(B.mixed(B.BYTE_CODE[data], 9)), length)[at[owner[tell]] + shift[tell]], 10)
-        columns = {c.split()[0]: c.split()[1] for c in RANGES.split(", ")}
-        own = {"hash1": h1.view(np.int64), "hash2": h2.view(np.int64), "doc": doc[owner[tell]], "start": start[owner[tell]] + shift[tell], "copied": settled[tell]}
-        kinds = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "boolean": pa.bool_()}
-        arrays = [pa.concat_arrays([found[c].combine_chunks() if c in found.column_names else pa.nulls(n, kinds[k]), pa.array(own[c], kinds[k]) if c in own else pa.nulls(m, kinds[k])]) for c, k in columns.items()]
-        yield from pa.table(arrays, names=list(columns)).to_batches(4096)
+        ends = by_part(
+            (h1 % B.U(parts)).astype(np.int64), parts, hash1=h1, hash2=h2, starts=(start[owner[tell]] + shift[tell]).astype(np.int64),
+            docs_=doc[owner[tell]], copied=settled[tell].astype(np.uint8),
+        )
+        ends = ends.drop_columns(["docs"]).rename_columns(["bucket", "hash1", "hash2", "starts", "docs", "copied"])
+        yield from pa.concat_tables([found, ends], promote_options="default").select([c.split()[0] for c in RANGES.split(", ")]).to_batches(4096)
 
     return compare
 
 
-def _packed(parts: int):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            start = b.column(1).to_numpy().astype(np.int64)
-            yield from by_part(b.column(0).to_numpy().astype(np.int64), parts, starts=start, extra=np.zeros(len(start), np.int16)).to_batches()
+def _meet(parts: int):
+    """Windows from the ends of ranges that some other range has too."""
+
+    def meet(t: pa.Table) -> pa.Table:
+        h1, h2 = _column(t, "hash1", np.uint64), _column(t, "hash2", np.uint64)
+        order = np.lexsort((h2, h1))
+        same = B.same_key(h1[order]) & B.same_key(h2[order])
+        same[:-1] |= same[1:]
+        gone = order[same]
+        gone = gone[_column(t, "copied", np.uint8)[gone] == 0]
+        return by_part(_column(t, "docs", np.int64)[gone], parts, starts=_column(t, "starts", np.int64)[gone], extra=np.zeros(len(gone), np.int16))
 
-    return pack
+    return meet
 
 
 def _reports(length: int):
@@ -318,10 +325,8 @@ def dedup(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", length: i
     suffixes = scratch.save(parted.groupBy("part").cogroup(settled.groupBy("part")).applyInArrow(_fetch(length), SUFFIXES))
     ranges = B.parts(suffixes, 1 << 20, 12, 50000)
     compared = scratch.save(suffixes.repartitionByRange(ranges, "lead", "doc", "start").mapInArrow(_sorted_range(length, parts), RANGES))
-    ends = compared.filter("part IS NULL").select("hash1", "hash2", "doc", "start", "copied")
-    twice = ends.groupBy("hash1", "hash2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    across = ends.filter("NOT copied").join(twice, ["hash1", "hash2"]).select("doc", "start").mapInArrow(_packed(parts), "part int, docs binary, starts binary, extra binary")
+    across = compared.filter("bucket IS NOT NULL").select("bucket", "docs", "starts", "hash1", "hash2", "copied").groupBy("bucket").applyInArrow(_meet(parts), FOUND)
     inside = compared.filter("part IS NOT NULL").select("part", "docs", "starts", "extra")
-    whole = settled.mapInArrow(_whole, "part int, docs binary, starts binary, extra binary")
+    whole = settled.mapInArrow(_whole, FOUND)
     found = whole.unionByName(inside).unionByName(across)
     return parted.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_reports(length), REPORT)
