@@ -136,8 +136,8 @@ def _(spark, d):
 
 
 @query("s12_recent_filings", """SELECT id, pos, form, url FROM (SELECT s_suppkey AS id, i::INTEGER AS pos, form[i + 1] AS form, 'https://www.sec.gov/Archives/edgar/data/' || s_suppkey || '/' || replace(acc[i + 1], '-', '') || '/' || doc[i + 1] AS url
-  FROM (SELECT s_suppkey, list(CASE l_returnflag WHEN 'A' THEN '10-K' WHEN 'R' THEN '10-Q' ELSE '8-K' END ORDER BY l_orderkey, l_linenumber) AS form,
-    list(l_orderkey || '-' || l_linenumber ORDER BY l_orderkey, l_linenumber) AS acc, list('d' || l_partkey || '.htm' ORDER BY l_orderkey, l_linenumber) AS doc
+  FROM (SELECT s_suppkey, list(CASE l_returnflag WHEN 'A' THEN '10-K' WHEN 'R' THEN '10-Q' ELSE '8-K' END ORDER BY l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN '10-K' WHEN 'R' THEN '10-Q' ELSE '8-K' END, 'd' || l_partkey || '.htm') AS form,
+    list(l_orderkey || '-' || l_linenumber ORDER BY l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN '10-K' WHEN 'R' THEN '10-Q' ELSE '8-K' END, 'd' || l_partkey || '.htm') AS acc, list('d' || l_partkey || '.htm' ORDER BY l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN '10-K' WHEN 'R' THEN '10-Q' ELSE '8-K' END, 'd' || l_partkey || '.htm') AS doc
     FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1), unnest(range(least(100, len(form)))) AS t(i))
   WHERE form IN ('10-K', '10-Q') QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) <= 5""")
 def _(spark, d):
