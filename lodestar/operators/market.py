@@ -16,7 +16,7 @@ def sma(n: int, column: str = "close") -> Column:
 
 
 def change(column: str = "close") -> Column:
-    return F.col(column) / F.lag(column).over(_by_time()) - 1
+    return F.try_divide(F.col(column), F.lag(column).over(_by_time())) - 1
 
 
 def bollinger(n: int = 20, width: float = 2.0) -> tuple[Column, Column, Column]:
@@ -71,7 +71,7 @@ def volatility(prices: DataFrame, default: float = 20.0) -> DataFrame:
 def volume_ratio(prices: DataFrame, n: int = 5) -> DataFrame:
     """Mean volume of the last n rows over that of all."""
     back = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("ts")))
-    return prices.withColumn("back", back).groupBy("ticker").agg((F.avg(F.when(F.col("back") <= n, F.col("volume"))) / F.avg("volume")).alias("volume_ratio"))
+    return prices.withColumn("back", back).groupBy("ticker").agg(F.try_divide(F.avg(F.when(F.col("back") <= n, F.col("volume"))), F.avg("volume")).alias("volume_ratio"))
 
 
 def summary(prices: DataFrame) -> DataFrame:
