@@ -168,19 +168,28 @@ def _neighbours(classes: DataFrame, num: int, den: int, scratch: Scratch) -> tup
         docs = np.repeat(_column(lists, "docs", np.int64), _column(lists, "counts", np.int32))
         v = _column(lists, "values", np.uint64)
         _, at, df = np.unique(v, return_inverse=True, return_counts=True)
-        return by_part(docs, parts, hashes=v, dfs=np.minimum(df[at], 65535).astype(np.uint16))
+        df = df[at]
+        some = df > 1  # a shingle of one class links nothing: only their number travels on
+        own, n = np.unique(docs[~some], return_counts=True)
+        zero = np.zeros(len(own), np.uint64)
+        return by_part(
+            np.concatenate([docs[some], own]), parts, hashes=np.concatenate([v[some], zero]), dfs=np.concatenate([np.minimum(df[some], 65535), zero]).astype(np.uint16),
+            single=np.concatenate([np.zeros(int(some.sum()), np.int64), n]).astype(np.int32),
+        )
 
     def prefixes(lists: pa.Table) -> pa.Table:
-        docs, v, df = _column(lists, "docs", np.int64), _column(lists, "hashes", np.uint64), _column(lists, "dfs", np.uint16)
-        order = np.lexsort((v, df, docs))
-        docs, v, df = docs[order], v[order], df[order]
+        docs, v, df, single = _column(lists, "docs", np.int64), _column(lists, "hashes", np.uint64), _column(lists, "dfs", np.uint16), _column(lists, "single", np.int32)
+        order = np.lexsort((v, df, docs))  # single shingles come first of all
+        docs, v, df, single = docs[order], v[order], df[order], single[order]
         at = np.append(np.flatnonzero(~B.same_key(docs)), len(docs))
         rows = []
         for a, b in zip(at, at[1:], strict=False):
-            p = b - a - required(int(b - a), num, den) + 1
-            own = v[a : a + p][df[a : a + p] > 1]  # a shingle of one class links nothing
-            if len(own):
-                rows.append((int(docs[a]), own.tobytes()))
+            first = a + int((df[a:b] == 0).sum())
+            alone = int(single[a:first].sum())
+            n = alone + int(b - first)
+            p = n - required(n, num, den) + 1 - alone
+            if p > 0:
+                rows.append((int(docs[a]), v[first : first + p].tobytes()))
         return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "prefix": pa.array([r[1] for r in rows], pa.binary())})
 
     def chains(lists: pa.Table) -> pa.Table:
@@ -195,7 +204,7 @@ def _neighbours(classes: DataFrame, num: int, den: int, scratch: Scratch) -> tup
         links = forest.links()
         return pa.table({"a": known[links[:, 0]], "b": known[links[:, 1]]})
 
-    found = classes.select("doc_id", "shingles").mapInArrow(tokens, LISTS).groupBy("bucket").applyInArrow(frequencies, "part int, docs binary, hashes binary, dfs binary")
+    found = classes.select("doc_id", "shingles").mapInArrow(tokens, LISTS).groupBy("bucket").applyInArrow(frequencies, "part int, docs binary, hashes binary, dfs binary, single binary")
     prefix = scratch.save(found.groupBy("part").applyInArrow(prefixes, "doc_id long, prefix binary"))
     links = prefix.mapInArrow(tokens, LISTS).groupBy("bucket").applyInArrow(chains, "a long, b long")
     return prefix, links
@@ -285,13 +294,18 @@ def join(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", n: int = 5
     small_batches(docs.sparkSession)
     num, den = percent // math.gcd(percent, 100), 100 // math.gcd(percent, 100)
     sets = scratch.save(_survivors(docs, n, num, den, id_, text))
-    key = ["key1", "key2", "n_shingles"]
-    members = sets.filter("shingles IS NOT NULL").select("doc_id", *key)
+    scratch.release()
+    key, shards = ["key1", "key2", "n_shingles"], B.parts(sets, 4 << 20, 24, 50000)
+    index = scratch.save(sets.select("doc_id", *key))
+    members = index.filter("key1 IS NOT NULL")
     leads = members.groupBy(*key).agg(F.min("doc_id").alias("lead"))
     classes = sets.filter("shingles IS NOT NULL AND doc_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc_id", "shingles")).alias("x")).select("x.*")
     classes = scratch.save(classes)
+    scratch.drop(sets)
+    scratch.release()
     prefix, near = _neighbours(classes, num, den, scratch)
     hoods = scratch.save(components(near, scratch))
+    scratch.release()
     sizes = hoods.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     placed = hoods.join(sizes, "root").select(F.col("root").alias("hood"), F.col("node").alias("doc_id"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
     placed = placed.join(prefix, "doc_id").join(classes, "doc_id")
@@ -300,13 +314,13 @@ def join(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", n: int = 5
         "hood", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc_id",
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "shingles", "prefix",
     )
-    shards = B.parts(sets, 4 << 20, 24, 50000)
     tasks = tasks.withColumn("shard", F.pmod(F.xxhash64("hood", "lo", "hi"), F.lit(shards)).cast("int"))
     links = tasks.groupBy("shard").applyInArrow(_block_links(num, den, orders), "a long, b long")
     roots = components(links, scratch)
+    scratch.release()
     reach = leads.join(roots, leads["lead"] == roots["node"], "left").select(*key, F.coalesce("root", "lead").alias("component_id"))
     found = members.join(reach, key).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return sets.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return index.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 #: Up to so many ids of copies, 8 bytes each, are broadcast; beyond, both sides are shuffled.

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -18,8 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package to the workers where they would not find it by themselves."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = [os.path.abspath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [os.getcwd()]
+    sc = spark.sparkContext
+    if root in map(os.path.realpath, known) or getattr(sc, "_lodestar_shipped", False):
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="lodestar-code-"), "lodestar")
+    sc.addPyFile(shutil.make_archive(base, "zip", root, "lodestar"))
+    sc._lodestar_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bounds the rows of an Arrow batch, as texts may be long."""
+    ship_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -63,6 +79,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished jobs now, not whenever the driver next cleans up."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a saved table that nothing reads any more."""
         if path := getattr(df, "_scratch_path", None):

@@ -323,6 +323,7 @@ def dedup(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", length: i
     parted = rows.withColumn("part", part)
     settled = scratch.save(rows.mapInArrow(_anchor_blocks(length, buckets), ANCHORS).groupBy("bucket").applyInArrow(_settle(parts), PARTED))
     suffixes = scratch.save(parted.groupBy("part").cogroup(settled.groupBy("part")).applyInArrow(_fetch(length), SUFFIXES))
+    scratch.release()
     ranges = B.parts(suffixes, 1 << 20, 12, 50000)
     compared = scratch.save(suffixes.repartitionByRange(ranges, "lead", "doc", "start").mapInArrow(_sorted_range(length, parts), RANGES))
     across = compared.filter("bucket IS NOT NULL").select("bucket", "docs", "starts", "hash1", "hash2", "copied").groupBy("bucket").applyInArrow(_meet(parts), FOUND)
