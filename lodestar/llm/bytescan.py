@@ -32,7 +32,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = 1 << int(n - 1).bit_length()
+            n = -(-n // CHUNK) * CHUNK
             f = np.full(n, BASE, U)
             b = np.full(n, INVERSE, U)
             f[0] = b[0] = 1

@@ -36,7 +36,7 @@ PIECE = T.StructType(
     ]
 )
 #: Characters that are encoded at once.
-CHARACTERS = 2_000_000
+CHARACTERS = 1_000_000
 RUN = "length long, first_rank long, per_sequence long, n long, first_sequence long, first_offset long"
 
 
@@ -72,7 +72,7 @@ class Tokens:
     what might be a special token are given to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 3_000_000):
+    def __init__(self, path: str, end_id: int, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

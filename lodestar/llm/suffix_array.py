@@ -267,7 +267,7 @@ def _reports(length: int):
         docs, starts, extra = docs[order], starts[order], extra[order]
         ids, keys = documents["doc_id"].to_pylist(), ids_of(documents["doc_id"].combine_chunks()) if documents.num_rows else []
         out: list[list] = [[] for _ in range(5)]
-        for i, j, data, off in B.chunks(documents["text"], 4 * B.CHUNK):
+        for i, j, data, off in B.chunks(documents["text"], 2 * B.CHUNK):
             lo, hi = np.searchsorted(docs, keys[i:j], "left"), np.searchsorted(docs, keys[i:j], "right")
             counts = hi - lo
             hit = np.repeat(lo, counts) + B.runs_in(counts)
