@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .. import schema as S
 from ..functions import scores as M
 from ..functions import text as X
 
