@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from lodestar.plans import more_queries  # noqa: F401  registers its queries
 from lodestar.plans import queries as q
 
 SF = "/root/testdata/sf0.001"
