@@ -14,8 +14,9 @@ anchors, so no repeat is missed.  Each anchor owns a run of neighbouring windows
    keys, so that a leading string shared by very many is cut into several ranges.
    Each range is sorted by multikey quicksort, eight bytes a key; neighbours that
    agree over half the length form a group, and their windows are compared.
-3. The groups at the two ends of a range may go on in the next one: their windows are
-   compared across ranges as well.
+3. Groups that share the first or the last leading bytes of a range may go on in other
+   ranges, however many such groups there are: their windows are compared across ranges
+   as well.
 
 Windows are compared by 64-bit hashes within a group of equal anchors.
 """
@@ -216,7 +217,10 @@ def _sorted_range(length: int, parts: int):
         order, tied = multikey_sort(data, at + before, half)
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(~tied) - 1
-        edge = (group == 0) | (group == group.max())  # may go on in the neighbouring range
+        # ranges are cut by lead, then document: all groups of the first and the last lead may go on in other ranges
+        shared = min(half, len(t["lead"][0].as_py()))
+        lead = data[(at + before)[:, None] + np.arange(shared)]
+        edge = (lead == lead[order[0]]).all(1) | (lead == lead[order[-1]]).all(1)
         owner = B.owner(extra + 1)
         shift = B.runs_in(extra + 1)
         raw = B.windows(B.prefix(B.BYTE_CODE[data]), length)[at[owner] + shift]

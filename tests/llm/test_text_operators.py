@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,26 @@ def test_ranges_meet_at_their_ends(spark, monkeypatch):
     assert got == substrings_brute(rows, 64)
 
 
+def test_ranges_meet_where_passages_share_their_first_bytes(spark, monkeypatch):
+    """Many passages whose suffixes begin with the same 16 bytes, each in two documents far apart."""
+    rng = random.Random(6)
+
+    def letters(pool, n):
+        return "".join(rng.choice(pool) for _ in range(n))
+
+    passages = []
+    while len(passages) < 30:
+        passage = "same first bytes" + letters("abcdef", 48)
+        data, off = bytescan.strings(pa.array([passage]))
+        if suffix_array.anchors(data, off, 64)[1].tolist() == [0]:  # sorted by its own first bytes
+            passages.append(passage)
+    rows = [(i, letters("uvwxyz", 40) + passages[i % 30] + letters("uvwxyz", 40)) for i in range(60)]
+    monkeypatch.setattr(bytescan, "parts", lambda df, size, least=12, most=1: 12)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_array.dedup(frame(spark, rows), length=64).collect()}
+    assert got == substrings_brute(rows, 64)
+    assert all(r[1] >= 64 for r in got.values())
+
+
 def jaccard_brute(rows, n, percent):
     sets = {}
     for d, t in rows:
