@@ -3,9 +3,9 @@
 The base patterns label credentials.  For each kind a prefix tree of their formats
 (see classes) is folded into a probabilistic automaton: two states merge when their
 frequencies of ending and of each next class are statistically compatible (Hoeffding
-bounds), and so are their successors'.  Every other token of the corpus that could be
-a credential is scored by its likelihood under the automata against that under a
-background of ordinary tokens; those well above it are added.
+bounds), and so are their successors'.  All other tokens of the corpus, and the parts
+of them between marks, are scored by their likelihood under the automata against that
+under a background of ordinary tokens; of those well above it the likeliest are added.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,8 +38,9 @@ KINDS = ["assign", "access", "hex", "grammar"]
 
 TOKEN = np.zeros(256, bool)
 TOKEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_.=-"]] = True
-DIGIT, HEXDIGIT = np.zeros(256, bool), np.zeros(256, bool)
-DIGIT[0x30:0x3A] = HEXDIGIT[0x30:0x3A] = HEXDIGIT[0x61:0x67] = True
+SEGMENT = re.compile(r"[A-Za-z0-9]+")
+UP, LOW, HEXDIGIT = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+UP[0x41:0x5B] = LOW[0x61:0x7B] = HEXDIGIT[0x30:0x3A] = HEXDIGIT[0x61:0x67] = True
 SPANS = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 Span = tuple[int, int, str]
@@ -152,48 +155,86 @@ class Automaton:
         self.states = len(red)
 
     def log_likelihood(self, word: str) -> float:
-        """Of the whole token, its end included; an unseen step costs the floor and ends the format."""
+        """Of the whole token, its end included; an unseen step or end costs the floor, and the step leads nowhere else."""
         s, out = 0, 0.0
         for c in word:
             edge = self.next[s].get(c)
             if edge is None:
-                return -math.inf
+                out += math.log(self.floor)
+                continue
             out += math.log(max(edge[1] / self.total[s], self.floor))
             s = edge[0]
-        return out + math.log(self.ends[s] / self.total[s]) if self.ends[s] else -math.inf
+        return out + math.log(max(self.ends[s] / self.total[s], self.floor))
 
 
 @dataclass(frozen=True)
 class FormatModel:
-    """Automata by kind, and the background's class bigrams."""
+    """Automata by kind, the background's class bigrams, and the least and most characters of a credential."""
 
     automata: dict[str, Automaton]
     background: dict[tuple[str, str], float]
     margin: float = 6.0
     least: int = 16
+    most: int = 512
+    known: dict = field(default_factory=dict, compare=False, repr=False)
+
+    def __post_init__(self) -> None:
+        # whether words of one case, and of both, may be credentials, by length; longer ones are scored each
+        likely = [[n > self.most or (n >= self.least and self.score(w[:n]) >= self.margin) for n in range(self.most + 2)] for w in ("a" * self.most, "Aa" * self.most)]
+        object.__setattr__(self, "letters", np.array(likely))
 
     def score(self, token: str) -> float:
         """Log-likelihood of the likeliest format over that of ordinary tokens."""
         w = classes(token)
-        best = max((a.log_likelihood(w) for a in self.automata.values()), default=-math.inf)
-        plain = sum(self.background.get(x, math.log(1e-4)) for x in zip("^" + w, w + "$", strict=True))
-        return best - plain
-
-
-def _candidates(data: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text) of maximal runs of token characters, ``least`` or more, with a digit."""
-    text = B.owner(np.diff(off))
-    edge = np.diff(np.concatenate([[0], TOKEN[data].view(np.int8), [0]]))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    keep = end - start >= least  # runs that join texts are longer than their parts
+        if (out := self.known.get(w)) is None:
+            best = max((a.log_likelihood(w) for a in self.automata.values()), default=-math.inf)
+            plain = sum(self.background.get(x, math.log(1e-4)) for x in zip("^" + w, w + "$", strict=True))
+            if len(self.known) >= 1 << 16:
+                self.known.clear()
+            out = self.known[w] = best - plain
+        return out
+
+    def credentials(self, token: str) -> list[tuple[int, int]]:
+        """(start, end) of the likeliest parts of a token, or of all of it, that do not overlap.
+
+        Parts begin and end with a segment (see classes) or with the token; all of
+        ``least`` to ``most`` characters are scored, and the whole token if longer.
+        """
+        segments = [m.span() for m in SEGMENT.finditer(token)]
+        starts, ends = sorted({0, *(a for a, _ in segments)}), sorted({len(token), *(b for _, b in segments)})
+        parts = [(a, b) for a in starts for b in ends[bisect_left(ends, a + self.least) : bisect_right(ends, a + self.most)]]
+        if len(token) > self.most:
+            parts.append((0, len(token)))
+        likely = [(v, b - a, a, b) for a, b in parts if (v := self.score(token[a:b])) >= self.margin]
+        out: list[tuple[int, int]] = []
+        for _, _, a, b in sorted(likely, key=lambda x: (-x[0], -x[1], x[2])):
+            if all(b <= x or y <= a for x, y in out):
+                out.append((a, b))
+        return sorted(out)
+
+
+def _runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the maximal runs of true bytes within a text."""
+    cut = np.zeros(len(mask) + 1, bool)
+    cut[off] = True
+    before, after = np.concatenate([[False], mask[:-1]]), np.concatenate([mask[1:], [False]])
+    return np.flatnonzero(mask & (cut[:-1] | ~before)), np.flatnonzero(mask & (cut[1:] | ~after)) + 1
+
+
+def _candidates(data: np.ndarray, off: np.ndarray, model: FormatModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of maximal runs of token characters that may hold a likely part.
+
+    A run of letters only has one part, known by its length and by whether it mixes
+    case: most words are settled without a look at them.
+    """
+    start, end = _runs(TOKEN[data], off)
+    keep = end - start >= model.least
+    start, end = start[keep], end[keep]
+    size, low, up = end - start, *(np.concatenate([[0], np.cumsum(x[data])]) for x in (LOW, UP))
+    low, up = low[end] - low[start], up[end] - up[start]
+    keep = (low + up < size) | model.letters[((low > 0) & (up > 0)).astype(int), np.minimum(size, model.most + 1)]
     start, end = start[keep], end[keep]
-    if len(start) and (cross := text[start] != text[end - 1]).any():
-        more = [(max(a, x), min(b, y)) for a, b in zip(start[cross].tolist(), end[cross].tolist(), strict=True) for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True) if x < b and y > a]
-        extra = np.array([m for m in more if m[1] - m[0] >= least], np.int64).reshape(-1, 2)
-        start, end = np.concatenate([start[~cross], extra[:, 0]]), np.concatenate([end[~cross], extra[:, 1]])
-    digits = np.concatenate([[0], np.cumsum(DIGIT[data])])
-    keep = digits[end] > digits[start]
-    return start[keep], end[keep], text[start[keep]] if len(start) else start
+    return start, end, np.searchsorted(off, start, "right") - 1
 
 
 def _may_hold_base(data: np.ndarray, off: np.ndarray) -> set[int]:
@@ -214,15 +255,15 @@ def _may_hold_base(data: np.ndarray, off: np.ndarray) -> set[int]:
 
 def scan(column: pa.Array, model: FormatModel | None) -> Iterator[tuple[int, list[Span]]]:
     """(row, spans) of the rows with any span; offsets count code points of the whole text."""
-    least = model.least if model else 1 << 62
+    found = lru_cache(1 << 16)(model.credentials) if model else None
     for i, j, data, off in B.chunks(column, 2 * B.CHUNK):
-        start, end, text = _candidates(data, off, least) if model else (np.zeros(0, np.int64),) * 3
+        start, end, text = _candidates(data, off, model) if model and model.automata else (np.zeros(0, np.int64),) * 3
         points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         tokens = defaultdict(list)
         for a, b, t in zip(start.tolist(), end.tolist(), text.tolist(), strict=True):
-            if model.score(data[a:b].tobytes().decode()) >= model.margin:
-                tokens[t].append((int(points[a] - points[off[t]]), int(points[b] - points[off[t]]), "grammar"))
-        for t in sorted(_may_hold_base(data, off) | tokens.keys()):
+            first = int(points[a] - points[off[t]])
+            tokens[t] += [(first + x, first + y, "grammar") for x, y in found(data[a:b].tobytes().decode())]
+        for t in sorted(_may_hold_base(data, off) | {t for t, x in tokens.items() if x}):
             spans, _ = base_spans(data[off[t] : off[t + 1]].tobytes().decode("utf-8", "replace"))
             spans += [s for s in tokens[t] if not any(s[0] < b and a < s[1] for a, b, _ in spans)]
             if spans:
@@ -267,6 +308,8 @@ def fit(docs: DataFrame, *, text: str = "text", per_kind: int = 400, background_
     totals: dict[str, float] = defaultdict(float)
     for (a, _), v in counts.items():
         totals[a] += v
+    if by_kind:
+        settings = {"least": min(LEAST[k] for k in by_kind)} | settings
     return FormatModel({k: Automaton(w) for k, w in by_kind.items()}, {x: math.log(v / totals[x[0]]) for x, v in counts.items()}, **settings)
 
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,20 @@ def test_grammar_finds_what_patterns_miss(spark, docs):
     assert few.log_likelihood("abab") > few.log_likelihood("ababababababab") > -np.inf
 
 
+def test_grammar_scores_all_tokens_and_their_parts(spark, docs):
+    rng = random.Random(5)
+    key, short, odd = ("".join(rng.choice("0123456789ABCDEF") for _ in range(n)) for n in (40, 13, 37))
+    texts = [f"{key}.", f"a key={key} b", f"see https://host.example/v/{key}/x.html", f"id={odd}.", f"{short} and words", f"({key}=", "http://host.example/some/path-of/words.html"]
+    model = secrets.fit(docs)
+    got = {r.doc_id: r.spans for r in secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    want = [(t, next((x for x in (key, odd, short) if x in t), "")) for t in texts]
+    assert got == {i: f"grammar:{t.index(x)}:{t.index(x) + len(x)}" if x else "" for i, (t, x) in enumerate(want)}
+    letters = secrets.FormatModel({"assign": secrets.Automaton(["l" * 12] * 50)}, {("^", "d"): -0.1, ("d", "d"): -0.1, ("d", "$"): -0.1}, least=6)
+    assert list(secrets.scan(pa.array(["1234567 abcdefghijkl."]), letters)) == [(0, [(8, 20, "grammar")])]
+    automaton = letters.automata["assign"]
+    assert automaton.log_likelihood("l" * 13) == automaton.log_likelihood("l" * 11) == np.log(automaton.floor)
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     out = F.crc32(F.col("i").cast("string").cast("binary")) % 3 == 1
