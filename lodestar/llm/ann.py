@@ -3,12 +3,14 @@
 A table turns vectors by a fast pseudo-random rotation, three rounds of random signs
 and a Hadamard transform, and files each under its nearest signed axis.  With many
 vectors a second, shorter rotation splits the buckets further.  A query looks into
-the buckets of its best few axes in every table; within a bucket all candidates are
-compared by blocked products, and the nearest are ranked by their exact cosines.
+the buckets of its best few axes in every table, more of them the more buckets there
+are; within a bucket all candidates are compared by blocked products, and the nearest
+are ranked by their exact cosines.  A query that finds too few is compared with all rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -74,7 +76,9 @@ def search(
     nearest, ties go to the smaller id.  Rows with the query's own id are no
     candidates.  Null ids, vectors that are null, zero or hold null or non-finite
     components, and those of another length than most take no part.  Every row is
-    indexed, in every table, and nothing is drawn from a sample.
+    indexed, in every table, and nothing is drawn from a sample.  ``probes`` is for the
+    buckets of one rotation; with a second one it grows with the root of their number.
+    Each query has k rows if there are k others.
     """
     spark, scratch = df.sparkSession, scratch or Scratch(df.sparkSession)
     small_batches(spark)
@@ -86,6 +90,8 @@ def search(
     fine = 0
     while 2 * width * max(1, 2 * fine) * bucket_rows < n and fine < width:
         fine = max(1, 2 * fine)
+    if fine:
+        probes = math.ceil(probes * math.sqrt(2 * fine))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,9 +99,9 @@ def search(
             unit, ids, asks = V.unit(x), b.column(0).to_numpy(), np.flatnonzero(b.column(2).to_numpy(zero_copy_only=False))
             data = V.packed(x)
             for t in range(tables):
-                found = buckets(unit, t, fine, probes)
+                own, found = buckets(unit, t, fine, 1), buckets(unit[asks], t, fine, probes)
                 row = np.concatenate([np.arange(len(x)), np.repeat(asks, found.shape[1])])
-                bucket = np.concatenate([found[:, 0], found[asks].ravel()]).astype(np.int32)
+                bucket = np.concatenate([own[:, 0], found.ravel()]).astype(np.int32)
                 ask = np.arange(len(row)) >= len(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(bucket), pa.array(ask), pa.array(ids[row]), data.take(pa.array(row))], names=["t", "bucket", "ask", "id", "v"])
 
@@ -140,5 +146,27 @@ def search(
         f["rank"] = (f.groupby("query_id").cumcount() + 1).astype("int32")
         return pa.Table.from_pandas(f[f["rank"] <= k][["query_id", "rank", "vec_id", "score"]], preserve_index=False)
 
+    def ranked(rows_: DataFrame) -> DataFrame:
+        return rows_.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(12, n // 100_000))).cast("int")).groupBy("part").applyInArrow(best, "query_id long, rank int, vec_id long, score double")
+
     # at most k x tables x probes rows of a query, for each block of a bucket
-    return found.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(12, n // 100_000))).cast("int")).groupBy("part").applyInArrow(best, "query_id long, rank int, vec_id long, score double")
+    near = scratch.save(ranked(found))
+    short = scratch.save(rows.filter("asks").join(near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"))
+    few = short.count()
+    if not few:
+        return near
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), V.packed(V.matrix(b.column(1)))], names=["id", "v"])
+
+    # blocks of these queries by blocks of all rows
+    asked, all_ = -(-few // block), -(-n // block)
+    q_block, c_block = (F.pmod(F.xxhash64("id"), F.lit(x)).cast("int") for x in (asked, all_))
+    each_q, each_c = (F.explode(F.sequence(F.lit(0), F.lit(x - 1))) for x in (asked, all_))
+    q = short.select("vec_id", "v").mapInArrow(pack, "id long, v binary").select(q_block.alias("t"), each_c.alias("bucket"), F.lit(True).alias("ask"), "id", "v")
+    c = rows.select("vec_id", "v").mapInArrow(pack, "id long, v binary").select(each_q.alias("t"), c_block.alias("bucket"), F.lit(False).alias("ask"), "id", "v")
+    pairs = q.unionByName(c).withColumn("block", F.lit(0)).withColumn("shard", F.col("t") * all_ + F.col("bucket"))
+    exact = ranked(pairs.groupBy("shard").applyInArrow(compare, "query_id long, vec_id long, score double"))
+    return near.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").select(near.columns).unionByName(exact)

@@ -239,3 +239,24 @@ def test_neighbours_recall_and_ties(spark):
     s = V.cosine(x, np.broadcast_to(x[ids == 10], x.shape))
     s[ids == 10] = -9
     assert [r.vec_id for r in sorted(exact, key=lambda r: r.rank)] == ids[np.lexsort((ids, -s))[:3]].tolist()
+
+
+def test_neighbours_among_many_buckets_and_of_lonely_queries(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    s = V.unit(x.astype(float)) @ V.unit(x.astype(float)).T
+    np.fill_diagonal(s, -9)
+
+    def found(n, step, **settings):
+        """By query, the ids found in order of rank, and the right ones."""
+        out = {i: ({}, np.argsort(-s[i, :n])[:5].tolist()) for i in range(0, n, step)}
+        for r in ann.search(df.filter(F.col("vec_id") < n), F.col("vec_id") % step == 0, **settings).collect():
+            out[r.query_id][0][r.rank] = r.vec_id
+        return [([ids[k] for k in sorted(ids)], right) for ids, right in out.values()]
+
+    got = found(3000, 50, bucket_rows=1)  # a second rotation of all its axes: 1,024 buckets
+    assert sum(len(set(ids) & set(right)) for ids, right in got) / 300 >= 0.95
+    got = found(200, 2, tables=1, probes=1, bucket_rows=1, block=30)  # most look into almost empty buckets
+    assert all(len(ids) == 5 for ids, _ in got)
+    assert sum(ids == right for ids, right in got) >= 50
