@@ -246,10 +246,8 @@ def _may_hold_base(data: np.ndarray, off: np.ndarray) -> set[int]:
         while at >= 0:
             found.append(at)
             at = hay.find(word, at + 1)
-    edge = np.diff(np.concatenate([[0], HEXDIGIT[data].view(np.int8), [0]]))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    long = end - start >= LEAST["hex"]
-    places = np.concatenate([np.array(found, np.int64), start[long], end[long] - 1])
+    start, end = _runs(HEXDIGIT[data], off)
+    places = np.concatenate([np.array(found, np.int64), start[end - start >= LEAST["hex"]]])
     return set((np.searchsorted(off, places, "right") - 1).tolist())
 
 

@@ -138,6 +138,11 @@ def test_secrets_against_patterns(spark, docs):
         assert sorted((r.doc_id if r.doc_id is not None else -1, r.base_sha256) for r in rows) == texts
 
 
+def test_hex_texts_between_texts_that_end_and_begin_with_hex():
+    texts = ["a cafe", "0" * 30, "", None, "f" * 24, "c" * 12, "d" * 12, "beef b"]
+    assert list(secrets.scan(pa.array(texts), None)) == [(1, [(0, 30, "hex")]), (4, [(0, 24, "hex")])]
+
+
 def test_grammar_finds_what_patterns_miss(spark, docs):
     rng = random.Random(4)
     upper = "".join(rng.choice("0123456789ABCDEF") for _ in range(40))
