@@ -36,7 +36,7 @@ PIECE = T.StructType(
     ]
 )
 #: Characters that are encoded at once.
-CHARACTERS = 1_000_000
+CHARACTERS = 400_000
 RUN = "length long, first_rank long, per_sequence long, n long, first_sequence long, first_offset long"
 
 
@@ -72,7 +72,7 @@ class Tokens:
     what might be a special token are given to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 2_000_000):
+    def __init__(self, path: str, end_id: int, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -213,7 +213,7 @@ def tokenize(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", max_to
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())], strict=False)], names=schema.names)
                 at = to
 
-    return docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(B.streamed(cut), schema)
 
 
 def plan(histogram: dict[int, int], max_tokens: int) -> list[tuple[int, int, int, int, int, int]]:

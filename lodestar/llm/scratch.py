@@ -5,17 +5,21 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where it is unset."""
+    """The session's spark.checkpoint.dir; where it is unset, a temporary folder, on one machine only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -33,10 +37,21 @@ def ship_code(spark: SparkSession) -> None:
     sc._lodestar_shipped = True
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bounds the rows of an Arrow batch, as texts may be long."""
+def _bytes(setting: str) -> int:
+    n, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", setting.lower()).groups()
+    return int(n) * {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[unit.removesuffix("b") or unit]
+
+
+def small_batches(spark: SparkSession, rows: int = 4096, size: int = 4 << 20) -> None:
+    """Bounds an Arrow batch by rows and by bytes, as texts may be long.
+
+    Lowers the session's settings where they are higher and never raises them.
+    """
     ship_code(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < _bytes(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
@@ -79,6 +94,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def digest(self, df: DataFrame) -> tuple:
+        """(rows, 128 bits of their hashes in any order) of distinct rows: equal for equal tables, and hardly ever for others."""
+        hashes = [F.bit_xor(F.xxhash64(*df.columns, F.lit(k))) for k in (0, 1)]
+        return tuple(df.agg(F.count(F.lit(1)), *hashes).first())
+
     def release(self) -> None:
         """Lets Spark delete the shuffle files of finished jobs now, not whenever the driver next cleans up."""
         gc.collect()
