@@ -13,7 +13,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _remainder(id_: str, n: int):
-    return F.crc32(F.col(id_).cast("string").cast("binary")) % n
+    """Of the id as text; null ids count as empty text."""
+    return F.crc32(F.coalesce(F.col(id_).cast("string"), F.lit("")).cast("binary")) % n
 
 
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,11 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(docs, secrets.fit(docs))
 
 
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 finds by the base patterns alone, which SQL can express."""
+    return secrets.find(_documents(spark, sf_dir), None).drop("spans")
+
+
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, _remainder("i", 3) != 1)
@@ -45,6 +51,12 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def nearest_neighbours_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 with its exact way alone, which SQL can express: every query against all rows, in blocks."""
+    found = ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, probes=None)
+    return found.withColumn("score", F.round("score", 9))
+
+
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.dedup(_documents(spark, sf_dir))
 
@@ -61,7 +73,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = langid.fit(docs, _remainder("doc_id", 4) != 2)
     found = langid.identify(docs, model, into="language")
-    return found.select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "language.lang_pred", "language.score")
+    return found.select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "language.lang_pred", "language.score", "language.margin", (~langid.is_clear("language", model)).alias("rejected"))
 
 
 MIXING_SQL = r"""
@@ -104,6 +116,13 @@ SELECT vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, least(vec_id, coales
 FROM embeddings LEFT JOIN counts c ON c.a = vec_id LEFT JOIN firsts f ON f.a = vec_id
 """
 
+NEAREST_SQL = """
+WITH d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+v AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM d WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.n * c.n) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, round(score, 9) AS score FROM s QUALIFY rank <= 5
+"""
+
 WINDOWS_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 starts AS (SELECT doc_id, unnest(range(len(w) - 19)) AS i, w FROM w WHERE len(w) >= 20),
@@ -114,6 +133,33 @@ kept AS (SELECT doc_id, count(*) AS n_words, count_if(gone = 1) AS n_removed, st
 SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
 """
 
+SUBSTRINGS_SQL = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS k, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT k, unnest(list_transform(range(octet_length(b) - 199), lambda i: md5_number(b[i + 1 : i + 200]))) AS h, unnest(range(octet_length(b) - 199)) AS i FROM t WHERE octet_length(b) >= 200),
+again AS (SELECT k, i FROM starts QUALIFY count(*) OVER (PARTITION BY h) > 1),
+edges AS (SELECT k, i, coalesce(i - lag(i) OVER o > 200, true) AS opens FROM again WINDOW o AS (PARTITION BY k ORDER BY i)),
+numbered AS (SELECT k, i, sum(opens::INT) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM edges),
+spans AS (SELECT k, min(i) AS a, max(i) + 200 AS z FROM numbered GROUP BY k, span),
+lists AS (SELECT k, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a) AS n FROM spans GROUP BY k)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(len(a), 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN a IS NULL THEN hex(b) ELSE array_to_string(list_transform(range(len(a) + 1), lambda j: hex(b[CASE WHEN j = 0 THEN 1 ELSE z[j] + 1 END : CASE WHEN j = len(a) THEN octet_length(b) ELSE a[j + 1] END])), '') END)) AS kept_sha256
+FROM t LEFT JOIN lists USING (k)
+"""
+
+BASE_SECRETS_SQL = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS x FROM documents),
+patterns(o, kind, pattern) AS (VALUES (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)'), (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+')),
+pieces AS (
+  SELECT k, 0 AS o, 'assign' AS kind, string_split(regexp_replace(x, '((?i:password|passwd|secret|token|api_?key))["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', chr(57344) || '\0' || chr(57345), 'g'), chr(57344)) AS s FROM t
+  UNION ALL SELECT k, 1, 'access', string_split(regexp_replace(x, 'AKIA[A-Z0-9]+', chr(57344) || '\0' || chr(57345), 'g'), chr(57344)) FROM t
+  UNION ALL SELECT k, 2, 'hex', string_split(regexp_replace(x, '[0-9a-f]{24,}', chr(57344) || '\0' || chr(57345), 'g'), chr(57344)) FROM t),
+places AS (SELECT k, o, kind, s, unnest(range(2, len(s) + 1)) AS i FROM pieces WHERE len(s) > 1),
+matches AS (SELECT k, o, kind, split_part(s[i], chr(57345), 1) AS v, CAST(list_sum(list_transform(s[1 : i - 1], lambda y: len(y))) AS BIGINT) - (i - 2) AS a FROM places),
+kept AS (SELECT *, a + len(v) AS z FROM matches WHERE CASE kind WHEN 'assign' THEN len(regexp_extract(v, '["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6 WHEN 'access' THEN len(v) >= 20 ELSE true END),
+counts AS (SELECT k, count_if(o = 0) AS n_assign, count_if(o = 1) AS n_access, count_if(o = 2) AS n_hex, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, o) AS spans FROM kept GROUP BY k)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM t LEFT JOIN counts USING (k)
+"""
+
 JACCARD_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) WHEN len(w) > 0 THEN ['short ' || array_to_string(w, ' ')] ELSE [] END AS s FROM w),
@@ -136,6 +182,8 @@ QUERIES = {
     "op8_incremental_substring_dedup": incremental_substring_dedup,
     "op9_ngram_jaccard_join": ngram_jaccard_join,
     "op10_language_id": language_id,
+    "secrets_by_base_patterns": base_secrets,
+    "nearest_by_all_comparisons": nearest_neighbours_exact,
 }
 
 ORACLE_SQL = {
@@ -143,4 +191,7 @@ ORACLE_SQL = {
     "op8_incremental_substring_dedup": WINDOWS_SQL,
     "op9_ngram_jaccard_join": JACCARD_SQL,
     "op5_curriculum_mixing": MIXING_SQL,
+    "op7_suffix_array_dedup": SUBSTRINGS_SQL,
+    "secrets_by_base_patterns": BASE_SECRETS_SQL,
+    "nearest_by_all_comparisons": NEAREST_SQL,
 }
