@@ -1,7 +1,7 @@
 """Indexing, retrieval and re-ranking, for many queries at once.
 
-Queries are a small table (query_id, query), given by the caller and broadcast; the
-corpus is only scanned, exploded to terms and aggregated by document.
+Queries are a table (query_id, query) given by the caller.  A TextIndex reads the
+documents once, for both tokenizers; retrieval then reads only its counts.
 """
 
 from __future__ import annotations
@@ -13,62 +13,103 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import tables
 from ..functions import scores as M
 from ..functions import text as X
 from ..functions import vectors as V
 
 K1, B, RRF_K = 1.5, 0.75, 60
+#: Kinds of counts: tokens of the sparse ranking, tokens of term weights, and one row for the document itself.
+RANK, TERM, DOCUMENT = 0, 1, 2
 
 
 def queries(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(list(rows), "query_id int, query string")
 
 
+def small(df: DataFrame) -> DataFrame:
+    """With a broadcast hint if its rows are few."""
+    return F.broadcast(df) if tables.is_small(df) else df
+
+
+def rank_tokens() -> Column:
+    return X.rank_tokens(F.concat("title", F.lit(" "), "content"))
+
+
+def term_tokens() -> Column:
+    return X.term_tokens(F.concat("title", F.lit(". "), "content"))
+
+
 @dataclass(frozen=True)
-class SparseIndex:
-    """postings (term, id, tf), doclen (id, len), vocab (term, df, idf) and totals (n, avgdl)."""
+class TextIndex:
+    """counts: (id, ok, len, kind, term, tf), a row for each document and distinct token of a kind.
+
+    len is the number of ranking tokens; ok says whether the document may be returned.
+    """
+
+    counts: DataFrame
+
+    def of(self, kind: int) -> DataFrame:
+        return self.counts.filter(F.col("kind") == kind)
+
+    def totals(self) -> DataFrame:
+        """One row: n, avgdl."""
+        return self.of(DOCUMENT).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
 
-    postings: DataFrame
-    doclen: DataFrame
-    vocab: DataFrame
-    totals: DataFrame
 
+def text_index(docs: DataFrame, *, where: Column | None = None, id_: str = "id", kinds: Sequence[int] = (RANK, TERM), saved: bool = True) -> TextIndex:
+    """One scan and one shuffle; ``saved`` writes the counts, for plans that read them more than once."""
 
-def sparse_index(docs: DataFrame, *, id_: str = "id") -> SparseIndex:
-    tokens = docs.select(F.col(id_).alias("id"), X.rank_tokens(F.concat("title", F.lit(" "), "content")).alias("tokens"))
-    doclen = tokens.select("id", F.size("tokens").alias("len"))
-    postings = tokens.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-    totals = doclen.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    vocab = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals)).select("term", "df", idf(F.col("df"), F.col("n")).alias("idf"))
-    return SparseIndex(postings, doclen, vocab, totals)
+    def marked(tokens: Column, kind: int) -> Column:
+        return F.transform(tokens, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
+
+    rows = docs.select(F.col(id_).alias("id"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("ok"), rank_tokens().alias("rank"), term_tokens().alias("terms"))
+    tokens = F.concat(*[marked(F.col(c), k) for c, k in (("rank", RANK), ("terms", TERM)) if k in kinds], F.array(F.struct(F.lit(DOCUMENT).alias("kind"), F.lit("").alias("term"))))
+    each = rows.select("id", "ok", F.size("rank").alias("len"), F.explode(tokens).alias("t")).select("id", "ok", "len", "t.kind", "t.term")
+    counts = each.groupBy("id", "ok", "len", "kind", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return TextIndex(tables.save(counts.sortWithinPartitions("kind", "term")) if saved else counts)
+
+
+def _index(docs: DataFrame | TextIndex, where: Column | None, id_: str, *kinds: int) -> TextIndex:
+    return docs if isinstance(docs, TextIndex) else text_index(docs, where=where, id_=id_, kinds=kinds)
+
+
+def term_statistics(docs: DataFrame, tokens: Column) -> DataFrame:
+    """(term, df, cf): documents that have each token, and its occurrences; no shuffle by document."""
+    both = F.concat(F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(0).alias("doc"))), F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(1).alias("doc"))))
+    rows = docs.select(F.explode(both).alias("t")).select("t.term", "t.doc")
+    return rows.groupBy("term").agg(F.sum("doc").alias("df"), F.sum(1 - F.col("doc")).alias("cf"))
 
 
 def idf(df: Column, n: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def bm25(docs: DataFrame, asked: DataFrame, *, where: Column | None = None, id_: str = "id") -> DataFrame:
+def bm25(docs: DataFrame | TextIndex, asked: DataFrame, *, where: Column | None = None, id_: str = "id", restricted: bool = True) -> DataFrame:
     """(query_id, id, score): sums over the query's tokens, repeats counted.
 
     Counts of documents and terms are those of the whole corpus; ``where`` only
-    restricts what is returned.  Only postings of the queries' terms are counted.
+    restricts what is returned (``restricted``: for an index, to its ok documents).
+    Only counts of the queries' terms are read.
     """
+    index = _index(docs, where, id_, RANK)
     terms = asked.select("query_id", F.explode(X.rank_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    wanted = F.broadcast(terms.select("term").distinct())
-    tokens = docs.select(F.col(id_).alias("id"), (F.lit(True) if where is None else where).alias("ok"), X.rank_tokens(F.concat("title", F.lit(" "), "content")).alias("tokens"))
-    tokens = tokens.withColumn("len", F.size("tokens"))
-    totals = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    postings = tokens.select("id", "ok", "len", F.explode("tokens").alias("term")).join(wanted, "term").groupBy("term", "id", "ok", "len").agg(F.count(F.lit(1)).alias("tf"))
-    vocab = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = postings.filter("ok").join(F.broadcast(vocab), "term").join(F.broadcast(terms), "term").crossJoin(F.broadcast(totals))
-    weight = F.col("times") * idf(F.col("df"), F.col("n")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return rows.groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
+    postings = index.of(RANK).join(small(terms.select("term").distinct()), "term", "left_semi")
+    # no more terms than the queries have
+    vocab = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(index.totals()))
+    weights = small(terms.join(vocab, "term").select("query_id", "term", "avgdl", (F.col("times") * idf(F.col("df"), F.col("n"))).alias("w")))
+    rows = (postings.filter("ok") if restricted else postings).join(weights, "term")
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    return rows.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
 def ranked(scored: DataFrame, k: int, *, by: str = "score", group: Sequence[str] = ("query_id",), tie: str = "id") -> DataFrame:
-    """The k best of each group, with rank from 0; ties go to the smaller id."""
+    """The k best of each group, with rank from 0; ties go to the smaller id.
+
+    Counted from 1 for the filter, so that no more than k rows of a group leave a partition.
+    """
     w = Window.partitionBy(*group).orderBy(F.desc(by), tie)
-    return scored.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def by_top(scored: DataFrame, *, by: str = "score", group: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -77,31 +118,40 @@ def by_top(scored: DataFrame, *, by: str = "score", group: Sequence[str] = ("que
     return scored.withColumn("normalized", F.col(by) / F.when(best > 0, best).otherwise(1.0))
 
 
-def term_weights(docs: DataFrame, *, most: int = 4096, id_: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(vocab (term, idf), weights (id, term, w)): log-scaled counts times idf, at unit length.
+def vocabulary(statistics: DataFrame, n: DataFrame, most: int = 4096) -> DataFrame:
+    """(term, idf) of the ``most`` terms that most documents have.  statistics: (term, df); n: one row, n."""
+    top = statistics.orderBy(F.desc("df"), "term").limit(most)
+    return top.crossJoin(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
-    The vocabulary is the ``most`` terms that most documents have.
-    """
-    tokens = docs.select(F.col(id_).alias("id"), F.explode(X.term_tokens(F.concat("title", F.lit(". "), "content"))).alias("term"))
-    counts = tokens.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    vocab = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(most)
-    vocab = vocab.crossJoin(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    raw = counts.join(F.broadcast(vocab), "term").select("id", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("raw"))
+
+def term_weights(docs: DataFrame | TextIndex, *, most: int = 4096, id_: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(vocab (term, idf), weights (id, ok, term, w)): log-scaled counts times idf, at unit length."""
+    index = _index(docs, None, id_, TERM)
+    counts = index.of(TERM)
+    vocab = vocabulary(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), index.totals().select("n"), most)
+    # no more than ``most`` rows
+    raw = counts.join(F.broadcast(vocab), "term").select("id", "ok", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("raw"))
     length = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return vocab, raw.join(length, "id").select("id", "term", (F.col("raw") / F.col("length")).alias("w"))
+    return vocab, raw.join(length, "id").select("id", "ok", "term", (F.col("raw") / F.col("length")).alias("w"))
 
 
-def term_cosine(docs: DataFrame, asked: DataFrame, *, where: Column | None = None, most: int = 4096, id_: str = "id") -> DataFrame:
-    """(query_id, id, score): cosine of term weights, the dense side of retrieval for texts."""
-    vocab, weights = term_weights(docs, most=most, id_=id_)
+def term_cosine(docs: DataFrame | TextIndex, asked: DataFrame, *, where: Column | None = None, most: int = 4096, id_: str = "id") -> DataFrame:
+    """(query_id, id, score): cosine of term weights, the dense side of retrieval for texts.
+
+    The products with each query and the document's length come from one aggregate
+    over its counts; documents without a term of a query do not come out.
+    """
+    index = _index(docs, where, id_, TERM)
+    counts = index.of(TERM)
+    vocab = tables.save(vocabulary(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), index.totals().select("n"), most))
     q = asked.select("query_id", F.explode(X.term_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     q = q.join(F.broadcast(vocab), "term").withColumn("raw", (1.0 + F.log("tf")) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("query_id")))
     q = q.select("query_id", "term", (F.col("raw") / length).alias("q"))
-    if where is not None:
-        weights = weights.join(docs.filter(where).select(F.col(id_).alias("id")), "id", "left_semi")
-    return weights.join(F.broadcast(q), "term").groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("w")).alias("score"))
+    raw = counts.filter("ok").join(F.broadcast(vocab), "term").select("id", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("raw"))
+    found = raw.join(small(q), "term").groupBy("query_id", "id").agg(F.sum(F.col("raw") * F.col("q")).alias("dot"))
+    lengths = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
+    return found.join(lengths, "id").select("query_id", "id", (F.col("dot") / F.col("length")).alias("score"))
 
 
 def fuse(lists: Sequence[tuple[DataFrame, float]], k: int, *, constant: int = RRF_K) -> DataFrame:
@@ -113,10 +163,11 @@ def fuse(lists: Sequence[tuple[DataFrame, float]], k: int, *, constant: int = RR
     return by_top(ranked(rows.groupBy("query_id", "id").agg(F.sum("part").alias("score")), k))
 
 
-def hybrid(docs: DataFrame, asked: DataFrame, k: int = 25, *, where: Column | None = None, weights: tuple[float, float] = (0.5, 0.5), filter_sparse: bool = True) -> DataFrame:
+def hybrid(docs: DataFrame | TextIndex, asked: DataFrame, k: int = 25, *, where: Column | None = None, weights: tuple[float, float] = (0.5, 0.5), filter_sparse: bool = True) -> DataFrame:
     """Dense and sparse lists of 2k each, fused: (query_id, id, score, rank, normalized)."""
-    dense = ranked(term_cosine(docs, asked, where=where), 2 * k)
-    sparse = ranked(bm25(docs, asked, where=where if filter_sparse else None), 2 * k)
+    index = _index(docs, where, "id", RANK, TERM)
+    dense = ranked(term_cosine(index, asked), 2 * k)
+    sparse = ranked(bm25(index, asked, restricted=filter_sparse), 2 * k)
     return fuse([(dense, weights[0]), (sparse, weights[1])], k)
 
 
@@ -126,25 +177,32 @@ def rerank(candidates: DataFrame, docs: DataFrame, asked: DataFrame, n: int = 15
     Ties keep the candidates' order.  ``previous`` names a column with the score of
     an earlier round.
     """
-    q = F.broadcast(asked.select("query_id", "query", X.word_set(F.col("query")).alias("words")))
-    rows = candidates.join(docs, "id").join(q, "query_id")
+    q = small(asked.select("query_id", "query", X.word_set(F.col("query")).alias("words")))
+    rows = docs.join(small(candidates), "id").join(q, "query_id")
     score = M.cross_score(F.col("query"), F.col("words"), F.col("title"), F.col("content"), F.col("credibility"), F.col("confidence"), F.col(previous) if previous else F.lit(None).cast("double"))
     rows = rows.withColumn("rerank_score", score)
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank", "id")
-    return rows.withColumn("place", F.row_number().over(w) - 1).filter(F.col("place") < n).select("query_id", "id", "rerank_score", "place")
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("query_id", "id", "rerank_score", (F.col("place") - 1).alias("place"))
 
 
-def nearest(vectors: DataFrame, asked: DataFrame, k: int, *, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, asked: DataFrame, k: int, *, id_: str = "vec_id", vector: str = "embedding", block: int = 2000) -> DataFrame:
     """Exact nearest vectors by cosine distance: (query_id, id, distance, similarity, rank).
 
-    ``asked`` (query_id, q) is a small table of query vectors.  Each document row
-    meets all queries at once and only k for each query leave a partition's sort.
+    ``asked``: (query_id, q).  Queries come in blocks of about ``block``, and each document
+    row meets a block at a time; only k rows for each query leave a partition's sort.
     """
     unit = vectors.select(F.col(id_).alias("id"), V.normalize(F.col(vector)).alias("v"))
-    q = F.broadcast(asked.select("query_id", V.normalize(F.col("q")).alias("u")))
-    rows = unit.join(q).select("query_id", "id", V.cosine_distance(F.col("v"), F.col("u")).alias("distance"))
+    q = asked.select("query_id", V.normalize(F.col("q")).alias("u"))
+    if tables.is_small(asked, block):
+        rows = unit.join(F.broadcast(q))
+    else:
+        blocks = -(-asked.count() // block)
+        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        rows = unit.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(q, "block")
+    rows = rows.select("query_id", "id", V.cosine_distance(F.col("v"), F.col("u")).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return rows.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k).withColumn("similarity", V.similarity(F.col("distance")))
+    rows = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+    return rows.withColumn("similarity", V.similarity(F.col("distance")))
 
 
 def expand(asked: DataFrame, *, ticker: str = "ticker") -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import committee, compress, critic, features, filters, memory, retrieve
 from ..sources import generators, stores, views
-from .queries import ASKED, BM25_SQL, CONTEXT_QUERY, COSINE_SQL, COVERAGE_SQL, JUDGE_SQL, KNN_SQL, NOW, RRF_SQL, T, at, ev, query, trust_sql, words_sql
+from .queries import ASKED, BM25_SQL, CONTEXT_QUERY, COSINE_SQL, COVERAGE_SQL, JUDGE_SQL, KNN_SQL, NOW, RRF_SQL, T, asking, at, ev, query, trust_sql, words_sql
 
 Q0 = ASKED[0][1]
 
@@ -62,8 +62,8 @@ def _(spark, d):
 @query("j10_truth_membership", f"{KNN_SQL[1:].replace(' q AS', 'WITH q AS', 1)}, top AS (SELECT query_id, id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 10) SELECT query_id, id, a.label = b.label AS relevant FROM top JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id")
 def _(spark, d):
     e = T(spark, d, "embeddings")
-    found = retrieve.nearest(e, e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
-    truth = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id", F.lit(True).alias("hit"))
+    found = retrieve.nearest(e, asking(e), 10)
+    truth = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id", F.lit(True).alias("hit"))
     return found.join(truth, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("hit", F.lit(False)).alias("relevant"))
 
 
@@ -113,13 +113,13 @@ def _(spark, d):
 @query("o4_knn_topk", f"{KNN_SQL[1:].replace(' q AS', 'WITH q AS', 1)} SELECT query_id, id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 3")
 def _(spark, d):
     e = T(spark, d, "embeddings")
-    return retrieve.nearest(e, e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 3).select("query_id", "id")
+    return retrieve.nearest(e, asking(e), 3).select("query_id", "id")
 
 
 @query("o5_filtered_knn", f"{KNN_SQL[1:].replace(' q AS', 'WITH q AS', 1)} SELECT query_id, id FROM s JOIN embeddings b ON b.vec_id = id WHERE b.label = 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 10")
 def _(spark, d):
     e = T(spark, d, "embeddings")
-    return retrieve.nearest(e.filter("label = 3"), e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10).select("query_id", "id")
+    return retrieve.nearest(e.filter("label = 3"), asking(e), 10).select("query_id", "id")
 
 
 @query("o6_context_rank", f""", s AS (SELECT ticker, id, round({trust_sql()} * confidence * exp(-0.05::DOUBLE * greatest((epoch_us({NOW}) - epoch_us(published)) / 86400e6::DOUBLE, 0.0::DOUBLE))
@@ -233,10 +233,10 @@ def _(spark, d):
    UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + r + 1) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS r FROM bm) WHERE r < 50),
  fused AS (SELECT query_id, id, sum(part) AS score FROM lists GROUP BY 1, 2) SELECT query_id, id, round(score, 9) AS score FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) <= 25""", "evidence")
 def _(spark, d):
-    e, q = ev(spark, d), retrieve.queries(spark, ASKED)
+    index, q = retrieve.text_index(ev(spark, d), where=F.col("ticker") == "SRC3"), retrieve.queries(spark, ASKED)
     exact = lambda df: df.withColumn("score", F.round("score", 9))
-    dense = retrieve.ranked(exact(retrieve.term_cosine(e, q, where=F.col("ticker") == "SRC3")), 50)
-    return retrieve.fuse([(dense, 1.0), (retrieve.ranked(exact(retrieve.bm25(e, q)), 50), 1.0)], 25).select("query_id", "id", F.round("score", 9).alias("score"))
+    dense = retrieve.ranked(exact(retrieve.term_cosine(index, q)), 50)
+    return retrieve.fuse([(dense, 1.0), (retrieve.ranked(exact(retrieve.bm25(index, q, restricted=False)), 50), 1.0)], 25).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
 @query("c11_memory_merge", "SELECT id, id % 2 = 0 AS fetched FROM evidence", "evidence")

@@ -289,13 +289,18 @@ def _(spark, d):
     return compress.similar_pairs(ev(spark, d)).select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
-KNN_SQL = """, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS u FROM embeddings WHERE vec_id < 5),
+KNN_SQL = """, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS u FROM embeddings WHERE vec_id % 20 = 0),
  s AS (SELECT query_id, e.vec_id AS id, 1 - list_dot_product(e.embedding::DOUBLE[], u) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(u, u))) AS distance FROM q, embeddings e)"""
 
 
+def asking(embeddings: DataFrame) -> DataFrame:
+    """The vector searches' queries: every row whose id is divisible by 20."""
+    return embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
 def _knn(spark, d):
     e = T(spark, d, "embeddings")
-    return retrieve.nearest(e, e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
+    return retrieve.nearest(e, asking(e), 10)
 
 
 @query("j7_nearest", f"{KNN_SQL[1:].replace(' q AS', 'WITH q AS', 1)} SELECT query_id, id, round(distance, 6) + 0.0 AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS rank FROM s QUALIFY rank < 10")
@@ -321,12 +326,14 @@ def _(spark, d):
 
 @query("a1_term_counts", f", t AS (SELECT id, unnest({RANK_SQL}) AS term FROM evidence), p AS (SELECT term, id, count(*) AS tf FROM t GROUP BY 1, 2) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY 1", "evidence")
 def _(spark, d):
-    return retrieve.sparse_index(ev(spark, d)).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return retrieve.term_statistics(ev(spark, d), retrieve.rank_tokens())
 
 
 @query("a2_idf", f", t AS (SELECT DISTINCT id, unnest({RANK_SQL}) AS term FROM evidence), n AS (SELECT count(*) AS n FROM evidence) SELECT term, round(ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1), 9) AS idf FROM t, n GROUP BY term, n", "evidence")
 def _(spark, d):
-    return retrieve.sparse_index(ev(spark, d)).vocab.select("term", F.round("idf", 9).alias("idf"))
+    e = ev(spark, d)
+    n = e.agg(F.count(F.lit(1)).alias("n"))
+    return retrieve.term_statistics(e, retrieve.rank_tokens()).crossJoin(F.broadcast(n)).select("term", F.round(retrieve.idf(F.col("df"), F.col("n")), 9).alias("idf"))
 
 
 QUERY_TERMS = r"list_transform(regexp_extract_all(query, '\b[a-zA-Z0-9_\-\$]{2,30}\b'), lambda t: lower(t))"
@@ -358,7 +365,8 @@ COSINE_SQL = f"""{TFIDF_SQL}, qr AS (SELECT query_id, term, (1 + ln(count(*))) *
 
 @query("v6_vocabulary", f"{TFIDF_SQL} SELECT term, round(idf, 9) AS idf FROM voc", "evidence")
 def _(spark, d):
-    return retrieve.term_weights(ev(spark, d))[0].select("term", F.round("idf", 9).alias("idf"))
+    e = ev(spark, d)
+    return retrieve.vocabulary(retrieve.term_statistics(e, retrieve.term_tokens()), e.agg(F.count(F.lit(1)).alias("n"))).select("term", F.round("idf", 9).alias("idf"))
 
 
 @query("v7_term_weights", f"{TFIDF_SQL} SELECT id, term, round(raw / length, 6) AS w FROM wt JOIN wl USING (id)", "evidence")
@@ -379,9 +387,9 @@ RRF_SQL = f"""{BM25_SQL}{COSINE_SQL},
 
 
 def _fused(spark, d):
-    e, q = ev(spark, d), retrieve.queries(spark, ASKED)
+    index, q = retrieve.text_index(ev(spark, d)), retrieve.queries(spark, ASKED)
     exact = lambda df: df.withColumn("score", F.round("score", 9))
-    dense, sparse = (retrieve.ranked(exact(f(e, q)), 50) for f in (retrieve.term_cosine, retrieve.bm25))
+    dense, sparse = (retrieve.ranked(exact(f(index, q)), 50) for f in (retrieve.term_cosine, retrieve.bm25))
     return retrieve.fuse([(dense, 0.5), (sparse, 0.5)], 25)
 
 
@@ -778,12 +786,12 @@ def _(spark, d):
 
 
 @query("a22_retrieval_quality", f"""{KNN_SQL[1:].replace(' q AS', 'WITH q AS', 1)}, top AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS rank FROM s QUALIFY rank < 10),
-  tr AS (SELECT a.vec_id AS query_id, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id < 5), n AS (SELECT query_id, count(*) AS n FROM tr GROUP BY 1),
+  tr AS (SELECT a.vec_id AS query_id, b.vec_id AS id FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0), n AS (SELECT query_id, count(*) AS n FROM tr GROUP BY 1),
   h AS (SELECT t.query_id, count(tr.id) AS hits, count(*) AS shown, sum(CASE WHEN tr.id IS NOT NULL THEN 1 / log2(rank + 2) ELSE 0 END) AS dcg FROM top t LEFT JOIN tr USING (query_id, id) GROUP BY 1)
   SELECT query_id, round(hits / n, 9) AS recall, round(hits / shown, 9) AS precision, round(dcg / list_sum(list_transform(range(least(n, 10)), lambda i: 1 / log2(i + 2))), 9) AS ndcg FROM h JOIN n USING (query_id)""")
 def _(spark, d):
     e = T(spark, d, "embeddings")
-    truth = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label")
+    truth = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label")
     r = evaluate.retrieval_quality(_knn(spark, d), truth, 10)
     return r.select("query_id", *[F.round(c, 9).alias(c) for c in ("recall", "precision", "ndcg")])
 

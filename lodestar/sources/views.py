@@ -17,7 +17,7 @@ SELECT CAST(d.doc_id AS BIGINT) AS id, substring(d.text, 1, 80) AS title, d.text
   CASE CAST(floor(CAST(d.doc_id AS DOUBLE) / 20) AS BIGINT) % 5 WHEN 0 THEN 'very_bearish' WHEN 1 THEN 'bearish' WHEN 2 THEN 'neutral'
     WHEN 3 THEN 'bullish' ELSE 'very_bullish' END AS sentiment,
   e.ts AS published
-FROM {documents} d JOIN {events} e ON e.event_id = d.doc_id LEFT JOIN {labels} l ON l.doc_id = d.doc_id
+FROM {documents} d LEFT JOIN {events} e ON e.event_id = d.doc_id LEFT JOIN {labels} l ON l.doc_id = d.doc_id
 """
 PRICES = """
 SELECT user_id AS ticker, ts, event_id AS seq, value AS close, CAST(event_id % 1000 + 1 AS BIGINT) AS volume FROM {events}
