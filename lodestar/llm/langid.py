@@ -1,16 +1,15 @@
 """Language identification by compression with per-language dictionaries.
 
-A language is modelled by a piece of its own text, used as a raw-content
-zstandard dictionary.  A text's words are cut into blocks, every block is compressed
-with every dictionary, and the language with the smallest total wins: shared letter
-sequences cost fewer bytes.  Texts whose runner-up is almost as small are rejected.
+A language is modelled by pieces of its own text as they stand, in lower case, used as
+a raw-content zstandard dictionary.  A text is cut into blocks, every block is
+compressed with every dictionary, and the language with the smallest total wins:
+shared letter sequences cost fewer bytes.  Nothing is taken out of a text, so each part
+of it weighs by its length.  Texts whose runner-up is almost as small are rejected.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,27 +21,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import bytescan as B
 from .scratch import free_names, small_batches
 
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
-WORDS = re.compile(r"[^\W\d_]+")
-
 
 #: Settings of the compressor: matches of three letters, a lazy parse.
-PARAMETERS = {"window_log": 17, "chain_log": 14, "hash_log": 14, "search_log": 4, "min_match": 3, "target_length": 32, "strategy": zstandard.STRATEGY_LAZY}
+PARAMETERS = {"window_log": 17, "chain_log": 14, "hash_log": 15, "search_log": 4, "min_match": 3, "target_length": 32, "strategy": zstandard.STRATEGY_LAZY}
 
 
-def letters(text: str) -> bytes:
-    """The whole text's runs of letters in lower case, each once, in order of first use."""
-    return " ".join(dict.fromkeys(WORDS.findall(text.lower()))).encode("utf-8", "surrogatepass")
+def folded(text: str) -> bytes:
+    """The whole text in lower case; case says little about a language."""
+    return text.lower().encode("utf-8", "surrogatepass")
 
 
 @dataclass(frozen=True)
 class LanguageModel:
     """Dictionary text by language.
 
-    A block is compressed behind a short carrier from the dictionary's end, whose
+    ``min_margin``: a language is narrow, and so rejected, when the next one takes less
+    than this share more bytes.  A block is compressed behind a short carrier from the dictionary's end, whose
     own size is subtracted: else zstandard would store very short texts as they are
     and all languages would tie.
     """
@@ -51,6 +50,7 @@ class LanguageModel:
     block_bytes: int = 16384
     carrier_bytes: int = 64
     temperature: float = 0.02
+    min_margin: float = 0.002
     _cache: dict = field(default_factory=dict, compare=False, repr=False)
 
     def __getstate__(self):
@@ -67,7 +67,7 @@ class LanguageModel:
 
     def sizes(self, text: str) -> list[tuple[int, str]]:
         """Bytes each language needs for the whole text, smallest first."""
-        data = letters(text)
+        data = folded(text)
         blocks = [data[i : i + self.block_bytes] for i in range(0, len(data), self.block_bytes)]
         return sorted((sum(len(c.compress(carrier + b)) - own for b in blocks), lang) for lang, c, carrier, own in self.compressors())
 
@@ -83,39 +83,34 @@ class LanguageModel:
 
 
 def fit(
-    docs: DataFrame, where: Column | None = None, *, text: str = "text", lang: str = "lang", id_: str = "doc_id", sample_docs: int = 400, dictionary_bytes: int = 8192, sample_chars: int = 4096, **settings
+    docs: DataFrame, where: Column | None = None, *, text: str = "text", lang: str = "lang", id_: str = "doc_id", sample_docs: int = 400, dictionary_bytes: int = 65536, piece_chars: int = 600, **settings
 ) -> LanguageModel:
     """Learns one dictionary for each language from rows with text and language.
 
-    At most about ``sample_docs`` documents of a language, chosen by a hash of the
-    id, reach the driver, each cut to ``sample_chars``: this bound does not
-    grow with the corpus.  Rows with a null text or language teach nothing; no
-    row at all gives a model without languages, which predicts ``und``.
+    About ``sample_docs`` labelled documents of a language, chosen by a hash of the id,
+    give one piece of at most ``piece_chars`` each, from a place that the hash chooses
+    too; what reaches the driver does not grow with the corpus.  Rows with a null text
+    or language teach nothing, equal pieces are used once, and ties in the hash go by
+    the text; no row at all gives a model without languages, which predicts ``und``.
     """
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(id_), F.lit(7)).alias("h"), (F.lit(True) if where is None else where).alias("w"))
     rows = rows.filter(F.col("w") & F.col("t").isNotNull() & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}")).drop("w")
     share = rows.groupBy("l").agg((F.lit(2.0 * sample_docs) / F.count(F.lit(1))).alias("share"))
+    # one number for each language, and the model holds a dictionary for each: broadcast
     picked = rows.join(F.broadcast(share), "l").filter(F.pmod(F.col("h"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    at = F.pmod(F.xxhash64("h", F.lit(1)), F.greatest(F.length("t") - piece_chars + 1, F.lit(1))) + 1
+    picked = picked.select("l", "h", F.substring("t", at.cast("int"), piece_chars).alias("t"))
     place = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
-    picked = picked.select("l", "h", F.substring("t", 1, sample_chars).alias("t")).withColumn("n", place).filter(F.col("n") <= sample_docs)
-    texts: dict[str, list[str]] = {}
+    picked = picked.withColumn("n", place).filter(F.col("n") <= sample_docs)
+    pieces: dict[str, list[bytes]] = {}
     for r in picked.orderBy("l", "n").collect():
-        texts.setdefault(r["l"], []).append(r["t"])
-    return LanguageModel({l: _fill(t, dictionary_bytes) for l, t in texts.items()}, **settings)
+        pieces.setdefault(r["l"], []).append(folded(r["t"]))
+    return LanguageModel({lang: _fill(p, dictionary_bytes) for lang, p in pieces.items()}, **settings)
 
 
-def _fill(texts: list[str], size: int) -> bytes:
-    """The commonest words of the texts, rising: the nearest offsets are the cheapest."""
-    seen: Counter[bytes] = Counter()
-    for t in texts:
-        seen.update(letters(t).split())
-    words, total = [], 0
-    for word, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
-        total += len(word) + 1
-        if total > size:
-            break
-        words.append(word)
-    return b" ".join(words[::-1]) + b" "
+def _fill(pieces: list[bytes], size: int) -> bytes:
+    """The first of the pieces that fit, one to a line, the last piece cut."""
+    return b"\n".join([*dict.fromkeys(pieces), b""])[:size]
 
 
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType())])
@@ -128,24 +123,32 @@ def prediction(model: LanguageModel, text: Column) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             yield pd.DataFrame([model.predict(t) for t in s], columns=PREDICTION.names)
+        B.give_back()
 
     return score(text)
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", into: str = "language") -> DataFrame:
-    """``docs`` with one more struct column ``into`` (lang_pred, score, margin)."""
+    """``docs`` with one more struct column ``into`` (lang_pred, score, margin).
+
+    Null texts and texts without a letter are ``und`` with score and margin 0.  Languages
+    of one size go by name and have margin 0.  Repeated rows get one answer, and an empty
+    table stays empty.  A column named as ``into`` is replaced.
+    """
     small_batches(docs.sparkSession)
-    return docs.withColumn(into, prediction(model, F.col(text)))
+    return docs.withColumn(into, prediction(model, F.col(f"`{text}`")))
+
+
+def is_clear(language: str, model: LanguageModel) -> Column:
+    """Whether a column of identify() names a language by a margin that is not narrow."""
+    return (F.col(f"{language}.lang_pred") != UNDETERMINED) & (F.col(f"{language}.margin") >= model.min_margin)
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, *, text: str = "text", min_margin: float = 0.01) -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> DataFrame:
     """Rows whose language is clear, with their columns as they were.
 
-    Rejected: null texts, texts without a letter, and texts for which the second
-    language takes less than ``min_margin`` more bytes than the first.  Repeated
-    rows are judged alike; an empty table stays empty.
+    Rejected: null texts, texts without a letter, and texts whose language is narrow.
+    Repeated rows are judged alike; an empty table stays empty.
     """
     (tmp,) = free_names(docs, "__language")
-    found = identify(docs, model, text=text, into=tmp)
-    clear = (F.col(f"{tmp}.lang_pred") != UNDETERMINED) & (F.col(f"{tmp}.margin") >= min_margin)
-    return found.filter(clear).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return identify(docs, model, text=text, into=tmp).filter(is_clear(tmp, model)).select(*[F.col(f"`{c}`") for c in docs.columns])
