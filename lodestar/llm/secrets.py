@@ -14,7 +14,7 @@ import hashlib
 import math
 import re
 from bisect import bisect_left, bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -254,7 +254,7 @@ def _may_hold_base(data: np.ndarray, off: np.ndarray) -> set[int]:
 def scan(column: pa.Array, model: FormatModel | None) -> Iterator[tuple[int, list[Span]]]:
     """(row, spans) of the rows with any span; offsets count code points of the whole text."""
     found = lru_cache(1 << 16)(model.credentials) if model else None
-    for i, j, data, off in B.chunks(column, 2 * B.CHUNK):
+    for i, j, data, off in B.chunks(column):
         start, end, text = _candidates(data, off, model) if model and model.automata else (np.zeros(0, np.int64),) * 3
         points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         tokens = defaultdict(list)
@@ -268,41 +268,72 @@ def scan(column: pa.Array, model: FormatModel | None) -> Iterator[tuple[int, lis
                 yield i + t, sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def fit(docs: DataFrame, *, text: str = "text", per_kind: int = 400, background_docs: int = 2000, **settings) -> FormatModel:
+def ordinary_steps(data: np.ndarray, off: np.ndarray, masked: dict[int, list[Span]], known: dict[int, str]) -> Counter:
+    """How often one class follows another in the texts' tokens of under LEAST["hex"] characters.
+
+    masked: base spans by text, in bytes; tokens that overlap one are no ordinary ones.
+    known: classes by the token's hash, kept between calls.
+    """
+    start, end = _runs(TOKEN[data], off)
+    short = end - start < LEAST["hex"]
+    for t, spans in masked.items():
+        for a, b, _ in spans:
+            short &= (end <= off[t] + a) | (start >= off[t] + b)
+    start, end = start[short], end[short]
+    hashes, lead, n = np.unique(B.word_hashes(data, start, end), return_index=True, return_counts=True)
+    out: Counter = Counter()
+    for h, i, k in zip(hashes.tolist(), lead.tolist(), n.tolist(), strict=True):
+        if (w := known.get(h)) is None:
+            if len(known) >= 1 << 17:
+                known.clear()
+            w = known[h] = classes(data[start[i] : end[i]].tobytes().decode())
+        out[w] += k
+    steps: Counter = Counter()
+    for w, k in out.items():
+        for x in zip("^" + w, w + "$", strict=True):
+            steps["".join(x)] += k
+    return steps
+
+
+def fit(docs: DataFrame, *, text: str = "text", per_kind: int = 400, most_chars: int = 512, **settings) -> FormatModel:
     """Learns formats from the credentials that the base patterns find in all documents.
 
-    About ``per_kind`` distinct credentials of a kind, chosen by their hash, and the
-    tokens of about ``background_docs`` documents reach the driver; neither bound
-    grows with the corpus.  Without credentials nothing is ever added to the base.
+    About ``per_kind`` distinct credentials of a kind of up to ``most_chars`` characters,
+    chosen by their hash, reach the driver as labelled samples.  The background, how
+    often one class follows another in ordinary tokens, is counted over the whole texts
+    of all documents; a few hundred counts reach the driver.  Null and empty texts and
+    repeated credentials add nothing; ties in the hash go by the credential.  Without
+    credentials, as in an empty table, nothing is ever added to the base.
     """
     small_batches(docs.sparkSession)
 
-    def credentials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps: Counter = Counter()
+        known: dict[int, str] = {}
         for batch in batches:
             rows = set()
-            for _, _, data, off in B.chunks(batch.column(0), 2 * B.CHUNK):
+            for _, _, data, off in B.chunks(batch.column(0)):
+                masked = {}
                 for t in _may_hold_base(data, off):
-                    rows.update(base_spans(data[off[t] : off[t + 1]].tobytes().decode("utf-8", "replace"))[1])
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in sorted(rows)], pa.string()) for k in (0, 1)], names=["kind", "value"])
-
-    found = docs.select(F.col(text).alias("t")).filter("t IS NOT NULL").mapInArrow(credentials, "kind string, value string")
-    found = Scratch(docs.sparkSession).save(found.filter(F.length("value") <= 512).distinct().withColumn("h", F.xxhash64("value", F.lit(3))))
+                    raw = data[off[t] : off[t + 1]].tobytes().decode("utf-8", "replace")
+                    spans, values = base_spans(raw)
+                    rows.update(v for v in values if len(v[1]) <= most_chars)
+                    if spans:
+                        masked[t] = [(len(raw[:a].encode()), len(raw[:b].encode()), k) for a, b, k in spans]
+                steps.update(ordinary_steps(data, off, masked, known))
+            found = sorted(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.string()), pa.array([1] * len(found), pa.int64())], names=["kind", "value", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(["step"] * len(steps), pa.string()), pa.array(list(steps), pa.string()), pa.array(list(steps.values()), pa.int64())], names=["kind", "value", "n"])
+
+    rows = docs.select(F.col(text).alias("t")).filter("t IS NOT NULL").mapInArrow(B.streamed(learned), "kind string, value string, n long")
+    found = Scratch(docs.sparkSession).save(rows.groupBy("kind", "value").agg(F.sum("n").alias("n")).withColumn("h", F.xxhash64("value", F.lit(3))))
     by_kind: dict[str, list[str]] = {}
     # the smallest hashes of each kind: TopK per partition, then of those
     for kind in KINDS[:3]:
-        rows = found.filter(F.col("kind") == kind).orderBy("h", "value").limit(per_kind).collect()
-        if rows:
-            by_kind[kind] = [classes(r["value"]) for r in rows]
-    texts = docs.select(F.col(text).alias("t")).filter("t IS NOT NULL").withColumn("h", F.xxhash64("t", F.lit(5)))
-    n = max(1, docs.count())
-    texts = texts.filter(F.pmod("h", F.lit(1 << 30)) < min(1.0, 2 * background_docs / n) * (1 << 30)).orderBy("h").limit(background_docs)
-    counts: dict[tuple[str, str], float] = defaultdict(float)
-    for r in texts.select(F.expr("regexp_extract_all(t, '[A-Za-z0-9+/_.=-]+', 0)").alias("w"), "t").select(F.slice("w", 1, 400).alias("w")).collect():
-        for token in r["w"]:
-            w = classes(token)
-            if len(token) < LEAST["hex"]:
-                for x in zip("^" + w, w + "$", strict=True):
-                    counts[x] += 1
+        got = found.filter(F.col("kind") == kind).orderBy("h", "value").limit(per_kind).collect()
+        if got:
+            by_kind[kind] = [classes(r["value"]) for r in got]
+    counts = {(r["value"][0], r["value"][1]): r["n"] for r in found.filter("kind = 'step'").collect()}  # pairs of classes
     totals: dict[str, float] = defaultdict(float)
     for (a, _), v in counts.items():
         totals[a] += v
@@ -336,13 +367,14 @@ def find(docs: DataFrame, model: FormatModel | None, *, id_: str = "doc_id", tex
                 hashes[row], listed[row] = hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(spans)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in counts], pa.array(hashes), pa.array(listed)], names=[c.split()[0] for c in SPANS.split(", ")])
 
-    return docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(report, SPANS)
+    return docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(B.streamed(report), SPANS)
 
 
 def redact(docs: DataFrame, model: FormatModel | None, *, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with ``mark`` in place of each found secret; all other columns as they were.
 
-    Overlapping spans become one mark.  Null texts stay null.
+    Overlapping spans become one mark.  Null and empty texts stay as they are, repeated
+    rows are cleaned alike, and an empty table stays empty.
     """
     small_batches(docs.sparkSession)
 
@@ -358,6 +390,7 @@ def redact(docs: DataFrame, model: FormatModel | None, *, text: str = "text", ma
                     at = max(at, b)
                 out[row] = "".join([*parts, out[row][at:]])
             yield pd.Series(out, dtype=object)
+        B.give_back()
 
     cleaned = F.pandas_udf("string")(clean)
     return docs.withColumn(text, cleaned(F.col(f"`{text}`")))

@@ -10,11 +10,14 @@ from ..operators import committee, compress, evaluate, filters
 from . import loop, planner
 
 
-def analyze(evidence: DataFrame, prices: DataFrame, query: str, ticker: str, as_of: Column, *, budget: int = 4000, rounds: int = 3) -> dict:
+def analyze(evidence: DataFrame, prices: DataFrame, query: str, ticker: str, as_of: Column, *, budget: int = 4000, rounds: int = 3, progress=None) -> dict:
     """Plan, retrieve, compress and decide: a dict of small results.
 
     prices: (ticker, ts, close).  The price is the last one known at ``as_of``.
+    ``progress`` is called with a stage, start or complete, and a dict about it.
     """
+    if progress:
+        progress("start", {"ticker": ticker, "query": query})
     spark = evidence.sparkSession
     asked = spark.createDataFrame([(ticker, query)], "ticker string, query string")
     known = filters.as_of(evidence, as_of)
@@ -23,6 +26,8 @@ def analyze(evidence: DataFrame, prices: DataFrame, query: str, ticker: str, as_
     context = compress.compress(chosen.withColumn("ticker", F.lit(ticker.upper())), query, as_of, group=["ticker"], budget=budget)
     price = prices.filter((F.upper("ticker") == ticker.upper()) & (F.col("ts") <= as_of)).groupBy().agg(F.max_by("close", "ts").alias("price")).withColumn("ticker", F.lit(ticker.upper()))
     decision = committee.judge(context, price)
+    if progress:
+        progress("complete", {"ticker": ticker, "evidence": len(research.curated), "coverage": research.coverage})
     return {"plan": planner.plan(asked), "research": research, "context": context, "decision": decision, "citations": committee.citations(context)}
 
 

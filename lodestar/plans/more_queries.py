@@ -129,12 +129,6 @@ def _(spark, d):
     return retrieve.ranked(scored, 10, group=["ticker"]).select("ticker", "id")
 
 
-@query("o7_diversify")
-def _(spark, d):
-    placed = ev(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("ticker").orderBy("id")))
-    return compress.diversify(placed, CONTEXT_QUERY, group=["ticker"]).select("ticker", "id", "pick")
-
-
 @query("o8_group_topn", "SELECT entity, filed FROM facts QUALIFY row_number() OVER (PARTITION BY entity ORDER BY end_date DESC, filed) <= 5", "facts")
 def _(spark, d):
     w = Window.partitionBy("entity").orderBy(F.desc("end_date"), "filed")
@@ -190,11 +184,6 @@ def _(spark, d):
     return spark.createDataFrame([(critic.refined_query(Q0, [S.GAPS["news"]]),)], "query string")
 
 
-@query("t16_sentences")
-def _(spark, d):
-    return ev(spark, d).select("id", F.size(X.sentences(F.col("content"))).alias("sentences"))
-
-
 @query("t17_token_estimate", "SELECT id, CAST(len('Source: ' || source_type || ' | Title: ' || title || ' | Content: ' || content) // 4 + 10 AS BIGINT) AS tokens FROM evidence", "evidence")
 def _(spark, d):
     return ev(spark, d).select("id", X.token_estimate(F.col("source_type"), F.col("title"), F.col("content")).alias("tokens"))

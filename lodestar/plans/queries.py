@@ -11,7 +11,6 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from .. import schema as S
 from ..functions import scores as M
 from ..functions import text as X
@@ -100,11 +99,6 @@ def _(spark, d):
     return T(spark, d, "customer").join(T(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("s6_synthetic_prices")
-def _(spark, d):
-    return generators.synthetic_prices(T(spark, d, "customer").select(F.col("c_custkey").alias("ticker")), 30, date(2024, 1, 1))
-
-
 @query("s7_fallback_rows", "SELECT c_custkey AS ticker, coalesce(max(o_totalprice), 100.0::DOUBLE) AS price FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def _(spark, d):
     found = T(spark, d, "orders").groupBy(F.col("o_custkey").alias("ticker")).agg(F.max("o_totalprice").alias("price"))
@@ -174,11 +168,6 @@ def _(spark, d):
     return stores.json_round_trip(views.view(spark, d, "predictions").filter("realized_price IS NOT NULL").select("prediction_id", "rating", "conviction"))
 
 
-@query("s18_market_summary")
-def _(spark, d):
-    return market.summary(views.view(spark, d, "prices"))
-
-
 @query("s20_macro_reading", "SELECT 'neutral' AS sentiment, 16.2::DOUBLE AS vix")
 def _(spark, d):
     return generators.macro_reading(spark).select("sentiment", "vix")
@@ -566,16 +555,6 @@ def _(spark, d):
     return compress.within_budget(ev(spark, d), 4000, group=["ticker"], order=["id"]).select("ticker", "id", "tokens", "total")
 
 
-@query("c8_leader_clusters")
-def _(spark, d):
-    return compress.leader_clusters(ev(spark, d), group=["ticker"]).select("ticker", "id", "leader")
-
-
-@query("c7_compress")
-def _(spark, d):
-    return compress.compress(ev(spark, d), CONTEXT_QUERY, at("2024-01-31"), group=["ticker"]).select("ticker", "id", "pick", "tokens", "total")
-
-
 # ---- indicators ----------------------------------------------------------------
 
 
@@ -652,11 +631,6 @@ def _(spark, d):
     return generators.walk_forward(spark, date(2024, 1, 1), date(2024, 3, 1), 7).select(F.col("as_of").cast("date").alias("as_of"))
 
 
-@query("w18_fan")
-def _(spark, d):
-    return generators.fan(spark, 100.0, 0.0004, 0.018)
-
-
 @query("m8_ratios", """, nm AS (SELECT entity, CASE concept WHEN 'NetIncomeLoss' THEN 'net_income' ELSE 'revenue' END AS metric, filed, value, form, end_date FROM facts),
   l AS (SELECT * FROM nm QUALIFY row_number() OVER (PARTITION BY entity, metric ORDER BY form = '10-K' DESC, end_date DESC, filed) = 1),
   wd AS (SELECT entity, max(CASE WHEN metric = 'revenue' THEN value END) AS r, max(CASE WHEN metric = 'net_income' THEN value END) AS ni FROM l GROUP BY 1) SELECT entity, CASE WHEN coalesce(r, 0) <> 0 AND coalesce(ni, 0) <> 0 THEN round(ni / r * 100, 2) END AS net_margin FROM wd""", "facts")
@@ -723,13 +697,6 @@ def _(spark, d):
     return ev(spark, d).select("id", F.explode(X.chunks(F.col("content"), 200, 150)).alias("chunk"))
 
 
-@query("c14_plan")
-def _(spark, d):
-    from . import planner
-
-    return planner.plan(ev(spark, d).select("ticker", F.col("title").alias("query")))
-
-
 # ---- evaluation ------------------------------------------------------------------
 
 JUDGED_SQL = """, ch AS (SELECT *, (realized_price - initial_price) / initial_price * 100 AS change FROM predictions WHERE realized_price IS NOT NULL AND initial_price > 0),
@@ -802,13 +769,6 @@ def _(spark, d):
     return evaluate.context_relevance(docs, retrieve.queries(spark, ASKED)).withColumn("context_relevance", F.round("context_relevance", 9))
 
 
-@query("a21_faithfulness")
-def _(spark, d):
-    c = T(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
-    asked = T(spark, d, "conversations").filter("role <> 'assistant'").groupBy("conv_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("context"))
-    return evaluate.faithfulness(c.join(asked, "conv_id")).select("conv_id", "turn", "faithfulness")
-
-
 @query("d_risk_measures", """, r AS (SELECT *, close / lag(close) OVER w - 1 AS r, close / max(close) OVER w - 1 AS fall FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY ts))
   SELECT ticker, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe, round(min(fall), 9) AS max_drawdown, round(quantile_cont(r, 0.05), 9) AS var95 FROM r GROUP BY 1""", "prices")
 def _(spark, d):
@@ -816,15 +776,6 @@ def _(spark, d):
     return r.select("ticker", F.round("sharpe", 6).alias("sharpe"), F.round("max_drawdown", 9).alias("max_drawdown"), F.round("var95", 9).alias("var95"))
 
 
-@query("c13_backtest")
-def _(spark, d):
-    from . import engine
-
-    dates = generators.walk_forward(spark, date(2024, 1, 8), date(2024, 1, 29), 7)
-    prices = T(spark, d, "events").join(T(spark, d, "documents").select((F.col("doc_id") % 20).alias("k")).distinct(), F.col("user_id") % 20 == F.col("k")).select(F.concat(F.lit("SRC"), F.col("k")).alias("ticker"), "ts", F.col("value").alias("close"))
-    return engine.backtest(ev(spark, d), prices, dates)
-
-
 @query("c6_research_loop")
 def _(spark, d):
     from . import loop

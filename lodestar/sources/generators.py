@@ -26,8 +26,9 @@ def synthetic_prices(tickers: DataFrame, days: int, start: date, *, ticker: str
 
 
 def uniform(*key) -> Column:
-    """A number from 0 to 1 (both excluded) for each key."""
-    return (F.pmod(F.xxhash64(*[F.lit(k) if not isinstance(k, str) else F.col(k) for k in key]), F.lit(1 << 52)) + 0.5) / (1 << 52)
+    """A number from 0 to 1 (both excluded) for each key: 52 bits of its MD5, which any engine can compute."""
+    text = F.concat_ws("|", *[(F.col(k) if isinstance(k, str) else F.lit(k)).cast("string") for k in key])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / (1 << 52)
 
 
 def normal(*key) -> Column:
