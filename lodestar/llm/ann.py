@@ -4,8 +4,11 @@ A table turns vectors by a fast pseudo-random rotation, three rounds of random s
 and a Hadamard transform, and files each under its nearest signed axis.  With many
 vectors a second, shorter rotation splits the buckets further.  A query looks into
 the buckets of its best few axes in every table, more of them the more buckets there
-are; within a bucket all candidates are compared by blocked products, and the nearest
-are ranked by their exact cosines.  A query that finds too few is compared with all rows.
+are; what it finds in any table is compared once, and the nearest are ranked by their
+exact cosines.  A query that finds too few is compared with all rows.
+
+Vectors lie in blocks, each with its own tables, and are moved once; a block gets all
+queries.  The bytes so moved are few beside the comparisons they serve.
 """
 
 from __future__ import annotations
@@ -18,7 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from . import bytescan as B
 from . import vectors as V
 from .scratch import Scratch, small_batches
 
@@ -34,7 +39,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-@lru_cache(maxsize=256)
+@lru_cache(maxsize=64)
 def _signs(width: int, table: int, part: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([table, part, width])).choice([-1.0, 1.0], (3, width))
 
@@ -66,107 +71,117 @@ def buckets(x: np.ndarray, table: int, fine: int, probes: int) -> np.ndarray:
     return np.take_along_axis(both, np.argsort(-score, 1, kind="stable")[:, :probes], 1)
 
 
+def second_axes(n: int, length: int, bucket_rows: int) -> int:
+    """Axes of the second rotation for n vectors of a length."""
+    width, fine = 1 << max(0, length - 1).bit_length(), 0
+    while 2 * width * max(1, 2 * fine) * bucket_rows < n and fine < width:
+        fine = max(1, 2 * fine)
+    return fine
+
+
+class Tables:
+    """The tables of a block of unit vectors, ``n`` being the number of all."""
+
+    def __init__(self, rows: np.ndarray, n: int, tables: int, probes: int, bucket_rows: int):
+        self.fine, self.size = second_axes(n, rows.shape[1], bucket_rows), len(rows)
+        self.probes = math.ceil(probes * math.sqrt(2 * self.fine)) if self.fine else probes
+        self.tables = []
+        for t in range(tables):
+            own = np.concatenate([buckets(rows[i : i + 4096], t, self.fine, 1)[:, 0] for i in range(0, len(rows), 4096)])
+            order = np.argsort(own, kind="stable")
+            self.tables.append((own[order], order))
+
+    def candidates(self, asked: np.ndarray) -> np.ndarray:
+        """Which rows (second axis) each query meets in some table."""
+        out = np.zeros((len(asked), self.size), bool)
+        for t, (own, order) in enumerate(self.tables):
+            found = buckets(asked, t, self.fine, self.probes)
+            lo, hi = (np.searchsorted(own, found, side) for side in ("left", "right"))
+            counts = (hi - lo).ravel()
+            out[np.repeat(np.repeat(np.arange(len(asked)), found.shape[1]), counts), order[np.repeat(lo.ravel(), counts) + B.runs_in(counts)]] = True
+        return out
+
+
 def search(
-    df: DataFrame, queries: Column, *, id_: str = "vec_id", vector: str = "embedding", k: int = 5, tables: int = 16, probes: int = 16,
-    bucket_rows: int = 500, block: int = 4096, scratch: Scratch | None = None,
+    df: DataFrame, queries: Column, *, id_: str = "vec_id", vector: str = "embedding", k: int = 5, tables: int = 16, probes: int | None = 8,
+    bucket_rows: int = 500, block: int = 65536, least_blocks: int = 12, scratch: Scratch | None = None,
 ) -> DataFrame:
     """The k nearest found to each row of ``df`` for which ``queries`` holds: query_id, rank, vec_id, score.
 
     score is the cosine of the original vectors in double precision; rank 1 is the
-    nearest, ties go to the smaller id.  Rows with the query's own id are no
-    candidates.  Null ids, vectors that are null, zero or hold null or non-finite
-    components, and those of another length than most take no part.  Every row is
-    indexed, in every table, and nothing is drawn from a sample.  ``probes`` is for the
-    buckets of one rotation; with a second one it grows with the root of their number.
-    Each query has k rows if there are k others.
+    nearest, ties go to the smaller id.  Rows with the query's own id are no candidates; of rows with one id the
+    nearest counts, and queries with one id are one query, whose vectors all ask.  Null
+    ids and vectors that are null, zero or hold null or non-finite components take no
+    part; vectors of different lengths are not compared.  Every row is indexed, in every
+    table, and nothing is drawn from a sample.  ``probes`` is for the buckets of one
+    rotation; with a second one it grows with the root of their number; None compares
+    queries with all rows.  Each query has k rows if there are k others of its length.
+    An empty table, or one without queries, gives no rows.
     """
     spark, scratch = df.sparkSession, scratch or Scratch(df.sparkSession)
     small_batches(spark)
-    rows = df.select(F.col(id_).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    rows = rows.filter(V.usable(F.col("v")) & F.col("vec_id").isNotNull())
-    dim = V.dimension(rows, "v")
-    rows = rows.filter(F.size("v") == dim)
-    n, width = rows.count(), 1 << max(0, dim - 1).bit_length()
-    fine = 0
-    while 2 * width * max(1, 2 * fine) * bucket_rows < n and fine < width:
-        fine = max(1, 2 * fine)
-    if fine:
-        probes = math.ceil(probes * math.sqrt(2 * fine))
-
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = V.matrix(b.column(1))
-            unit, ids, asks = V.unit(x), b.column(0).to_numpy(), np.flatnonzero(b.column(2).to_numpy(zero_copy_only=False))
-            data = V.packed(x)
-            for t in range(tables):
-                own, found = buckets(unit, t, fine, 1), buckets(unit[asks], t, fine, probes)
-                row = np.concatenate([np.arange(len(x)), np.repeat(asks, found.shape[1])])
-                bucket = np.concatenate([own[:, 0], found.ravel()]).astype(np.int32)
-                ask = np.arange(len(row)) >= len(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(bucket), pa.array(ask), pa.array(ids[row]), data.take(pa.array(row))], names=["t", "bucket", "ask", "id", "v"])
-
-    filed = scratch.save(rows.mapInArrow(file, "t int, bucket int, ask boolean, id long, v binary"))
-    # a bucket with many rows is cut into blocks, and its queries go to each of them
-    sizes = filed.filter("NOT ask").groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = filed.join(sizes, ["t", "bucket"])
-    at = F.when(F.col("ask"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), "blocks").cast("int")))
-    dealt = dealt.withColumn("block", F.explode(at)).withColumn("shard", F.pmod(F.xxhash64("t", "bucket", "block"), F.lit(max(24, min(50000, n * tables // 20000)))).cast("int"))
-
-    def compare(shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by([(c, "ascending") for c in ("t", "bucket", "block")])
-        keys = shard.select(["t", "bucket", "block"]).to_pandas()
-        at = np.append(np.flatnonzero(~keys.duplicated().to_numpy()), len(keys))
-        ask, ids = shard["ask"].to_numpy(), shard["id"].to_numpy()
-        x = V.unpacked(shard["v"]) if len(keys) else np.zeros((0, 1))
-        unit = V.unit(x)
-        out: list[list] = [[], [], []]
-        for s, e in zip(at, at[1:], strict=False):
-            q, c = s + np.flatnonzero(ask[s:e]), s + np.flatnonzero(~ask[s:e])
-            if not len(q) or not len(c):
-                continue
-            near = unit[q] @ unit[c].T
-            near[ids[q][:, None] == ids[c][None, :]] = -np.inf
-            cut = np.partition(near, max(0, len(c) - k), 1)[:, max(0, len(c) - k)]
-            for i, own in enumerate(q.tolist()):
-                # rounding must not decide a tie: all that come near the k-th are compared exactly
-                close = c[near[i] >= (cut[i] - 1e-9 if np.isfinite(cut[i]) else -2)]
-                score = V.cosine(x[close], np.broadcast_to(x[own], (len(close), x.shape[1])))
-                best = np.lexsort((ids[close], -score))
-                _, first = np.unique(ids[close][best], return_index=True)
-                best = best[np.sort(first)[:k]]
-                out[0] += [ids[own]] * len(best)
-                out[1] += ids[close][best].tolist()
-                out[2] += score[best].tolist()
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    found = dealt.groupBy("shard").applyInArrow(compare, "query_id long, vec_id long, score double")
-
-    def best(rows_: pa.Table) -> pa.Table:
-        f = rows_.to_pandas().drop_duplicates(["query_id", "vec_id"]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        f["rank"] = (f.groupby("query_id").cumcount() + 1).astype("int32")
-        return pa.Table.from_pandas(f[f["rank"] <= k][["query_id", "rank", "vec_id", "score"]], preserve_index=False)
-
-    def ranked(rows_: DataFrame) -> DataFrame:
-        return rows_.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(12, n // 100_000))).cast("int")).groupBy("part").applyInArrow(best, "query_id long, rank int, vec_id long, score double")
-
-    # at most k x tables x probes rows of a query, for each block of a bucket
-    near = scratch.save(ranked(found))
-    short = scratch.save(rows.filter("asks").join(near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"))
-    few = short.count()
-    if not few:
-        return near
+    number = V.kind(df, vector)
+    rows = df.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    rows = rows.filter(V.usable(F.col("v")) & F.col("id").isNotNull())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), V.packed(V.matrix(b.column(1)))], names=["id", "v"])
-
-    # blocks of these queries by blocks of all rows
-    asked, all_ = -(-few // block), -(-n // block)
-    q_block, c_block = (F.pmod(F.xxhash64("id"), F.lit(x)).cast("int") for x in (asked, all_))
-    each_q, each_c = (F.explode(F.sequence(F.lit(0), F.lit(x - 1))) for x in (asked, all_))
-    q = short.select("vec_id", "v").mapInArrow(pack, "id long, v binary").select(q_block.alias("t"), each_c.alias("bucket"), F.lit(True).alias("ask"), "id", "v")
-    c = rows.select("vec_id", "v").mapInArrow(pack, "id long, v binary").select(each_q.alias("t"), c_block.alias("bucket"), F.lit(False).alias("ask"), "id", "v")
-    pairs = q.unionByName(c).withColumn("block", F.lit(0)).withColumn("shard", F.col("t") * all_ + F.col("bucket"))
-    exact = ranked(pairs.groupBy("shard").applyInArrow(compare, "query_id long, vec_id long, score double"))
-    return near.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").select(near.columns).unionByName(exact)
+            for at, x in V.by_length(b, 1):
+                own = pa.array(at)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(2).take(own), pa.array(np.full(len(at), x.shape[1], np.int32)), V.packed(x, number)], names=["id", "asks", "length", "v"])
+
+    rows = scratch.save(rows.mapInArrow(B.streamed(pack), "id long, asks boolean, length int, v binary"))
+    tasks = max(24, -(-rows.count() // block))
+    # one number for each length that occurs
+    sizes = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.greatest(F.lit(least_blocks), F.ceil(F.col("n") / block)).cast("int"))
+
+    def near(asked: DataFrame, probes: int | None) -> DataFrame:
+        def compare(shard: pa.Table) -> pa.Table:
+            ask, ids, n = shard["ask"].to_numpy(), shard["id"].to_numpy(), int(shard["n"][0].as_py())
+            q, c = np.flatnonzero(ask), np.flatnonzero(~ask)
+            x = V.unpacked(shard["v"], number)
+            unit = V.unit(x.astype(np.float64)).astype(np.float32)
+            out: list[list] = [[], [], []]
+            index = Tables(unit[c], n, tables, probes, bucket_rows) if probes is not None and len(q) and len(c) else None
+            rows_ = unit[c]
+            for s in range(0, len(q) if len(c) else 0, 256):
+                own = q[s : s + 256]
+                may = np.ones((len(own), len(c)), bool) if index is None else index.candidates(unit[own])
+                may &= ids[own][:, None] != ids[c][None, :]
+                for i, j in enumerate(own.tolist()):
+                    some = np.flatnonzero(may[i])
+                    if not len(some):
+                        continue
+                    at, close = c[some], rows_[some] @ unit[j]
+                    if len(at) > 4 * k:
+                        # rounding must not decide a tie: all that come near the k-th are compared exactly
+                        at_ = at[close >= np.partition(close, len(at) - k)[len(at) - k] - V.ROUNDING]
+                    else:
+                        at_ = at
+                    score = V.cosine(x[at_], np.broadcast_to(x[j], (len(at_), x.shape[1])))
+                    best = np.lexsort((ids[at_], -score))
+                    _, first = np.unique(ids[at_][best], return_index=True)
+                    best = best[np.sort(first)[:k]]
+                    for column, v in zip(out, ([ids[j]] * len(best), ids[at_][best].tolist(), score[best].tolist()), strict=True):
+                        column += v
+            return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+        blocked = rows.join(sizes, "length").select("length", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(False).alias("ask"), "id", "n", "v")
+        each = asked.join(sizes, "length").select("length", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("ask"), "id", "n", "v")
+        # so many tasks however few the bytes: the work is in the comparisons
+        found = blocked.unionByName(each).repartition(tasks, "length", "block").groupBy("length", "block").applyInArrow(B.grouped(compare), "query_id long, vec_id long, score double")
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        # k rows of each block at most; no more than k of a query leave a partition
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return scratch.save(found.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+
+    asked = rows.filter("asks")
+    got = near(asked, probes)
+    if probes is None:
+        return got
+    enough = got.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = scratch.save(asked.join(enough, "id", "left_anti"))
+    if not short.limit(1).count():
+        return got
+    rest = near(short, None)
+    return got.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").select(got.columns).unionByName(rest)
