@@ -280,6 +280,15 @@ def ordinary_steps(data: np.ndarray, off: np.ndarray, masked: dict[int, list[Spa
         for a, b, _ in spans:
             short &= (end <= off[t] + a) | (start >= off[t] + b)
     start, end = start[short], end[short]
+    steps: Counter = Counter()
+    size, low, up = end - start, *(np.concatenate([[0], np.cumsum(x[data])]) for x in (LOW, UP))
+    low, up = low[end] - low[start], up[end] - up[start]
+    letters = low + up == size
+    # tokens of letters only are known by their length and by whether they mix case
+    for c, some in (("l", letters & ((low == 0) | (up == 0))), ("L", letters & (low > 0) & (up > 0))):
+        n, total = int(some.sum()), int(size[some].sum())
+        steps.update({x: k for x, k in (("^" + c, n), (c + c, total - n), (c + "$", n)) if k})
+    start, end = start[~letters], end[~letters]
     hashes, lead, n = np.unique(B.word_hashes(data, start, end), return_index=True, return_counts=True)
     out: Counter = Counter()
     for h, i, k in zip(hashes.tolist(), lead.tolist(), n.tolist(), strict=True):
@@ -288,7 +297,6 @@ def ordinary_steps(data: np.ndarray, off: np.ndarray, masked: dict[int, list[Spa
                 known.clear()
             w = known[h] = classes(data[start[i] : end[i]].tobytes().decode())
         out[w] += k
-    steps: Counter = Counter()
     for w, k in out.items():
         for x in zip("^" + w, w + "$", strict=True):
             steps["".join(x)] += k
