@@ -3,8 +3,9 @@
 A language is modelled by pieces of its own text as they stand, in lower case, used as
 a raw-content zstandard dictionary.  A text is cut into blocks, every block is
 compressed with every dictionary, and the language with the smallest total wins:
-shared letter sequences cost fewer bytes.  Nothing is taken out of a text, so each part
-of it weighs by its length.  Texts whose runner-up is almost as small are rejected.
+shared letter sequences cost fewer bytes.  Nothing is taken out of a text; what it
+repeats within a block costs little the second time.  Texts whose runner-up is almost as
+small are rejected.
 """
 
 from __future__ import annotations

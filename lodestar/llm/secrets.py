@@ -268,17 +268,13 @@ def scan(column: pa.Array, model: FormatModel | None) -> Iterator[tuple[int, lis
                 yield i + t, sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def ordinary_steps(data: np.ndarray, off: np.ndarray, masked: dict[int, list[Span]], known: dict[int, str]) -> Counter:
+def ordinary_steps(data: np.ndarray, off: np.ndarray, known: dict[int, str]) -> Counter:
     """How often one class follows another in the texts' tokens of under LEAST["hex"] characters.
 
-    masked: base spans by text, in bytes; tokens that overlap one are no ordinary ones.
     known: classes by the token's hash, kept between calls.
     """
     start, end = _runs(TOKEN[data], off)
     short = end - start < LEAST["hex"]
-    for t, spans in masked.items():
-        for a, b, _ in spans:
-            short &= (end <= off[t] + a) | (start >= off[t] + b)
     start, end = start[short], end[short]
     steps: Counter = Counter()
     size, low, up = end - start, *(np.concatenate([[0], np.cumsum(x[data])]) for x in (LOW, UP))
@@ -321,14 +317,10 @@ def fit(docs: DataFrame, *, text: str = "text", per_kind: int = 400, most_chars:
         for batch in batches:
             rows = set()
             for _, _, data, off in B.chunks(batch.column(0)):
-                masked = {}
                 for t in _may_hold_base(data, off):
-                    raw = data[off[t] : off[t + 1]].tobytes().decode("utf-8", "replace")
-                    spans, values = base_spans(raw)
+                    values = base_spans(data[off[t] : off[t + 1]].tobytes().decode("utf-8", "replace"))[1]
                     rows.update(v for v in values if len(v[1]) <= most_chars)
-                    if spans:
-                        masked[t] = [(len(raw[:a].encode()), len(raw[:b].encode()), k) for a, b, k in spans]
-                steps.update(ordinary_steps(data, off, masked, known))
+                steps.update(ordinary_steps(data, off, known))
             found = sorted(rows)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.string()), pa.array([1] * len(found), pa.int64())], names=["kind", "value", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(["step"] * len(steps), pa.string()), pa.array(list(steps), pa.string()), pa.array(list(steps.values()), pa.int64())], names=["kind", "value", "n"])

@@ -192,12 +192,12 @@ def vector_rows(n=300, dim=16, seed=0):
         if i % 3 == 0 and rows and rows[-1][1]:
             v = np.array(rows[-1][1]) + rng.normal(size=dim) * 0.05
         rows.append((i * 2, [float(x) for x in v.astype(np.float32)], None if i % 41 == 0 else i % 2))
-    rows += [(9001, None, 1), (9002, [0.0] * dim, 1), (9003, [None, *[1.0] * (dim - 1)], 1), (9004, [float("nan")] * dim, 1), (9005, [1.0, 2.0], 0), (9006, rows[5][1], rows[5][2]), (9007, rows[5][1], rows[5][2])]
+    rows += [(9001, None, 1), (9002, [0.0] * dim, 1), (9003, [None, *[1.0] * (dim - 1)], 1), (9004, [float("nan")] * dim, 1), (9005, [1.0, 2.0], 0), (9010, [1.0, 2.0], 0), (9012, [1.0, 2.01], 0), (9014, [2.0, -1.0], 0), (9006, rows[5][1], rows[5][2]), (9007, rows[5][1], rows[5][2])]
     return rows
 
 
-def ok(r, dim=16):
-    return r[1] is not None and len(r[1]) == dim and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])
+def ok(r):
+    return r[1] is not None and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])
 
 
 @pytest.mark.parametrize(("cell_rows", "block"), [(5, 4), (1000, 1024), (40, 8)])
@@ -206,9 +206,8 @@ def test_vector_groups(spark, cell_rows, block):
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, label int, cell int, own string")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.dedup(df, cell_rows=cell_rows, block=block).collect()}
     good = [r for r in rows if ok(r) and r[2] is not None]
-    u = V.unit(np.array([r[1] for r in good], np.float32).astype(float))
-    near = (u @ u.T >= 0.98) & (np.array([r[2] for r in good])[:, None] == np.array([r[2] for r in good])[None])
-    np.fill_diagonal(near, False)
+    near = np.array([[a[0] != b[0] and a[2] == b[2] and len(a[1]) == len(b[1]) and V.cosine(*(np.array([x[1]], np.float32) for x in (a, b)))[0] >= 0.98 for b in good] for a in good])
+    assert near.sum() >= 12
     reach = np.eye(len(good), dtype=bool) | near
     for _ in range(9):
         reach = (reach.astype(int) @ reach.astype(int)) > 0
@@ -224,9 +223,11 @@ def test_neighbours_recall_and_ties(spark):
     rows = vector_rows(600, seed=3)
     df = spark.createDataFrame([(r[0], r[1], 1) for r in rows], "vec_id long, embedding array<float>, bucket int")
     got = {}
-    for r in ann.search(df, F.col("vec_id") % 50 == 0, tables=16, probes=16).collect():
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, tables=16, probes=8).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    good = [r for r in rows if ok(r)]
+    short = sorted((r.query_id, r.rank, r.vec_id) for r in ann.search(df, F.col("vec_id") == 9010).collect())
+    assert short == [(9010, 1, 9005), (9010, 2, 9012), (9010, 3, 9014)]  # only vectors of the query's own length
+    good = [r for r in rows if ok(r) and len(r[1]) == 16]
     x, ids = np.array([r[1] for r in good], np.float32).astype(float), np.array([r[0] for r in good])
     hits = total = 0
     for i in np.flatnonzero(ids % 50 == 0):
@@ -265,3 +266,158 @@ def test_neighbours_among_many_buckets_and_of_lonely_queries(spark):
     got = found(200, 2, tables=1, probes=1, bucket_rows=1, block=30)  # most look into almost empty buckets
     assert all(len(ids) == 5 for ids, _ in got)
     assert sum(ids == right for ids, right in got) >= 50
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (2, [1.0, 0.2]), (3, [0.1, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.rank: (r.vec_id, round(r.score, 6)) for r in ann.search(df, F.col("vec_id") == 1, k=5).collect()}
+    assert got == {1: (2, 0.995037), 2: (3, 0.995037)}
+
+
+def test_fewer_comparisons_than_all(spark):
+    """The share of rows that queries meet at the registered settings, and what that finds."""
+    x = V.unit(V.matrix(pa.array(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()["embedding"].tolist())))
+    asked = x[::50]
+    met = ann.Tables(x, len(x), 16, 8, 500).candidates(asked)
+    near = asked @ x.T
+    near[np.arange(len(asked)), np.arange(0, len(x), 50)] = -9
+    best = np.argsort(-near, 1)[:, :5]
+    assert met.mean() < 0.62
+    assert np.take_along_axis(met, best, 1).mean() >= 0.95
+
+
+def test_links_at_the_threshold_do_not_depend_on_blocks(spark):
+    """Pairs whose cosine is the threshold to the last bits."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(60):
+        a = rng.normal(size=24)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=24)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        rows += [(2 * i, a.tolist(), 0), (2 * i + 1, (0.98 * a + np.sqrt(1 - 0.98**2) * b).tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = {i for i in range(60) if V.cosine(np.array([rows[2 * i][1]]), np.array([rows[2 * i + 1][1]]))[0] >= 0.98}
+    for block in (3, 50, 1000):
+        got = {r.vec_id // 2 for r in embedding_dedup.dedup(df, block=block).filter("n_links > 0").collect()}
+        assert got == want
+
+
+def test_secret_spans_do_not_depend_on_batches(spark, docs):
+    """Alone, together and in another order: the same spans; and the grammar's are those of a plain search."""
+    model = secrets.fit(docs)
+    rng = random.Random(8)
+    pieces = ["deadbeef", "0123456789abcdef" * 2, "face", "", "a" * 30, "token=abc123def", "AKIA" + "Z" * 18, "key=" + "0A1B2C3D4E" * 4, "plain words", "é x.", "f" * 24, None, "id=99/0F0E0D0C0B" * 3]
+    texts = [rng.choice(pieces) for _ in range(120)]
+    together = dict(secrets.scan(pa.array(texts, pa.string()), model))
+    for i, t in enumerate(texts):
+        alone = dict(secrets.scan(pa.array([t], pa.string()), model)).get(0, [])
+        assert together.get(i, []) == alone
+        want, _ = secrets.base_spans(t or "")
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", t or ""):
+            token, parts = m[0], []
+            cuts = sorted({0, len(token), *(x for s in re.finditer(r"[A-Za-z0-9]+", token) for x in s.span())})
+            for a in cuts:
+                for b in cuts:
+                    begins = a == 0 or token[a : a + 1].isalnum() and not token[a - 1].isalnum()
+                    ends = b == len(token) or token[b - 1].isalnum() and not token[b].isalnum()
+                    if b > a and begins and ends and (model.least <= b - a <= model.most or (a, b) == (0, len(token)) and b >= model.least):
+                        w = secrets.classes(token[a:b])
+                        best = max(k.log_likelihood(w) for k in model.automata.values())
+                        score = best - sum(model.background.get(x, np.log(1e-4)) for x in zip("^" + w, w + "$", strict=True))
+                        if score >= model.margin:
+                            parts.append((-score, a - b, a, b))
+            taken = []
+            for _, _, a, b in sorted(parts):
+                if all(b <= x or y <= a for x, y in taken):
+                    taken.append((a, b))
+            want += [(m.start() + a, m.start() + b, "grammar") for a, b in taken if not any(m.start() + a < y and x < m.start() + b for x, y, k in want if k != "grammar")]
+        assert alone == sorted(want, key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+
+
+def test_background_counts_every_token(spark):
+    texts = ["Ab cd 12 x1. secret=abcdefgh end", "", None, "Ab " * 1000, "z" * 30]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    raw = "".join(t or "" for t in texts).encode()
+    off = np.cumsum([0, *[len((t or "").encode()) for t in texts]])
+    data = np.frombuffer(raw, np.uint8)
+    got = secrets.ordinary_steps(data, off, {})
+    want = {}
+    for w in ["Ab", "cd", "12", "x1.", "secret=abcdefgh", "end"] + ["Ab"] * 1000:
+        c = secrets.classes(w)
+        for x in zip("^" + c, c + "$", strict=True):
+            want["".join(x)] = want.get("".join(x), 0) + 1
+    assert dict(got) == want
+    model = secrets.fit(df)
+    assert set(model.automata) == {"assign", "hex"} or set(model.automata) == {"assign"}
+
+
+def test_language_is_the_smallest_of_plain_compressions(spark, docs):
+    import zstandard
+
+    model = langid.fit(docs)
+    settings = zstandard.ZstdCompressionParameters(**langid.PARAMETERS, write_content_size=False)
+    rows = docs.orderBy("doc_id").limit(60).select("text").collect() + [("El niño y la niña " * 3000,), ("the " * 9000 + "und der die das " * 2000,)]
+    got = [r.language for r in langid.identify(spark.createDataFrame([(r[0],) for r in rows], "text string"), model).select("language").collect()]
+    for (text,), found in zip(rows, got, strict=True):
+        if not text or not any(c.isalpha() for c in text):
+            assert found.lang_pred == "und"
+            continue
+        raw, sizes = text.lower().encode(), []
+        for lang, words in model.dictionaries.items():
+            z = zstandard.ZstdCompressor(compression_params=settings, dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            carrier = words[-64:]
+            sizes.append((sum(len(z.compress(carrier + raw[k : k + 16384])) - len(z.compress(carrier)) for k in range(0, len(raw), 16384)), lang))
+        sizes.sort()
+        assert found.lang_pred == sizes[0][1]
+        assert found.margin == pytest.approx((sizes[1][0] - sizes[0][0]) / max(1, sizes[0][0]))
+    assert got[-2].lang_pred == "es"
+
+
+def test_dictionaries_are_pieces_of_text(spark, docs):
+    model = langid.fit(docs, dictionary_bytes=4000)
+    texts = {r.lang: [] for r in docs.select("lang").distinct().collect() if r.lang}
+    for r in docs.filter("lang IS NOT NULL AND text IS NOT NULL").collect():
+        texts[r.lang].append(r.text.lower())
+    for lang, words in model.dictionaries.items():
+        assert len(words) <= 4000
+        first = words.split(b"\n")[0].decode()
+        assert any(first in t for t in texts[lang])
+
+
+def test_quality_features_are_plain_counts():
+    """The features that a few lines can say again, of odd texts too."""
+    texts = ["Hello, World! hello hello", "", None, "a\nb\na\n", "ÉÉ zz 12", "WORD!! WORD!! x"]
+    got = quality.features(pa.array(texts, pa.string()))
+    at = {n: i for i, n in enumerate(quality.NAMES)}
+    for t, row in zip(texts, got, strict=True):
+        raw, words = (t or "").encode(), (t or "").split()
+        if not raw:
+            assert not row.any()
+            continue
+        assert row[at["share_upper"]] == pytest.approx(np.sqrt(sum(65 <= c < 91 for c in raw) / len(raw)))
+        assert row[at["share_beyond"]] == pytest.approx(np.sqrt(sum(c >= 128 for c in raw) / len(raw)))
+        assert row[at["words"]] == pytest.approx(np.log1p(len(words)) / 10)
+        assert row[at["fresh_words"]] == pytest.approx(len(set(words)) / len(words))
+        assert row[at["top_word"]] == pytest.approx(max(map(words.count, words)) / len(words))
+        pairs = list(zip(words, words[1:], strict=False))
+        assert row[at["fresh_pairs"]] == pytest.approx(len(set(pairs)) / max(1, len(pairs)))
+        lines = (t[:-1] if t.endswith("\n") else t).split("\n")
+        assert row[at["lines"]] == pytest.approx(np.log1p(len(lines)) / 10)
+    twice = quality.features(pa.array([texts[0], texts[0]]))
+    assert (twice[0] == twice[1]).all()
+
+
+def test_quality_weights_prefer_the_better_of_each_pair():
+    """The gradient of the pairwise loss is almost nothing at the learned weights, over all pairs."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, len(quality.NAMES)))
+    y = (x[:, 0] - x[:, 1] + 0.5 * rng.normal(size=120) > 0).astype(int)
+    model = quality.learn(x, y, ridge=1e-2, steps=1500)
+    z = (x - model.mean) / model.scale
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    slope = -(d / (1 + np.exp(d @ model.weights))[:, None]).mean(0) + 1e-2 * model.weights
+    assert np.abs(slope).max() < 0.02
+    assert ((model.score(x) >= 0.5) == (y == 1)).mean() > 0.85

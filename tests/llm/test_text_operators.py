@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -47,24 +48,36 @@ def windows_brute(rows, n):
     return out
 
 
-@pytest.mark.parametrize(("n", "batches"), [(3, 4), (5, 1), (7, 3)])
-def test_repeated_windows(spark, n, batches):
+@pytest.mark.parametrize(("n", "settings"), [(3, {}), (5, {"batches": 1}), (7, {"batches": 3, "fan": 3}), (5, {"batches": 3, "bits": 4})])
+def test_repeated_windows(spark, n, settings):
+    """In batches, by two passes of buckets, and with hashes so short that most matches are false."""
     rows = noisy(n)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in fingerprint_index.dedup(frame(spark, rows), n=n, batches=batches).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in fingerprint_index.dedup(frame(spark, rows), n=n, **settings).collect()}
     assert got == windows_brute(rows, n)
 
 
-def test_index_over_batches(spark):
-    rows, got = noisy(9), {}
-    df, index = frame(spark, rows), fingerprint_index.FingerprintIndex(spark, n=4, buckets=5, fanout=2)
+def test_index_over_batches_and_sessions(spark, tmp_path):
+    rows, got, path = noisy(9), {}, f"file://{tmp_path}/index"
+    df, index = frame(spark, rows), fingerprint_index.FingerprintIndex(spark, path, n=4, parts=5, fanout=2)
     for a in range(-60, 900, 200):
         got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in index.ingest(df.filter(f"doc_id >= {a} AND doc_id < {a + 200}")).collect()}
         if a == 340:
             index.compact()
-            assert index.runs.groupBy("bucket").count().filter("count > 1").count() == 0
+            assert len(index.runs) == index.turns
+            index = fingerprint_index.FingerprintIndex(spark, path)  # as a later session would
+            assert index.n == 4
     assert got == windows_brute(rows, 4)
 
 
+def test_runs_are_sorted_and_come_back():
+    h = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 200_000, dtype=np.uint64))
+    docs, starts = np.arange(200_000) * 7 - 5, (np.arange(200_000) % 999).astype(np.int32)
+    rows = fingerprint_index.run_rows(3, h, docs, starts)
+    assert len(rows) == 4 and sum(r[1] for r in rows) == 200_000
+    got = fingerprint_index.read_runs(pa.table({k: [r[i] for r in rows] for i, k in ((2, "hashes"), (3, "run_docs"), (4, "run_starts"))}))
+    assert all((a == b).all() for a, b in zip(got, (h, docs, starts), strict=True))
+
+
 def test_repeated_windows_without_rows_or_ids(spark):
     assert fingerprint_index.dedup(frame(spark, noisy(1)).limit(0)).collect() == []
     rows = [(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "x a b c d")]
@@ -105,6 +118,37 @@ def test_repeated_substrings_of_nothing(spark):
         suffix_array.dedup(frame(spark, noisy(1)), length=201)
 
 
+@pytest.mark.parametrize("settings", [{"fan": 3}, {"hash_bits": 3}])
+def test_substrings_by_two_passes_and_with_false_matches(spark, settings):
+    """More buckets than a pass deals to; and hashes so short that digests must tell stretches apart."""
+    rng = random.Random(11)
+    pieces = ["".join(rng.choice("abcd ") for _ in range(rng.randint(20, 90))) for _ in range(30)]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 6)))) for i in range(120)]
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_array.dedup(frame(spark, rows), length=40, **settings).collect()}
+    assert got == substrings_brute(rows, 40)
+
+
+def test_rows_with_one_id_are_documents_of_their_own(spark):
+    shared = "".join(random.Random(3).choice("abcdefgh ") for _ in range(260))
+    rows = [(1, "x " + shared), (2, "yy " + shared + " z"), (3, "zzz" + shared), (1, "short"), (None, shared + "!"), (None, None), (4, "only here " * 3), (4, "only here " * 3)]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_array.dedup(frame(spark, rows), length=200).collect())
+    brute = substrings_brute(list(enumerate(t for _, t in rows)), 200)
+    assert got == sorted((str(d), brute[k][0], brute[k][1], brute[k][3]) for k, (d, _) in enumerate(rows))
+    assert sum(r[2] for r in got) >= 4 * 260
+    equal = sorted((r.doc_id, r.n_removed) for r in suffix_array.dedup(frame(spark, [(7, shared), (7, shared), (8, shared[:250] + "?" * 50)]), length=200).collect())
+    assert equal == [(7, 260), (7, 260), (8, 250)]
+
+
+def test_what_each_step_of_the_suffix_array_finds(spark):
+    """Stretches settled by digests and windows among sorted suffixes; together all."""
+    rng = random.Random(12)
+    pieces = ["".join(rng.choice("abcd ") for _ in range(rng.randint(60, 200))) for _ in range(12)]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(1, 5)))) for i in range(60)]
+    removed = {only: sum(r.n_removed for r in suffix_array.dedup(frame(spark, rows), length=64, only=only).collect()) for only in (None, "stretches", "suffixes")}
+    assert 0 < removed["stretches"] < removed[None] and 0 < removed["suffixes"] < removed[None]
+    assert removed[None] <= removed["stretches"] + removed["suffixes"]
+
+
 def test_ranges_meet_at_their_ends(spark, monkeypatch):
     """A passage with so many surroundings that its suffixes fill several ranges."""
     rng = random.Random(5)
@@ -160,8 +204,9 @@ def jaccard_brute(rows, n, percent):
     return {d: (len(s), root(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize(("n", "percent", "block"), [(2, 80, 256), (3, 50, 7), (5, 80, 16)])
-def test_jaccard_join(spark, n, percent, block):
+@pytest.mark.parametrize(("n", "percent", "block", "fan"), [(2, 80, 256, 4096), (3, 50, 7, 4096), (5, 80, 16, 3), (2, 60, 3, 4096)])
+def test_jaccard_join(spark, n, percent, block, fan):
+    """Small blocks make stars of large neighbourhoods; a small fan needs two passes."""
     rng = random.Random(n)
     pool = [chr(97 + i) for i in range(9)] + ["É", "日本"]
     base = [[rng.choice(pool) for _ in range(rng.randint(0, 60))] for _ in range(40)]
@@ -172,7 +217,7 @@ def test_jaccard_join(spark, n, percent, block):
             if w:
                 w[rng.randrange(len(w))] = rng.choice([*pool, "A"])
         rows.append((i * 3 - 50, None if i % 37 == 0 else " ".join(w).replace("a", "A" if i % 2 else "a")))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(frame(spark, rows), n=n, percent=percent, block=block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(frame(spark, rows), n=n, percent=percent, block=block, fan=fan).collect()}
     assert got == jaccard_brute(rows, n, percent)
 
 
@@ -185,9 +230,58 @@ def test_jaccard_keeps_one_and_all_columns(spark):
     assert jaccard_join.join(frame(spark, []).limit(0)).collect() == []
 
 
-def test_words_and_hashes_do_not_depend_on_place():
-    import pyarrow as pa
+def test_jaccard_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a + " z"), (9, b + " z"), (1, c), (1, c), (None, a), (7, "")]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.join(frame(spark, rows)).collect())
+    assert got == sorted([("5", 36, "3"), ("5", 36, "3"), ("3", 37, "3"), ("9", 37, "3"), ("1", 36, "1"), ("1", 36, "1"), ("None", 36, "None"), ("7", 0, "7")])
 
+
+def test_a_large_group_of_near_copies_is_compared_in_stars(spark):
+    """Far fewer rows go to tasks of pairs than all pairs of blocks would need."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        w[rng.randrange(120)] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, f"other {i} " + " ".join(base[:60])) for i in range(5)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(frame(spark, rows), block=16).collect()}
+    assert got == {d: c for d, (_, c) in jaccard_brute(rows, 5, 80).items()}
+    placed = spark.createDataFrame([(0, i, 0 if i < 390 else i, b"", b"") for i in range(400)], "hood long, doc_id long, star long, shingles binary, prefix binary")
+    assert jaccard_join._tasks(placed, 16, 4).count() == 390 + 10 * (25 + 1)
+
+
+def test_very_long_texts(spark):
+    """A text far beyond a chunk, with a piece of it as another row, through every operator on texts."""
+    from lodestar.llm import langid, mixing, packing, quality, secrets
+
+    rng = random.Random(14)
+    long = " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(600_000)) + " token=0123456789abcdef0123456789abcdef01"
+    rows = [(1, long), (2, long[:200_000]), (3, "short"), (4, None)]
+    df = frame(spark, rows)
+    found = {r.doc_id: r for r in suffix_array.dedup(df).collect()}
+    assert (found[1].n_bytes, found[1].n_removed, found[2].n_removed) == (len(long), 200_000, 200_000)
+    words = {r.doc_id: r for r in fingerprint_index.dedup(df).collect()}
+    assert (words[1].n_words, words[1].n_removed, words[2].n_words, words[2].n_removed) == (600_001, 0, 25_000, 25_000)
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    pieces = packing.pack(df).filter("doc_id = 1").agg(F.sum("length"), F.max("piece")).first()
+    assert pieces[0] > 600_000 and pieces[1] == -(-pieces[0] // 4096) - 1
+    assert {r.doc_id: (r.n_assign, r.n_hex) for r in secrets.find(df, secrets.fit(df)).collect()} == {1: (1, 1), 2: (0, 0), 3: (0, 0), 4: (0, 0)}
+    assert {r.doc_id: r.size for r in mixing.mix(df).collect()} == {1: 600_001, 2: 25_000, 3: 1, 4: 0}
+    model = langid.LanguageModel({"aa": b"abcdefg hij", "bb": b"zzzz yyyy"})
+    assert {r.doc_id: r.language.lang_pred for r in langid.identify(df, model).collect()}[1] == "aa"
+    assert quality.features(pa.array([long])).shape == (1, len(quality.NAMES))
+
+
+def test_parts_are_those_of_spark(spark):
+    ids = [0, 1, -5, 2**62, bytescan.NO_ID]
+    df = spark.createDataFrame([(i,) for i in ids], "a long").select(F.pmod(F.xxhash64("a"), F.lit(97)).alias("p"))
+    assert [r.p for r in df.collect()] == bytescan.part_of(np.array(ids), 97).tolist()
+
+
+def test_words_and_hashes_do_not_depend_on_place():
     found = []
     for column in (pa.array(["x", None, " one two\tthree ", ""]), pa.array(["one two three"])):
         for _, _, data, off in bytescan.chunks(column):
