@@ -9,9 +9,6 @@ from pyspark.sql.window import Window
 from ..functions import scores as M
 from . import filters
 
-ASSUMPTIONS = ["Assumes continued macroeconomic stability and low systemic recession risk.", "Assumes verified EDGAR SEC quarterly figures remain un-restated."]
-
-
 def case(evidence: DataFrame, side: Column, *, most: int = 5, seq: str = "id") -> DataFrame:
     """Of each ticker's evidence on one side: its count, ids in order, and the first labelled titles."""
     own = evidence.filter(side).withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy(seq)))
@@ -31,7 +28,12 @@ def judge(evidence: DataFrame, prices: DataFrame | None = None) -> DataFrame:
 
     prices: (ticker, price); a ticker without one counts as 100.
     """
-    r = weights(evidence).withColumn("ratio", M.strength_ratio(F.col("bull"), F.col("bear")))
+    return decide(weights(evidence), prices)
+
+
+def decide(weighed: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+    """judge() from the weights of both sides: (ticker, bull, bear)."""
+    r = weighed.withColumn("ratio", M.strength_ratio(F.col("bull"), F.col("bear")))
     r = r.join(prices, "ticker", "left") if prices is not None else r.withColumn("price", F.lit(None).cast("double"))
     r = r.withColumn("price", F.coalesce(F.nanvl("price", F.lit(None).cast("double")), F.lit(100.0)))
     up, down = F.round(F.col("price") * 1.25, 2), F.round(F.col("price") * 0.85, 2)

@@ -51,14 +51,26 @@ def realized(predictions: DataFrame, prices: DataFrame, *, mode: str = "latest")
     """Adds realized_price: the last close on or after the prediction, at least two being there;
     in mode ``horizon`` the first close once its window has passed.
 
-    One equi-join by ticker with the range inside it; aggregated by prediction.
+    The latest mode needs each ticker's last close and its last two times, which are
+    aggregates.  The other puts predictions among the prices in order of time and carries
+    the next close back to them.  No prediction meets all later prices.
     """
     p = prices.select(F.col("ticker").alias("__t"), F.col("ts").alias("__ts"), F.col("close").alias("__close"))
-    since = F.col("created_at") if mode == "latest" else F.col("created_at") + F.make_dt_interval(F.col("window_days"))
-    joined = predictions.join(p, (F.col("ticker") == F.col("__t")) & (F.col("__ts") >= since))
-    value = F.max_by("__close", "__ts") if mode == "latest" else F.min_by("__close", "__ts")
-    found = joined.groupBy("prediction_id").agg(F.count(F.lit(1)).alias("__n"), value.alias("realized_price")).filter(F.col("__n") >= (2 if mode == "latest" else 1))
-    return predictions.drop("realized_price").join(found.drop("__n"), "prediction_id", "left")
+    rest = predictions.drop("realized_price")
+    if mode == "latest":
+        last = p.groupBy("__t").agg(F.max("__ts").alias("__last"), F.max_by("__close", "__ts").alias("__value"))
+        twice = p.join(last.select("__t", "__last"), "__t").groupBy("__t").agg(F.count_if(F.col("__ts") == F.col("__last")).alias("__n"), F.max(F.when(F.col("__ts") < F.col("__last"), F.col("__ts"))).alias("__before"))
+        known = last.join(twice, "__t")
+        joined = rest.join(known, F.col("ticker") == F.col("__t"), "left")
+        seen = (F.col("__last") >= F.col("created_at")) & ((F.col("__n") >= 2) | F.coalesce(F.col("__before") >= F.col("created_at"), F.lit(False)))
+        return joined.withColumn("realized_price", F.when(seen, F.col("__value"))).drop("__t", "__last", "__value", "__n", "__before")
+    since = F.col("created_at") + F.make_dt_interval(F.col("window_days"))
+    asks = rest.select(F.col("ticker").alias("__t"), since.alias("__ts"), F.lit(None).cast("double").alias("__close"), "prediction_id")
+    both = asks.unionByName(p.select("__t", "__ts", F.col("__close").cast("double").alias("__close"), F.lit(None).cast(rest.schema["prediction_id"].dataType).alias("prediction_id")))
+    # from the latest on, prices before predictions of the same time
+    w = Window.partitionBy("__t").orderBy(F.desc("__ts"), F.col("prediction_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("realized_price", F.last("__close", ignorenulls=True).over(w)).filter("prediction_id IS NOT NULL")
+    return rest.join(found.select("prediction_id", "realized_price"), "prediction_id", "left")
 
 
 def judged(predictions: DataFrame) -> DataFrame:

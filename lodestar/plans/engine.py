@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import committee, compress, evaluate, filters
 from . import loop, planner
@@ -34,13 +34,26 @@ def analyze(evidence: DataFrame, prices: DataFrame, query: str, ticker: str, as_
 def calls_by_date(evidence: DataFrame, prices: DataFrame, dates: DataFrame) -> DataFrame:
     """A recommendation for every ticker on every date, from what was known then.
 
-    dates is a small table (as_of) and is broadcast; all dates run in one plan.
+    dates: (as_of), the evaluation dates, which the driver holds.  Each row of evidence and
+    each price counts once, for the first date that knows it; sums and last prices then
+    run on over the dates, of which a ticker has a row each.
     """
-    d = F.broadcast(dates.select(F.col("as_of").cast("timestamp_ntz").alias("as_of")))
-    known = evidence.join(d, F.col("published") <= F.col("as_of"))
-    keyed = known.withColumn("ticker", F.struct("ticker", "as_of"))
-    price = prices.join(d, F.col("ts") <= F.col("as_of")).groupBy(F.struct("ticker", "as_of").alias("ticker")).agg(F.max_by("close", "ts").alias("price"))
-    return committee.judge(keyed, price).select("ticker.ticker", F.col("ticker.as_of").alias("created_at"), "rating", "conviction", F.col("price").alias("initial_price"))
+    days = sorted({r["as_of"] for r in dates.select(F.col("as_of").cast("timestamp_ntz").alias("as_of")).collect()})
+    known_at = F.array(*[F.lit(x).cast("timestamp_ntz") for x in days])
+
+    def first(ts: str) -> Column:
+        return F.size(F.filter(known_at, lambda x: x < F.col(ts)))
+
+    sums = committee.weights(evidence.filter(F.col("published") <= F.lit(days[-1]).cast("timestamp_ntz")).withColumn("ticker", F.struct("ticker", first("published").alias("day"))))
+    closes = prices.withColumn("day", first("ts")).filter(F.col("day") < len(days)).groupBy("ticker", "day").agg(F.max_by("close", "ts").alias("close"))
+    sums = sums.select("ticker.ticker", "ticker.day", "bull", "bear")
+    # a row for each ticker and date from its first evidence on, and the prices before that
+    grid = sums.groupBy("ticker").agg(F.min("day").alias("since")).withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(len(days) - 1))))
+    w = Window.partitionBy("ticker").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    rows = grid.join(sums, ["ticker", "day"], "left").join(closes, ["ticker", "day"], "left")
+    rows = rows.select("ticker", "day", "since", *[F.sum(F.coalesce(c, F.lit(0.0))).over(w).alias(c) for c in ("bull", "bear")], F.last("close", ignorenulls=True).over(w).alias("price")).filter("day >= since")
+    keyed = rows.withColumn("ticker", F.struct("ticker", F.element_at(known_at, F.col("day") + 1).alias("as_of")))
+    return committee.decide(keyed.select("ticker", "bull", "bear"), keyed.select("ticker", "price")).select("ticker.ticker", F.col("ticker.as_of").alias("created_at"), "rating", "conviction", F.col("price").alias("initial_price"))
 
 
 def backtest(evidence: DataFrame, prices: DataFrame, dates: DataFrame, *, mode: str = "latest", window_days: int = 30) -> DataFrame:

@@ -20,11 +20,13 @@ SENTIMENT_SCORE = {"very_bearish": -1.0, "bearish": -0.5, "neutral": 0.0, "bulli
 CREDIBILITY_WEIGHT = {"verified_official": 1.5, "high": 1.2, "medium": 1.0, "low": 0.6}
 CREDIBILITY_SCORE = {"low": 0.25, "medium": 0.5, "high": 0.75, "verified_official": 1.0}
 RATINGS = ["STRONG_BUY", "BUY", "HOLD", "SELL", "STRONG_SELL"]
-STOPWORDS = (
-    "the is in it of to and a an for on with as at by from this that are be was were has have had its or but not all been "
-    "we they their our can will may also more than about up out into would could should"
-).split()
-FALLBACK_TERMS = "revenue earnings growth profit loss margin debt cash stock market price rate risk buy sell hold analyst forecast quarter".split()
+STOPWORDS = [
+    "the", "is", "in", "it", "of", "to", "and", "a", "an", "for", "on", "with", "as", "at", "by", "from", "this", "that", "are", "be", "was", "were", "has", "have", "had", "its", "or", "but",
+    "not", "all", "been", "we", "they", "their", "our", "can", "will", "may", "also", "more", "than", "about", "up", "out", "into", "would", "could", "should",
+]
+FALLBACK_TERMS = [
+    "revenue", "earnings", "growth", "profit", "loss", "margin", "debt", "cash", "stock", "market", "price", "rate", "risk", "buy", "sell", "hold", "analyst", "forecast", "quarter",
+]
 BULLISH_WORDS = ["surge", "jump", "rally", "soar", "beat", "upgrade", "growth", "record"]
 BEARISH_WORDS = ["drop", "fall", "decline", "crash", "miss", "downgrade", "cut", "warning"]
 #: Sector: tickers, keywords, extra adapters, focus areas; the first that matches wins.
