@@ -8,6 +8,7 @@ import os
 import re
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,9 +101,14 @@ class Scratch:
         return tuple(df.agg(F.count(F.lit(1)), *hashes).first())
 
     def release(self) -> None:
-        """Lets Spark delete the shuffle files of finished jobs now, not whenever the driver next cleans up."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Lets Spark delete the shuffle files of finished jobs now, not whenever the driver next cleans up.
+
+        A job's last references go a moment after it ends, hence the second round.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.25)
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a saved table that nothing reads any more."""

@@ -72,7 +72,7 @@ class CellIndex:
         q = asked.select("query_id", V.normalize(F.col("q")).alias("u"))
         q = q.withColumn("cell", F.explode(_nearest_cells(self.centroids, probes)("u")))
         rows = self.rows if among is None else self.rows.join(among.select("id"), "id", "left_semi")
-        found = rows.join(retrieve.small(q), "cell").select("query_id", "id", V.cosine_distance(F.col("v"), F.col("u")).alias("distance"))
+        found = rows.join(retrieve.by_queries(asked)(q), "cell").select("query_id", "id", V.cosine_distance(F.col("v"), F.col("u")).alias("distance"))
         w = Window.partitionBy("query_id").orderBy("distance", "id")
         found = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
         return found.withColumn("similarity", V.similarity(F.col("distance")))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import schema as S
 from ..functions import scores as M
 from ..functions import text as X
 
@@ -38,6 +39,26 @@ def context_relevance(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return docs.join(q, "query_id").groupBy("query_id").agg(F.avg(X.overlap(F.col("words"), own, 0.0)).alias("context_relevance"))
 
 
+def golden(spark: SparkSession) -> DataFrame:
+    """The fixed questions: (query_id, query, ticker, keywords, sources, points)."""
+    rows = [(i + 1, *r) for i, r in enumerate(S.GOLDEN)]
+    return spark.createDataFrame(rows, "query_id int, query string, ticker string, keywords array<string>, sources array<string>, points array<string>")
+
+
+def expectations(retrieved: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, keywords_found, sources_found): shares of what golden questions expect that the retrieved have.
+
+    retrieved: (query_id, title, content, source_type); a question without any has 0.
+    """
+    q = asked.select("query_id", "keywords", "sources")
+    text = F.lower(F.concat("title", F.lit(" "), "content"))
+    rows = retrieved.select("query_id", "source_type", text.alias("text")).join(q, "query_id")
+    hits = rows.select("query_id", F.filter("keywords", lambda k: F.contains(F.col("text"), F.lower(k))).alias("k"), F.filter("sources", lambda s: s == F.col("source_type")).alias("s"))
+    found = hits.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_set("k"))).alias("k"), F.array_distinct(F.flatten(F.collect_set("s"))).alias("s"))
+    share = lambda a, b: F.coalesce(F.size(F.array_intersect(a, b)) / F.size(b), F.lit(0.0))
+    return q.join(found, "query_id", "left").select("query_id", share(F.col("k"), F.col("keywords")).alias("keywords_found"), share(F.col("s"), F.col("sources")).alias("sources_found"))
+
+
 def faithfulness(answers: DataFrame, *, answer: str = "answer", context: str = "context") -> DataFrame:
     """Share of an answer's sentences half of whose longer words stand in the context, as substrings."""
     low = F.lower(context)

@@ -6,7 +6,7 @@ documents once, for both tokenizers; retrieval then reads only its counts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +27,9 @@ def queries(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(list(rows), "query_id int, query string")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """With a broadcast hint if its rows are few."""
-    return F.broadcast(df) if tables.is_small(df) else df
+def by_queries(asked: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A broadcast hint for tables that grow with the queries alone, if these are few."""
+    return F.broadcast if tables.is_small(asked) else lambda df: df
 
 
 def rank_tokens() -> Column:
@@ -92,12 +92,12 @@ def bm25(docs: DataFrame | TextIndex, asked: DataFrame, *, where: Column | None
     restricts what is returned (``restricted``: for an index, to its ok documents).
     Only counts of the queries' terms are read.
     """
-    index = _index(docs, where, id_, RANK)
+    index, hint = _index(docs, where, id_, RANK), by_queries(asked)
     terms = asked.select("query_id", F.explode(X.rank_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    postings = index.of(RANK).join(small(terms.select("term").distinct()), "term", "left_semi")
+    postings = index.of(RANK).join(hint(terms.select("term").distinct()), "term", "left_semi")
     # no more terms than the queries have
     vocab = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(index.totals()))
-    weights = small(terms.join(vocab, "term").select("query_id", "term", "avgdl", (F.col("times") * idf(F.col("df"), F.col("n"))).alias("w")))
+    weights = hint(terms.join(vocab, "term").select("query_id", "term", "avgdl", (F.col("times") * idf(F.col("df"), F.col("n"))).alias("w")))
     rows = (postings.filter("ok") if restricted else postings).join(weights, "term")
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     return rows.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
@@ -149,7 +149,7 @@ def term_cosine(docs: DataFrame | TextIndex, asked: DataFrame, *, where: Column
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("query_id")))
     q = q.select("query_id", "term", (F.col("raw") / length).alias("q"))
     raw = counts.filter("ok").join(F.broadcast(vocab), "term").select("id", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("raw"))
-    found = raw.join(small(q), "term").groupBy("query_id", "id").agg(F.sum(F.col("raw") * F.col("q")).alias("dot"))
+    found = raw.join(by_queries(asked)(q), "term").groupBy("query_id", "id").agg(F.sum(F.col("raw") * F.col("q")).alias("dot"))
     lengths = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
     return found.join(lengths, "id").select("query_id", "id", (F.col("dot") / F.col("length")).alias("score"))
 
@@ -174,11 +174,12 @@ def hybrid(docs: DataFrame | TextIndex, asked: DataFrame, k: int = 25, *, where:
 def rerank(candidates: DataFrame, docs: DataFrame, asked: DataFrame, n: int = 15, *, previous: str | None = None) -> DataFrame:
     """Candidates scored against the query's words, the n best: (query_id, id, rerank_score, place).
 
-    Ties keep the candidates' order.  ``previous`` names a column with the score of
-    an earlier round.
+    Candidates are short lists, some for each query.  Ties keep their order.  ``previous``
+    names a column with the score of an earlier round.
     """
-    q = small(asked.select("query_id", "query", X.word_set(F.col("query")).alias("words")))
-    rows = docs.join(small(candidates), "id").join(q, "query_id")
+    hint = by_queries(asked)
+    q = hint(asked.select("query_id", "query", X.word_set(F.col("query")).alias("words")))
+    rows = docs.join(hint(candidates), "id").join(q, "query_id")
     score = M.cross_score(F.col("query"), F.col("words"), F.col("title"), F.col("content"), F.col("credibility"), F.col("confidence"), F.col(previous) if previous else F.lit(None).cast("double"))
     rows = rows.withColumn("rerank_score", score)
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank", "id")

@@ -163,6 +163,18 @@ def _(spark, d):
     return spark.createDataFrame(seen, "stage string, n int")
 
 
+GOLDEN_SQL = ", g(query_id, keywords, sources) AS (VALUES " + ", ".join("({}, [{}], [{}])".format(i + 1, *(", ".join(f"'{x}'" for x in r[k]) for k in (2, 3))) for i, r in enumerate(S.GOLDEN)) + ")"
+
+
+@query("c17_golden_set", f"""{GOLDEN_SQL}, r AS (SELECT (id % 2 + 1)::INTEGER AS query_id, source_type, lower(title || ' ' || content) AS t FROM evidence),
+  h AS (SELECT g.query_id, any_value(g.keywords) AS keywords, any_value(g.sources) AS sources, list_distinct(flatten(list(list_filter(g.keywords, lambda k: contains(r.t, k))))) AS k, list_distinct(flatten(list(list_filter(g.sources, lambda s: s = r.source_type)))) AS s FROM g JOIN r USING (query_id) GROUP BY 1)
+  SELECT query_id, round(len(k)::DOUBLE / len(keywords), 9) AS keywords_found, round(len(s)::DOUBLE / len(sources), 9) AS sources_found FROM h""", "evidence")
+def _(spark, d):
+    found = ev(spark, d).withColumn("query_id", (F.col("id") % 2 + 1).cast("int"))
+    e = evaluate.expectations(found, evaluate.golden(spark))
+    return e.select("query_id", F.round("keywords_found", 9).alias("keywords_found"), F.round("sources_found", 9).alias("sources_found"))
+
+
 # ---- documented-only measures ----------------------------------------------------
 
 BARS_SQL = ", bars AS (SELECT ticker, ts, seq, close, close * 1.02::DOUBLE AS high, close * 0.97::DOUBLE AS low FROM prices)"

@@ -6,6 +6,7 @@ critic's one row; documents stay distributed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +34,7 @@ class Research:
         return [i for i, _ in self.curated]
 
 
-def run(docs: DataFrame, query: str, ticker: str, as_of: Column, *, rounds: int = 3, k: int = 25, n: int = 15) -> Research:
+def run(docs: DataFrame, query: str, ticker: str, as_of: Column, *, rounds: int = 3, k: int = 25, n: int = 15, provider: Callable[[str], str] | None = None) -> Research:
     """Runs the loop for one question over ``docs``.
 
     A round's scores enter the next one's re-ranking; a document keeps its best
@@ -76,7 +77,7 @@ def run(docs: DataFrame, query: str, ticker: str, as_of: Column, *, rounds: int
             out.converged = True
             break
         if i < rounds:
-            current = planner.rewrite(query, review["gaps"], i, ticker)
+            current = planner.rewrite(spark, query, review["gaps"], i, ticker, provider)
     out.discarded = sorted(gone)
     out.curated = sorted(((x, s) for x, s in best.items() if x not in gone), key=lambda x: -x[1])
     return out

@@ -172,11 +172,17 @@ def _(spark, d):
     return ev(spark, d).select("id", X.news_relevance(F.col("title"), F.col("content"), ["ation", "ZZ"]).alias("relevance"))
 
 
-@query("t13_rewritten_query", f"SELECT 2 AS iteration, 'NVDA {Q0} {S.ASPECT_TERMS['filing']}' AS query")
+REWRITE_SQL = f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{Q0}' WHEN 1 THEN 'NVDA {Q0} {S.ASPECT_TERMS["filing"]}' ELSE 'NVDA {Q0} {S.LAST_RESORT}' END AS query FROM documents"""
+
+
+@query("t13_rewritten_query", REWRITE_SQL)
 def _(spark, d):
-    from .planner import rewrite
+    """A query of each document: in its first round, with stale evidence, and with a gap that no rule knows."""
+    from .planner import rewritten
 
-    return spark.createDataFrame([(2, rewrite(Q0, [S.GAPS["stale"]], 2, "nvda"))], "iteration int, query string")
+    i = F.col("doc_id") % 3
+    gaps = F.when(i == 1, F.array(F.lit(S.GAPS["stale"]))).otherwise(F.array(F.lit("nothing known")))
+    return T(spark, d, "documents").select("doc_id", rewritten(F.lit(Q0), gaps, F.when(i == 0, 1).otherwise(2), F.lit("nvda")).alias("query"))
 
 
 @query("t14_refined_query", f"SELECT '{Q0} financial news analyst report' AS query")

@@ -118,6 +118,17 @@ CONCEPTS = {
 }
 FORMS = ["10-K", "10-Q", "10-K/A", "10-Q/A"]
 UNITS = ["USD", "shares", "USD/shares", "pure"]
+#: Questions to measure retrieval by: query, ticker, keywords, source types, points of an answer.
+GOLDEN = [
+    (
+        "What are NVIDIA's revenue growth drivers and valuation multiples?", "NVDA", ["revenue", "data center", "pe_ratio", "margin", "gpu"], ["sec_filing", "financial_statements", "financial_news"],
+        ["Data Center revenue growth", "Gross margin expansion", "P/E valuation multiple"],
+    ),
+    (
+        "What are Apple's main risks and debt to equity profile?", "AAPL", ["debt", "equity", "risk", "iphone", "headwinds"], ["sec_filing", "financial_statements"],
+        ["Leverage ratio", "Hardware replacement cycles", "Supply chain concentration"],
+    ),
+]
 
 EVIDENCE = T.StructType(
     [

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import schema as S
+
 
 def upsert(versions: Sequence[DataFrame], key: str) -> DataFrame:
     """All rows by key, those of later tables in place of earlier ones."""
@@ -58,6 +60,18 @@ def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_evidence(spark: SparkSession, path: str) -> DataFrame:
+    return read_json(spark, path, S.EVIDENCE)
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    return read_json(spark, path, S.EDGE)
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    return read_json(spark, path, S.PREDICTION)
+
+
 def json_round_trip(df: DataFrame) -> DataFrame:
     """Rows as JSON texts and back, typed by their schema."""
     times = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}

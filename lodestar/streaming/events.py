@@ -35,8 +35,15 @@ def distinct_events(events: DataFrame, key: str = "event_id", late: str = "1 hou
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Processes what is there, then stops: an incremental batch whose position the checkpoint keeps."""
-    q = stream.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Processes what is there, then stops: an incremental batch whose position the checkpoint keeps.
+
+    Rows are added to the table at ``path``, or replace it in mode ``complete``.
+    """
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        q = out.format("parquet").option("path", path).start()
+    else:
+        q = out.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
     q.awaitTermination()
-    return stream.sparkSession.table(table)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

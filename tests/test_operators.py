@@ -165,10 +165,13 @@ def test_planner_and_rewriting(spark):
     assert [r.horizon for r in rows] == ["medium_term", "medium_term", "short_term", "day_trading", "medium_term"]
     assert "github_commits" in rows[0].adapters and "github_commits" not in rows[1].adapters
     gap = [S.GAPS["stale"]]
-    assert planner.rewrite("q", gap, 1, "nvda") == "q"
-    assert planner.rewrite("q", gap, 2, "nvda") == f"NVDA q {S.ASPECT_TERMS['filing']}"
-    assert planner.rewrite("q sheet", gap, 3).endswith("fundamental analysis")
-    assert planner.rewrite("q", ["nothing known"], 2) == f"q {S.LAST_RESORT}"
+    assert planner.rewrite(spark, "q", gap, 1, "nvda") == "q"
+    assert planner.rewrite(spark, "q", gap, 2, "nvda") == f"NVDA q {S.ASPECT_TERMS['filing']}"
+    assert planner.rewrite(spark, "q sheet", gap, 3).endswith("fundamental analysis")
+    assert planner.rewrite(spark, "q", ["nothing known"], 2) == f"q {S.LAST_RESORT}"
+    assert planner.rewrite(spark, "q", gap, 2, "nvda", lambda prompt: '"newest filings of the year"\nmore') == "newest filings of the year"
+    assert planner.rewrite(spark, "q", gap, 2, "nvda", lambda prompt: 1 / 0) == f"NVDA q {S.ASPECT_TERMS['filing']}"
+    assert planner.rewrite(spark, "q", gap, 1, "nvda", lambda prompt: "never asked for") == "q"
 
 
 def test_committee(spark):
@@ -250,6 +253,10 @@ def test_stores_and_memory(spark, tmp_path):
     assert {r.id: r.title for r in again.collect()}[1] == "new" and again.count() == 3
     stores.write_json(e, str(tmp_path / "e"))
     assert stores.read_json(spark, str(tmp_path / "e"), e.schema).exceptAll(e).count() == 0
+    assert {r.id: r.ticker for r in stores.read_evidence(spark, str(tmp_path / "e")).collect()} == {"0": "NVDA", "1": "NVDA", "2": "AAPL"}
+    spark.createDataFrame([("a", "b", 0.5)], "source_id string, target_id string, weight double").write.json(str(tmp_path / "edges"))
+    assert stores.read_edges(spark, str(tmp_path / "edges")).first()[:4] == ("a", "b", None, 0.5)
+    assert stores.read_predictions(spark, str(tmp_path / "edges")).columns == S.PREDICTION.names
     for _ in range(2):
         stores.append_registry(e, str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r")).count() == 6
@@ -294,9 +301,9 @@ def test_streams_match_batch(spark, tmp_path):
     batch = spark.read.parquet(f"{SF}/events.parquet")
     batch.repartition(3).write.parquet(str(path))
     stream = streams.distinct_events(streams.read_events(spark, str(path), files_per_trigger=9))
-    got = streams.run_available(stream, "seen", str(tmp_path / "c1"))
+    got = streams.run_available(stream, str(tmp_path / "seen"), str(tmp_path / "c1"))
     assert got.count() == batch.count()
-    windows = streams.run_available(streams.tumbling(streams.read_events(spark, str(path), files_per_trigger=9)), "windows", str(tmp_path / "c2"), "complete")
+    windows = streams.run_available(streams.tumbling(streams.read_events(spark, str(path), files_per_trigger=9)), str(tmp_path / "windows"), str(tmp_path / "c2"), "complete")
     want = batch.groupBy(F.window("ts", "1 day"), "event_type").count()
     assert {(str(r.start), r.event_type, r.n) for r in windows.collect()} == {(str(r.window.start), r.event_type, r["count"]) for r in want.collect()}
 
