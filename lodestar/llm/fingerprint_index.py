@@ -373,13 +373,19 @@ class FingerprintIndex:
     MOST_BROADCAST = 2_000_000
 
     def _leaders(self, documents: DataFrame, matches: DataFrame) -> DataFrame:
-        """The documents that some match points to."""
+        """The documents that some match points to: a batch's ids go to the documents' parts in blocks, each id once."""
+        parts, kinds = self.parts, {"to_docs": "<i8"}
 
         def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(B.items(pa.Table.from_batches([b]), "to_docs", "<i8")))], names=["id"])
+                own = np.unique(B.items(pa.Table.from_batches([b]), "to_docs", "<i8"))
+                yield B.dealt(B.part_of(own, parts), {"to_docs": own}, kinds, "part")
 
-        wanted = self.scratch.save(matches.select("to_docs").mapInArrow(B.streamed(ids), "id long").distinct())
+        def distinct(found: pa.Table) -> pa.Table:
+            return pa.table({"id": np.unique(B.items(found, "to_docs", "<i8"))})
+
+        blocks = matches.select("to_docs").mapInArrow(B.streamed(ids), B.schema_of(kinds, "part"))
+        wanted = self.scratch.save(blocks.groupBy("part").applyInArrow(B.grouped(distinct), "id long"))
         wanted = F.broadcast(wanted) if wanted.count() <= self.MOST_BROADCAST else wanted
         return documents.join(wanted, F.coalesce("doc_id", F.lit(B.NO_ID)) == F.col("id"), "left_semi")
 
