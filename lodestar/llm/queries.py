@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, fingerprint_index, jaccard_join, langid, mixing, packing, quality, secrets, suffix_array
+from . import ann, embedding_dedup, fingerprint_index, jaccard_join, langid, mixing, packing, quality, secrets, suffix_array, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,12 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "language.lang_pred", "language.score", "language.margin", (~langid.is_clear("language", model)).alias("rejected"))
 
 
+def content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the archive, reads it back, and takes all columns from what was read."""
+    archive = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return archive.read(spark).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 MIXING_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -171,6 +177,13 @@ firsts AS (SELECT a, min(b) AS b FROM reach GROUP BY 1)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id FROM sets LEFT JOIN firsts ON a = doc_id
 """
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id) > 1 AND payload_bytes >= 100 AS again FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM f
+"""
+
 QUERIES = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_embedding_near_dedup": embedding_near_dedup,
@@ -182,6 +195,7 @@ QUERIES = {
     "op8_incremental_substring_dedup": incremental_substring_dedup,
     "op9_ngram_jaccard_join": ngram_jaccard_join,
     "op10_language_id": language_id,
+    "op13_content_addressed_warc": content_addressed_warc,
     "secrets_by_base_patterns": base_secrets,
     "nearest_by_all_comparisons": nearest_neighbours_exact,
 }
@@ -192,6 +206,7 @@ ORACLE_SQL = {
     "op9_ngram_jaccard_join": JACCARD_SQL,
     "op5_curriculum_mixing": MIXING_SQL,
     "op7_suffix_array_dedup": SUBSTRINGS_SQL,
+    "op13_content_addressed_warc": WARC_SQL,
     "secrets_by_base_patterns": BASE_SECRETS_SQL,
     "nearest_by_all_comparisons": NEAREST_SQL,
 }
