@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, fingerprint_index, jaccard_join, langid, mixing, packing, quality, secrets, suffix_array, warc
+from . import ann, embedding_dedup, fingerprint_index, jaccard_join, langid, mixing, packing, prefix_trie, quality, secrets, suffix_array, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,10 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "language.lang_pred", "language.score", "language.margin", (~langid.is_clear("language", model)).alias("rejected"))
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the archive, reads it back, and takes all columns from what was read."""
     archive = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -184,6 +188,23 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first, row_nu
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM f
 """
 
+# DuckDB has no CRC-32: a turn of the register's low bit, 8 for each digit of the id.
+TRIE_SQL = r"""
+WITH c AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT conv_id, own, CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384::BIGINT) ELSE y // 2 END)), 4294967295::BIGINT) % 4 AS BIGINT) AS h FROM c),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own[1 : h.h], []), h.own[h.h + 1 :]) AS turns FROM h LEFT JOIN h b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns FROM r),
+k AS (SELECT conv_id, depth, md5(CAST(turns[1 : depth] AS VARCHAR)) || depth AS key, CASE WHEN depth > 0 THEN md5(CAST(turns[1 : depth - 1] AS VARCHAR)) || (depth - 1) END AS up, depth = len(turns) AS ends,
+  CASE WHEN depth > 0 THEN len(regexp_extract_all(turns[depth].t, '[^ 	-]+')) ELSE 0 END AS words FROM p),
+n AS (SELECT key, any_value(up) AS up, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM k GROUP BY key),
+children AS (SELECT up AS key, count(*) AS n FROM n WHERE up IS NOT NULL GROUP BY 1),
+all_ AS (SELECT n.*, coalesce(children.n, 0) AS n_children FROM n LEFT JOIN children USING (key)),
+sums AS (SELECT k.key, count_if(a.n_children = 0) AS n_leaves, sum(a.saved) AS saved FROM all_ a JOIN k ON k.conv_id = a.conv_id AND k.depth <= a.depth GROUP BY 1)
+SELECT a.conv_id, a.depth, u.conv_id AS parent_conv_id, a.n_convs, CAST(a.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM all_ a JOIN sums s USING (key) LEFT JOIN n u ON u.key = a.up
+"""
+
 QUERIES = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_embedding_near_dedup": embedding_near_dedup,
@@ -195,6 +216,7 @@ QUERIES = {
     "op8_incremental_substring_dedup": incremental_substring_dedup,
     "op9_ngram_jaccard_join": ngram_jaccard_join,
     "op10_language_id": language_id,
+    "op12_conversation_trie": conversation_trie,
     "op13_content_addressed_warc": content_addressed_warc,
     "secrets_by_base_patterns": base_secrets,
     "nearest_by_all_comparisons": nearest_neighbours_exact,
@@ -206,6 +228,7 @@ ORACLE_SQL = {
     "op9_ngram_jaccard_join": JACCARD_SQL,
     "op5_curriculum_mixing": MIXING_SQL,
     "op7_suffix_array_dedup": SUBSTRINGS_SQL,
+    "op12_conversation_trie": TRIE_SQL,
     "op13_content_addressed_warc": WARC_SQL,
     "secrets_by_base_patterns": BASE_SECRETS_SQL,
     "nearest_by_all_comparisons": NEAREST_SQL,

@@ -7,7 +7,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import warc
+from lodestar.llm import prefix_trie, warc
+from lodestar.llm.scratch import Scratch
 
 PAGES = "page_id long, url string, html string, digest string, uid int, header string"
 
@@ -73,3 +74,59 @@ def test_empty_archive_and_moved_bytes(spark, tmp_path):
     plan = a.read(spark).select("page_id", "payload_digest")._jdf.queryExecution().optimizedPlan().toString()
     join = plan[: plan.index("Join")].count("payload#")  # nothing above the join holds bytes
     assert join == 0
+
+
+def plain_trie(rows):
+    """rows: (conv_id, turn, role, text)."""
+    own = {}
+    for c, t, r, x in rows:
+        if c is not None:
+            r, x = r or "", x or ""
+            tie = hashlib.sha256(f"{len(r)}:{r}{x}".encode()).hexdigest()
+            own.setdefault(c, []).append((t is not None, t or 0, tie, r, x))
+    own = {c: [(r, x) for *_, r, x in sorted(ts)] for c, ts in own.items()}
+    convs = {}
+    for c, ts in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        convs[c] = tuple(own.get(c - c % 20, [])[:h] + ts[h:])
+    nodes = {}
+    for c, ts in convs.items():
+        for d in range(len(ts) + 1):
+            nodes.setdefault(ts[:d], []).append(c)
+    kids = {p: [q for q in nodes if len(q) == len(p) + 1 and q[: len(p)] == p] for p in nodes}
+    out = []
+    for p, ids in nodes.items():
+        under = [q for q in nodes if q[: len(p)] == p]
+        saved = sum((len(nodes[q]) - 1) * len(q[-1][1].split()) for q in under if q)
+        ends = ",".join(str(c) for c in sorted(ids) if convs[c] == p)
+        out.append((min(ids), len(p), min(nodes[p[:-1]]) if p else None, len(ids), len(kids[p]), sum(not kids[q] for q in under), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5, 40, None])
+def test_trie_is_the_plain_one(spark, parts):
+    rng = random.Random(parts or 0)
+    rows = [(c, t, rng.choice(["user", "user", None]), rng.choice(["a", "a b", "a", None, "c  d\te"])) for c in range(130) if c != 40 for t in range(rng.choice([1, 1, 2, 3, 5]))]
+    rows += [(500, t, "user", "a") for t in range(60)] + [(501, t, "user", "a") for t in range(61)] + [(502, 0, "user", "a"), (502, 0, "user", "b"), (502, 0, "user", "a"), (502, None, "z", "z"), (None, 1, "user", "a")]
+    rows += [(600 + i, t, "r", "same words here") for i in range(200) for t in range(4)]
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "conv_id long, turn long, role string, text string, id int, path string").repartition(3)
+    got = prefix_trie.conversation_trie(df, parts=parts)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_trie(rows)
+
+
+def test_trie_of_nothing_and_of_long_turns(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert prefix_trie.conversation_trie(spark.createDataFrame([], schema)).collect() == []
+    rows = [(20, 0, "user", "w " * 400_000), (21, 0, "user", "w " * 400_000), (21, 1, "", "é"), (20, 1, "u", "x\x0by\u00a0z"), (22, 5, "ab", "c"), (42, 5, "a", "bc")]
+    got = prefix_trie.conversation_trie(spark.createDataFrame(rows, schema), parts=3).collect()
+    want = [(*w[:6], w[6], w[7]) for w in plain_trie([(c, t, r, x.replace("\u00a0", "_")) for c, t, r, x in rows])]
+    assert sorted((tuple(r) for r in got), key=repr) == want
+
+
+def test_ids_of_a_path_are_hashed_in_pieces(spark):
+    one = F.array(F.struct(F.lit(0).alias("turn"), F.lit("0a" * prefix_trie.TURN).alias("digest"), F.lit(3).alias("words")))
+    convs = spark.range(0, 5000).select("id", F.when(F.col("id") % 10 == 0, F.slice(one, 1, 0)).otherwise(one).alias("turns"))
+    got = {len(r.path): r for r in prefix_trie.distinct_paths(convs, Scratch(spark), piece_bytes=10).collect()}
+    for length, own in ((0, lambda i: i % 10 == 0), (prefix_trie.TURN, lambda i: i % 10)):
+        ids = [i for i in range(5000) if own(i)]
+        assert (got[length].n, got[length].conv_id) == (len(ids), ids[0]) and got[length].ends == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
