@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, fingerprint_index, jaccard_join, langid, mixing, packing, prefix_trie, quality, secrets, suffix_array, warc
+from . import ann, embedding_dedup, fingerprint_index, hard_negatives, jaccard_join, langid, mixing, packing, prefix_trie, quality, secrets, suffix_array, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,11 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "language.lang_pred", "language.score", "language.margin", (~langid.is_clear("language", model)).alias("rejected"))
 
 
+def hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label=label)
+
+
 def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -188,6 +193,15 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first, row_nu
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM f
 """
 
+HARD_NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INTEGER) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score QUALIFY rank <= 10
+"""
+
 # DuckDB has no CRC-32: a turn of the register's low bit, 8 for each digit of the id.
 TRIE_SQL = r"""
 WITH c AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
@@ -196,7 +210,8 @@ h AS (SELECT conv_id, own, CAST(xor(list_reduce(list_prepend(4294967295::BIGINT,
 r AS (SELECT h.conv_id, list_concat(coalesce(b.own[1 : h.h], []), h.own[h.h + 1 :]) AS turns FROM h LEFT JOIN h b ON b.conv_id = h.conv_id - h.conv_id % 20),
 p AS (SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns FROM r),
 k AS (SELECT conv_id, depth, md5(CAST(turns[1 : depth] AS VARCHAR)) || depth AS key, CASE WHEN depth > 0 THEN md5(CAST(turns[1 : depth - 1] AS VARCHAR)) || (depth - 1) END AS up, depth = len(turns) AS ends,
-  CASE WHEN depth > 0 THEN len(regexp_extract_all(turns[depth].t, '[^ 	-]+')) ELSE 0 END AS words FROM p),
+  CASE WHEN depth > 0 THEN len(regexp_extract_all(turns[depth].t, '[^ 	-
+]+')) ELSE 0 END AS words FROM p),
 n AS (SELECT key, any_value(up) AS up, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM k GROUP BY key),
 children AS (SELECT up AS key, count(*) AS n FROM n WHERE up IS NOT NULL GROUP BY 1),
 all_ AS (SELECT n.*, coalesce(children.n, 0) AS n_children FROM n LEFT JOIN children USING (key)),
@@ -216,6 +231,7 @@ QUERIES = {
     "op8_incremental_substring_dedup": incremental_substring_dedup,
     "op9_ngram_jaccard_join": ngram_jaccard_join,
     "op10_language_id": language_id,
+    "op11_hard_negatives": hard_negative_mining,
     "op12_conversation_trie": conversation_trie,
     "op13_content_addressed_warc": content_addressed_warc,
     "secrets_by_base_patterns": base_secrets,
@@ -228,6 +244,7 @@ ORACLE_SQL = {
     "op9_ngram_jaccard_join": JACCARD_SQL,
     "op5_curriculum_mixing": MIXING_SQL,
     "op7_suffix_array_dedup": SUBSTRINGS_SQL,
+    "op11_hard_negatives": HARD_NEGATIVES_SQL,
     "op12_conversation_trie": TRIE_SQL,
     "op13_content_addressed_warc": WARC_SQL,
     "secrets_by_base_patterns": BASE_SECRETS_SQL,
