@@ -278,12 +278,13 @@ class FingerprintIndex:
         self.spark, self.scratch = spark, Scratch(spark)
         self.path = path or f"{self.scratch.root}/index"
         self.n, self.parts, self.fanout, self.fan, self.bits, self.texts = n, parts, fanout, fan, bits, texts
-        self.version, self.runs, self.documents, self.turns = 0, [], [], turns
+        self.version, self.runs, self.documents, self.turns, self.last = 0, [], [], turns, None
         known = [int(s.getPath().getName()) for s in self._list("state") if self._exists(f"state/{s.getPath().getName()}/_SUCCESS")]
         if known:
             self.version = max(known)
             state = json.loads(spark.read.text(f"{self.path}/state/{self.version}").first()[0])
             self.runs, self.documents, self.n, self.parts, self.bits, self.fan, self.turns = (state[k] for k in ("runs", "documents", "n", "parts", "bits", "fan", "turns"))
+            self.last = state.get("last")
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -301,7 +302,7 @@ class FingerprintIndex:
     def _finish(self, runs: list[str], documents: list[str]) -> None:
         """Makes the step's tables the index's, then deletes what it no longer names."""
         self.version += 1
-        state = {"runs": runs, "documents": documents, "n": self.n, "parts": self.parts, "bits": self.bits, "fan": self.fan, "turns": self.turns}
+        state = {"runs": runs, "documents": documents, "n": self.n, "parts": self.parts, "bits": self.bits, "fan": self.fan, "turns": self.turns, "last": self.last}
         self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/state/{self.version}")
         for old in set(self.runs) - set(runs):
             fs, p = self._fs(old)
@@ -325,10 +326,17 @@ class FingerprintIndex:
         return F.pmod(F.xxhash64(F.coalesce(F.col(column), F.lit(B.NO_ID))), F.lit(self.parts)).cast("int").alias("part")
 
     def ingest(self, docs: DataFrame, *, id_: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
-        """A batch's report: doc_id, n_words, n_removed, kept_sha256 (and kept, the remaining words)."""
+        """A batch's report: doc_id, n_words, n_removed, kept_sha256 (and kept, the remaining words).
+
+        An id that is not above all ids of the index is an error: what is removed would depend on the order of calls.
+        """
         small_batches(self.spark)
         scratch, n, parts = self.scratch, self.n, self.parts
         rows = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        own = F.coalesce("doc_id", F.lit(B.NO_ID))
+        first, last = rows.agg(F.min(own), F.max(own)).first()
+        if first is not None and self.last is not None and first <= self.last:
+            raise ValueError(f"a batch begins at id {first}, but the index holds ids up to {self.last}")
         coarse, fine = B.levels(parts, self.fan)
         whole = len(self.runs) >= self.fanout * self.turns
         def join(blocks: pa.Table, stored: pa.Table) -> pa.Table:
@@ -364,6 +372,7 @@ class FingerprintIndex:
         out = self._report(rows, digests, with_text)
         if out.filter("open IS NOT NULL").limit(1).count():
             out = self._report(rows, digests.unionByName(self._compared(rows, everything, out)), with_text)
+        self.last = self.last if last is None else last
         self._finish(run if whole else [*self.runs, *run], documents)
         scratch.drop(digests)
         scratch.release()
@@ -462,11 +471,14 @@ def dedup(
     an id count as copies of one document: windows at one place of them are one window.
     An empty table stays empty.
 
-    The documents are ingested in ``batches`` of rising ids into a FingerprintIndex, in
-    ``path`` or for this call only.  bits: of the hashes; results do not depend on them.
+    The documents are ingested in ``batches`` of rising ids into a FingerprintIndex for
+    this call, or in ``path``.  An index in a path keeps the texts, and a later call with
+    that path goes on with it: the documents of former calls are the earlier ones, and
+    ids that are not above all of theirs are an error.  bits: of the hashes; results do
+    not depend on them.
     """
     spark = docs.sparkSession
-    index = FingerprintIndex(spark, path, n=n, parts=B.parts(docs, 6 << 20), fanout=fanout, fan=fan, bits=bits, texts=docs)
+    index = FingerprintIndex(spark, path, n=n, parts=B.parts(docs, 6 << 20), fanout=fanout, fan=fan, bits=bits, texts=None if path else docs)
     quantiles = [k / batches for k in range(1, batches)]
     cuts = docs.select(F.col(id_).cast("double").alias("i")).approxQuantile("i", quantiles, 0.02) if quantiles else []
     bounds = sorted({int(c) for c in cuts})

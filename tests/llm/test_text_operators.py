@@ -69,6 +69,24 @@ def test_index_over_batches_and_sessions(spark, tmp_path):
     assert got == windows_brute(rows, 4)
 
 
+def test_one_path_in_several_calls(spark, tmp_path):
+    """Texts of former calls are known, also after compaction and in a new session; ids must rise."""
+    rows, got, path = noisy(3), {}, f"file://{tmp_path}/index"
+    df = frame(spark, rows)
+    for a, z in ((-60, 200), (200, 430), (430, 900)):
+        found = fingerprint_index.dedup(df.filter(f"doc_id >= {a} AND doc_id < {z}"), n=5, batches=2, path=path)
+        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()}
+        if a == 200:
+            fingerprint_index.FingerprintIndex(spark, path).compact()
+    assert got == windows_brute(rows, 5)
+    with pytest.raises(ValueError, match="holds ids up to"):
+        fingerprint_index.dedup(df, n=5, path=path)
+    text = " ".join(f"w{i}" for i in range(60))
+    other = f"file://{tmp_path}/other"
+    fingerprint_index.dedup(frame(spark, [(1, text)]), path=other)
+    assert [r.n_removed for r in fingerprint_index.dedup(frame(spark, [(2, "three words before " + text)]), path=other).collect()] == [60]
+
+
 def test_runs_are_sorted_and_come_back():
     h = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 200_000, dtype=np.uint64))
     docs, starts = np.arange(200_000) * 7 - 5, (np.arange(200_000) % 999).astype(np.int32)
@@ -269,8 +287,9 @@ def test_very_long_texts(spark):
     pieces = packing.pack(df).filter("doc_id = 1").agg(F.sum("length"), F.max("piece")).first()
     assert pieces[0] > 600_000 and pieces[1] == -(-pieces[0] // 4096) - 1
     assert {r.doc_id: (r.n_assign, r.n_hex) for r in secrets.find(df, secrets.fit(df)).collect()} == {1: (1, 1), 2: (0, 0), 3: (0, 0), 4: (0, 0)}
-    assert {r.doc_id: r.size for r in mixing.mix(df).collect()} == {1: 600_001, 2: 25_000, 3: 1, 4: 0}
-    model = langid.LanguageModel({"aa": b"abcdefg hij", "bb": b"zzzz yyyy"})
+    assert {r.doc_id: r.size for r in mixing.mix(df.withColumn("source", F.lit("a"))).collect()} == {1: 600_001, 2: 25_000, 3: 1, 4: 0}
+    # random letters are no language: what tells is a piece of the text itself
+    model = langid.LanguageModel({"aa": long[300_000:330_000].encode(), "bb": " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3750)).encode()})
     assert {r.doc_id: r.language.lang_pred for r in langid.identify(df, model).collect()}[1] == "aa"
     assert quality.features(pa.array([long])).shape == (1, len(quality.NAMES))
 
