@@ -34,6 +34,16 @@ def term_tokens(text: Column) -> Column:
     return F.filter(_all(F.lower(text), TERM_TOKEN), lambda t: ~t.isin(S.STOPWORDS))
 
 
+def rank_candidates(text: Column) -> Column:
+    """As rank_tokens, in the text's own case, for those who lower them later."""
+    return _all(text, RANK_TOKEN)
+
+
+def term_candidates(text: Column) -> Column:
+    """As term_tokens, with stop words, for those who drop them later."""
+    return _all(F.lower(text), TERM_TOKEN)
+
+
 def word_set(text: Column) -> Column:
     """Distinct words for overlaps and similarities."""
     return F.array_distinct(_all(F.lower(text), WORD_TOKEN))

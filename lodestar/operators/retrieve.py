@@ -1,13 +1,13 @@
 """Indexing, retrieval and re-ranking, for many queries at once.
 
-Queries are a table (query_id, query) given by the caller.  A TextIndex reads the
-documents once, for both tokenizers; retrieval then reads only its counts.
+Queries are a table (query_id, query) given by the caller.  A TextIndex holds postings
+for both tokenizers, made in one scan of the documents; retrieval reads the blocks of
+the queries' terms only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +17,10 @@ from .. import tables
 from ..functions import scores as M
 from ..functions import text as X
 from ..functions import vectors as V
+from . import postings as P
+from .postings import RANK, TERM, TextIndex
 
-K1, B, RRF_K = 1.5, 0.75, 60
-#: Kinds of counts: tokens of the sparse ranking, tokens of term weights, and one row for the document itself.
-RANK, TERM, DOCUMENT = 0, 1, 2
+RRF_K = 60
 
 
 def queries(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
@@ -40,38 +40,28 @@ def term_tokens() -> Column:
     return X.term_tokens(F.concat("title", F.lit(". "), "content"))
 
 
-@dataclass(frozen=True)
-class TextIndex:
-    """counts: (id, ok, len, kind, term, tf), a row for each document and distinct token of a kind.
-
-    len is the number of ranking tokens; ok says whether the document may be returned.
-    """
-
-    counts: DataFrame
-
-    def of(self, kind: int) -> DataFrame:
-        return self.counts.filter(F.col("kind") == kind)
-
-    def totals(self) -> DataFrame:
-        """One row: n, avgdl."""
-        return self.of(DOCUMENT).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+def text_index(docs: DataFrame, *, where: Column | None = None, id_: str = "id", kinds: Sequence[int] = (RANK, TERM), most: int = 4096, only: dict[int, frozenset[str]] | None = None) -> TextIndex:
+    """Postings of both kinds, from one scan; ``where`` only restricts what is returned."""
+    return P.build(docs, X.rank_candidates(F.concat("title", F.lit(" "), "content")), X.term_candidates(F.concat("title", F.lit(". "), "content")), where=where, id_=id_, kinds=kinds, most=most, only=only)
 
 
-def text_index(docs: DataFrame, *, where: Column | None = None, id_: str = "id", kinds: Sequence[int] = (RANK, TERM), saved: bool = True) -> TextIndex:
-    """One scan and one shuffle; ``saved`` writes the counts, for plans that read them more than once."""
+def _asked(asked: DataFrame, tokens: Column) -> tuple[DataFrame, list[str] | None, Callable[[DataFrame], DataFrame]]:
+    """(query_id, term, times), the distinct terms if they are few, and a hint for what grows with the queries alone."""
+    rows = asked.select("query_id", F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    terms, hint = tables.few_or_saved(rows)
+    return terms, sorted({r.term for r in terms.collect()}) if hint is F.broadcast else None, hint
 
-    def marked(tokens: Column, kind: int) -> Column:
-        return F.transform(tokens, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
 
-    rows = docs.select(F.col(id_).alias("id"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("ok"), rank_tokens().alias("rank"), term_tokens().alias("terms"))
-    tokens = F.concat(*[marked(F.col(c), k) for c, k in (("rank", RANK), ("terms", TERM)) if k in kinds], F.array(F.struct(F.lit(DOCUMENT).alias("kind"), F.lit("").alias("term"))))
-    each = rows.select("id", "ok", F.size("rank").alias("len"), F.explode(tokens).alias("t")).select("id", "ok", "len", "t.kind", "t.term")
-    counts = each.groupBy("id", "ok", "len", "kind", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return TextIndex(tables.save(counts.sortWithinPartitions("kind", "term")) if saved else counts)
+def text_index_for(docs: DataFrame, asked: DataFrame, *, where: Column | None = None, id_: str = "id") -> TextIndex:
+    """An index for these queries alone: if their terms are few, no others get postings."""
+    words = [_asked(asked, f(F.col("query")))[1] for f in (X.rank_tokens, X.term_tokens)]
+    only = None if None in words else {RANK: frozenset(words[0]), TERM: frozenset(words[1])}
+    return text_index(docs, where=where, id_=id_, only=only)
 
 
-def _index(docs: DataFrame | TextIndex, where: Column | None, id_: str, *kinds: int) -> TextIndex:
-    return docs if isinstance(docs, TextIndex) else text_index(docs, where=where, id_=id_, kinds=kinds)
+def _for_queries(docs: DataFrame | TextIndex, kind: int, terms: list[str] | None, where: Column | None, id_: str, most: int = 4096) -> TextIndex:
+    """The index given, or one made of documents for a single use: of few terms, these only get postings."""
+    return docs if isinstance(docs, TextIndex) else text_index(docs, where=where, id_=id_, kinds=[kind], most=most, only=None if terms is None else {kind: frozenset(terms)})
 
 
 def term_statistics(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -85,22 +75,22 @@ def idf(df: Column, n: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def bm25(docs: DataFrame | TextIndex, asked: DataFrame, *, where: Column | None = None, id_: str = "id", restricted: bool = True) -> DataFrame:
+def bm25(docs: DataFrame | TextIndex, asked: DataFrame, *, where: Column | None = None, id_: str = "id", restricted: bool = True, k: int | None = None) -> DataFrame:
     """(query_id, id, score): sums over the query's tokens, repeats counted.
 
     Counts of documents and terms are those of the whole corpus; ``where`` only
     restricts what is returned (``restricted``: for an index, to its ok documents).
-    Only counts of the queries' terms are read.
+    Only blocks of the queries' terms are read.  ``k``: scores are only whole for each
+    query's k best, and blocks that cannot hold one are left out.
     """
-    index, hint = _index(docs, where, id_, RANK), by_queries(asked)
-    terms = asked.select("query_id", F.explode(X.rank_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    postings = index.of(RANK).join(hint(terms.select("term").distinct()), "term", "left_semi")
-    # no more terms than the queries have
-    vocab = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(index.totals()))
-    weights = hint(terms.join(vocab, "term").select("query_id", "term", "avgdl", (F.col("times") * idf(F.col("df"), F.col("n"))).alias("w")))
-    rows = (postings.filter("ok") if restricted else postings).join(weights, "term")
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return rows.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    terms, words, hint = _asked(asked, X.rank_tokens(F.col("query")))
+    index = _for_queries(docs, RANK, words, where, id_)
+    blocks = index.of(RANK, words)
+    df = blocks.groupBy("term").agg(F.sum("n").alias("df"))
+    weights = hint(terms).join(df, "term").select("query_id", "term", (F.col("times") * idf(F.col("df"), F.lit(index.documents))).alias("w"))
+    if k is None:
+        return P.summed(blocks, hint(weights), restricted=restricted)
+    return P.best(blocks, weights, k, restricted=restricted)
 
 
 def ranked(scored: DataFrame, k: int, *, by: str = "score", group: Sequence[str] = ("query_id",), tie: str = "id") -> DataFrame:
@@ -125,33 +115,26 @@ def vocabulary(statistics: DataFrame, n: DataFrame, most: int = 4096) -> DataFra
 
 
 def term_weights(docs: DataFrame | TextIndex, *, most: int = 4096, id_: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(vocab (term, idf), weights (id, ok, term, w)): log-scaled counts times idf, at unit length."""
-    index = _index(docs, None, id_, TERM)
-    counts = index.of(TERM)
-    vocab = vocabulary(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), index.totals().select("n"), most)
-    # no more than ``most`` rows
-    raw = counts.join(F.broadcast(vocab), "term").select("id", "ok", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("raw"))
-    length = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return vocab, raw.join(length, "id").select("id", "ok", "term", (F.col("raw") / F.col("length")).alias("w"))
+    """(vocab (term, idf), weights (id, term, w)): log-scaled counts times idf, at unit length."""
+    index = _for_queries(docs, TERM, None, None, id_, most)
+    return index.vocabulary_rows(), P.postings(index.of(TERM), "term", restricted=False).withColumnRenamed("impact", "w")
 
 
-def term_cosine(docs: DataFrame | TextIndex, asked: DataFrame, *, where: Column | None = None, most: int = 4096, id_: str = "id") -> DataFrame:
+def term_cosine(docs: DataFrame | TextIndex, asked: DataFrame, *, where: Column | None = None, most: int = 4096, id_: str = "id", k: int | None = None) -> DataFrame:
     """(query_id, id, score): cosine of term weights, the dense side of retrieval for texts.
 
-    The products with each query and the document's length come from one aggregate
-    over its counts; documents without a term of a query do not come out.
+    Documents without a term of a query do not come out; ``k`` as in bm25().
     """
-    index = _index(docs, where, id_, TERM)
-    counts = index.of(TERM)
-    vocab = tables.save(vocabulary(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), index.totals().select("n"), most))
-    q = asked.select("query_id", F.explode(X.term_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    q = q.join(F.broadcast(vocab), "term").withColumn("raw", (1.0 + F.log("tf")) * F.col("idf"))
+    terms, words, hint = _asked(asked, X.term_tokens(F.col("query")))
+    index = _for_queries(docs, TERM, words, where, id_, most)
+    # no more rows than ``most``
+    q = terms.join(F.broadcast(index.vocabulary_rows(words)), "term").withColumn("raw", (1.0 + F.log("times")) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("query_id")))
-    q = q.select("query_id", "term", (F.col("raw") / length).alias("q"))
-    raw = counts.filter("ok").join(F.broadcast(vocab), "term").select("id", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("raw"))
-    found = raw.join(by_queries(asked)(q), "term").groupBy("query_id", "id").agg(F.sum(F.col("raw") * F.col("q")).alias("dot"))
-    lengths = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return found.join(lengths, "id").select("query_id", "id", (F.col("dot") / F.col("length")).alias("score"))
+    weights = q.select("query_id", "term", (F.col("raw") / length).alias("w"))
+    blocks = index.of(TERM, words)
+    if k is None:
+        return P.summed(blocks, hint(weights))
+    return P.best(blocks, weights, k)
 
 
 def fuse(lists: Sequence[tuple[DataFrame, float]], k: int, *, constant: int = RRF_K) -> DataFrame:
@@ -165,9 +148,9 @@ def fuse(lists: Sequence[tuple[DataFrame, float]], k: int, *, constant: int = RR
 
 def hybrid(docs: DataFrame | TextIndex, asked: DataFrame, k: int = 25, *, where: Column | None = None, weights: tuple[float, float] = (0.5, 0.5), filter_sparse: bool = True) -> DataFrame:
     """Dense and sparse lists of 2k each, fused: (query_id, id, score, rank, normalized)."""
-    index = _index(docs, where, "id", RANK, TERM)
-    dense = ranked(term_cosine(index, asked), 2 * k)
-    sparse = ranked(bm25(index, asked, restricted=filter_sparse), 2 * k)
+    index = docs if isinstance(docs, TextIndex) else text_index_for(docs, asked, where=where)
+    dense = ranked(term_cosine(index, asked, k=2 * k), 2 * k)
+    sparse = ranked(bm25(index, asked, restricted=filter_sparse, k=2 * k), 2 * k)
     return fuse([(dense, weights[0]), (sparse, weights[1])], k)
 
 

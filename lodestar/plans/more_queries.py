@@ -228,10 +228,11 @@ def _(spark, d):
    UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + r + 1) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS r FROM bm) WHERE r < 50),
  fused AS (SELECT query_id, id, sum(part) AS score FROM lists GROUP BY 1, 2) SELECT query_id, id, round(score, 9) AS score FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) <= 25""", "evidence")
 def _(spark, d):
-    index, q = retrieve.text_index(ev(spark, d), where=F.col("ticker") == "SRC3"), retrieve.queries(spark, ASKED)
+    q = retrieve.queries(spark, ASKED)
+    index = retrieve.text_index_for(ev(spark, d), q, where=F.col("ticker") == "SRC3")
     exact = lambda df: df.withColumn("score", F.round("score", 9))
-    dense = retrieve.ranked(exact(retrieve.term_cosine(index, q)), 50)
-    return retrieve.fuse([(dense, 1.0), (retrieve.ranked(exact(retrieve.bm25(index, q, restricted=False)), 50), 1.0)], 25).select("query_id", "id", F.round("score", 9).alias("score"))
+    dense = retrieve.ranked(exact(retrieve.term_cosine(index, q, k=50)), 50)
+    return retrieve.fuse([(dense, 1.0), (retrieve.ranked(exact(retrieve.bm25(index, q, restricted=False, k=50)), 50), 1.0)], 25).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
 @query("c11_memory_merge", "SELECT id, id % 2 = 0 AS fetched FROM evidence", "evidence")

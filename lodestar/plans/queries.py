@@ -340,7 +340,7 @@ def _(spark, d):
 
 @query("o2_bm25_topk", f"{BM25_SQL} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM bm QUALIFY rank < 10", "evidence")
 def _(spark, d):
-    scored = retrieve.bm25(ev(spark, d), retrieve.queries(spark, ASKED)).withColumn("score", F.round("score", 9))
+    scored = retrieve.bm25(ev(spark, d), retrieve.queries(spark, ASKED), k=10).withColumn("score", F.round("score", 9))
     return retrieve.ranked(scored, 10).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -376,9 +376,10 @@ RRF_SQL = f"""{BM25_SQL}{COSINE_SQL},
 
 
 def _fused(spark, d):
-    index, q = retrieve.text_index(ev(spark, d)), retrieve.queries(spark, ASKED)
+    q = retrieve.queries(spark, ASKED)
+    index = retrieve.text_index_for(ev(spark, d), q)
     exact = lambda df: df.withColumn("score", F.round("score", 9))
-    dense, sparse = (retrieve.ranked(exact(f(index, q)), 50) for f in (retrieve.term_cosine, retrieve.bm25))
+    dense, sparse = (retrieve.ranked(exact(f(index, q, k=50)), 50) for f in (retrieve.term_cosine, retrieve.bm25))
     return retrieve.fuse([(dense, 0.5), (sparse, 0.5)], 25)
 
 

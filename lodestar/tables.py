@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,16 +34,39 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def save(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes and rereads: later plans start here, and lost executors cost a reread."""
+def save(df: DataFrame, path: str | None = None, *, row_group: int | None = None) -> DataFrame:
+    """Writes and rereads: later plans start here, and lost executors cost a reread.
+
+    row_group: bytes of a row group, small where filters on a sorted column should skip most of them.
+    """
     path = path or shared_folder(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package to workers that would not find it by themselves, once for each session."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.path.realpath(p or ".") for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
+    sc = spark.sparkContext
+    if os.path.realpath(root) in known or getattr(sc, "_lodestar_sent", False):
+        return
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lodestar-code-"), "lodestar"), "zip", root, "lodestar"))
+    sc._lodestar_sent = True
+
+
 #: Up to so many small rows given by a caller are broadcast; beyond, both sides are shuffled.
 MOST_BROADCAST = 100_000
 
 
 def is_small(df: DataFrame, most: int = MOST_BROADCAST) -> bool:
     return df.limit(most + 1).count() <= most
+
+
+def few_or_saved(df: DataFrame, most: int = 2000) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows as a local table with a broadcast hint, if there are at most ``most``; else written, without a hint."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        return save(df), lambda d: d
+    return df.sparkSession.createDataFrame(rows, df.schema), F.broadcast

@@ -39,10 +39,21 @@ def test_documents_are_not_read_again(spark, name, most):
     assert len(re.findall(r"FileScan parquet \[[^\]]*\][^\n]*documents\.parquet", plan)) <= most
 
 
-def test_index_is_one_scan(spark):
-    e = q.ev(spark, SF)
-    plan = plan_of(retrieve.text_index(e, saved=False).counts)
-    assert len(re.findall(r"documents\.parquet", plan)) == 1
+def test_index_is_one_scan(spark, monkeypatch):
+    """Of the documents, and nothing of theirs is shuffled by document and term."""
+    plans, save = [], tables.save
+    monkeypatch.setattr(tables, "save", lambda df, *a, **k: plans.append(plan_of(df)) or save(df, *a, **k))
+    retrieve.text_index(q.ev(spark, SF))
+    assert [len(re.findall(r"documents\.parquet", p)) for p in plans] == [1, 0, 0]
+    keyed = [re.findall(r"Exchange (\w+)\(([^\n]*)", p) for p in plans]
+    assert all(kind == "RoundRobinPartitioning" or "term" not in keys for kind, keys in keyed[0]) and not keyed[1]
+    assert [kind for kind, _ in keyed[2]] == ["rangepartitioning"]
+
+
+@pytest.mark.parametrize("name", ["a3_bm25", "v10_term_cosine", "c2_hybrid_rrf", "c4_rerank"])
+def test_no_exchange_by_document_and_term(spark, name):
+    keys = re.findall(r"Exchange hashpartitioning\(([^\n]*)", plan_of(q.QUERIES[name](spark, SF)))
+    assert not [k for k in keys if re.search(r"\bid#", k) and "term" in k]
 
 
 def test_many_queries_come_in_blocks(spark):
