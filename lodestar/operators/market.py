@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import scan
+
 
 def _by_time(key: str = "ticker", ts: str = "ts"):
     return Window.partitionBy(key).orderBy(ts)
@@ -37,29 +39,40 @@ def rsi_sentiment(rsi: Column) -> Column:
     return F.when(rsi > 70, "bearish").when(rsi < 30, "bullish").when(rsi >= 55, "bullish").when(rsi <= 45, "bearish").otherwise("neutral")
 
 
-def _series() -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct("ts", "close"))), lambda x: x["close"])
+def ema_step(a: float) -> Column:
+    """The recursive mean's step on (mean, 1)."""
+    return scan.numbers(1 - a, a * F.col("close"), 0, 1)
 
 
 def ema_last(prices: DataFrame, span: int) -> DataFrame:
-    """The last value of the recursive mean of each ticker's series."""
-    a = 2 / (span + 1)
-    folded = F.aggregate(F.slice("s", 2, F.size("s")), F.element_at("s", 1), lambda y, x: y * (1 - a) + x * a)
-    return prices.groupBy("ticker").agg(_series().alias("s")).select("ticker", folded.alias("ema"))
+    """The last value of the recursive mean of each ticker's series, which starts at the first price."""
+    rows = scan.last(prices, ema_step(2 / (span + 1)), 2)
+    p = lambda c: scan.element("product", 0, c, 2)
+    return rows.select("ticker", (p(0) * F.col("first") + p(1)).alias("ema"))
+
+
+def ema(prices: DataFrame, span: int) -> DataFrame:
+    """(ticker, ts, close, ema): the recursive mean behind each price."""
+    rows = scan.running(prices, ema_step(2 / (span + 1)), 2, lambda x: [x, 1.0])
+    return rows.select("ticker", "ts", "close", F.get("state", F.lit(0)).alias("ema"))
+
+
+def macd_step(fast: int, slow: int, signal: int) -> Column:
+    """The step on (fast mean, slow mean, signal, 1)."""
+    f, s, g, x = 2 / (fast + 1), 2 / (slow + 1), 2 / (signal + 1), F.col("close")
+    return scan.numbers(1 - f, 0, 0, f * x, 0, 1 - s, 0, s * x, g * (1 - f), -g * (1 - s), 1 - g, g * (f - s) * x, 0, 0, 0, 1)
 
 
 def macd(prices: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """The last line, signal and histogram of each ticker: three recursions in one fold of its series."""
-    f, s, g = 2 / (fast + 1), 2 / (slow + 1), 2 / (signal + 1)
+    """The last line, signal and histogram of each ticker: three recursions at once."""
+    rows = scan.last(prices, macd_step(fast, slow, signal), 4)
 
-    def step(y: Column, x: Column) -> Column:
-        a, b = y["fast"] * (1 - f) + x * f, y["slow"] * (1 - s) + x * s
-        return F.struct(a.alias("fast"), b.alias("slow"), (y["signal"] * (1 - g) + (a - b) * g).alias("signal"))
+    def state(i: int) -> Column:
+        # both means start at the first price, the signal at 0
+        return (scan.element("product", i, 0, 4) + scan.element("product", i, 1, 4)) * F.col("first") + scan.element("product", i, 3, 4)
 
-    start = F.struct(F.element_at("s", 1).alias("fast"), F.element_at("s", 1).alias("slow"), F.lit(0.0).alias("signal"))
-    rows = prices.groupBy("ticker").agg(_series().alias("s")).select("ticker", F.aggregate(F.slice("s", 2, F.size("s")), start, step).alias("y"))
-    line = F.col("y.fast") - F.col("y.slow")
-    return rows.select("ticker", line.alias("macd"), F.col("y.signal").alias("signal"), (line - F.col("y.signal")).alias("histogram"))
+    rows = rows.select("ticker", (state(0) - state(1)).alias("macd"), state(2).alias("signal"))
+    return rows.withColumn("histogram", F.col("macd") - F.col("signal"))
 
 
 def volatility(prices: DataFrame, default: float = 20.0) -> DataFrame:

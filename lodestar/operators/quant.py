@@ -1,7 +1,6 @@
 """Measures that are documented for the engine without a source to match: each docstring gives the formula used.
 
-All are aggregates, windows by key or folds of one key's series; a fold holds that
-series in one row.
+All are aggregates, windows by key or, where a step needs the one before, scans.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources import generators
+from . import scan
 
 
 def _w(key: str = "ticker", ts: str = "ts"):
@@ -99,49 +99,47 @@ def partial_effect(rows: DataFrame, group: Sequence[str], *, x: str = "x", y: st
     return a.withColumn("spurious", F.abs("effect") < 0.1 * F.abs("total"))
 
 
-def _series(value: str = "close") -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct("ts", value))), lambda x: x[value])
-
-
 def kalman(prices: DataFrame, *, process: float = 1e-3, noise: float = 1e-1) -> DataFrame:
-    """(ticker, level, variance) after the last price: a random walk seen with noise, started at the first price with variance 1."""
+    """(ticker, level, variance) after the last price: a random walk seen with noise, started at the first price with variance 1.
 
-    def step(s: Column, x: Column) -> Column:
-        p = s["p"] + process
-        gain = p / (p + noise)
-        return F.struct((s["x"] + gain * (x - s["x"])).alias("x"), ((1 - gain) * p).alias("p"))
+    The variance is a quotient u / v and the level w / v; a step is linear in (u, v, w).
+    """
+    z = F.col("close")
+    rows = scan.last(prices, scan.numbers(noise, noise * process, 0, 1, process + noise, 0, z, process * z, noise), 3, projective=True)
 
-    start = F.struct(F.element_at("s", 1).alias("x"), F.lit(1.0).alias("p"))
-    rows = prices.groupBy("ticker").agg(_series().alias("s")).select("ticker", F.aggregate(F.slice("s", 2, F.size("s")), start, step).alias("k"))
-    return rows.select("ticker", F.col("k.x").alias("level"), F.col("k.p").alias("variance"))
+    def state(i: int) -> Column:
+        return scan.element("product", i, 0, 3) + scan.element("product", i, 1, 3) + scan.element("product", i, 2, 3) * F.col("first")
+
+    return rows.select("ticker", (state(2) / state(1)).alias("level"), (state(0) / state(1)).alias("variance"))
 
 
 def garch(changes: DataFrame, *, omega: float = 1e-6, alpha: float = 0.1, beta: float = 0.85) -> DataFrame:
     """(ticker, variance): omega + alpha r^2 + beta v after the last change, started at the mean square.  changes: (ticker, ts, r)."""
-    rows = changes.filter("r IS NOT NULL").groupBy("ticker").agg(_series("r").alias("s"), F.avg(F.col("r") * F.col("r")).alias("v"))
-    return rows.select("ticker", F.aggregate("s", F.col("v"), lambda v, r: omega + alpha * r * r + beta * v).alias("variance"))
+    r = F.col("r")
+    rows = scan.last(changes, scan.numbers(beta, omega + alpha * r * r, 0, 1), 2, value="r", from_second=False)
+    start = changes.groupBy("ticker").agg(F.avg(r * r).alias("v"))
+    return rows.join(start, "ticker").select("ticker", (scan.element("product", 0, 0, 2) * F.col("v") + scan.element("product", 0, 1, 2)).alias("variance"))
 
 
 #: Regimes: mean and spread of a change, in a market that rises, falls or swings.
 REGIMES = {"BULL_TREND": (0.001, 0.01), "BEAR_TREND": (-0.001, 0.015), "HIGH_VOLATILITY_SIDEWAYS": (0.0, 0.03)}
 
 
-def regimes(changes: DataFrame, *, stay: float = 0.95) -> DataFrame:
-    """(ticker, regime, probability) after the last change: the forward pass of a hidden chain that keeps its state with probability ``stay``."""
-    n = len(REGIMES)
-    keep, leave = stay, (1 - stay) / (n - 1)
-
-    def density(r: Column, mean: float, spread: float) -> Column:
-        return F.exp(-((r - mean) * (r - mean)) / (2 * spread * spread)) / spread + 1e-300
+def density(r: Column, mean: float, spread: float) -> Column:
+    """Of a normal change but for a common factor, never 0."""
+    return F.exp(-((r - mean) * (r - mean)) / (2 * spread * spread)) / spread + 1e-300
 
-    def step(p: Column, r: Column) -> Column:
-        ahead = [F.get(p, F.lit(i)) * (keep - leave) + leave for i in range(n)]
-        joint = F.array(*[a * density(r, m, s) for a, (m, s) in zip(ahead, REGIMES.values(), strict=True)])
-        total = F.aggregate(joint, F.lit(0.0), lambda t, x: t + x)
-        return F.transform(joint, lambda x: x / total)
 
-    start = F.array(*[F.lit(1.0 / n)] * n)
-    rows = changes.filter("r IS NOT NULL").groupBy("ticker").agg(_series("r").alias("s")).select("ticker", F.aggregate("s", start, step).alias("p"))
+def regimes(changes: DataFrame, *, stay: float = 0.95) -> DataFrame:
+    """(ticker, regime, probability) after the last change: the forward pass of a hidden chain that keeps its state with probability ``stay``."""
+    n, r = len(REGIMES), F.col("r")
+    seen = [density(r, m, s) for m, s in REGIMES.values()]
+    step = [seen[i] * (stay if i == j else (1 - stay) / (n - 1)) for i in range(n) for j in range(n)]
+    rows = scan.last(changes, scan.numbers(*step), n, value="r", from_second=False, projective=True)
+    # from equal chances
+    joint = F.array(*[sum((scan.element("product", i, j, n) for j in range(1, n)), scan.element("product", i, 0, n)) for i in range(n)])
+    total = F.aggregate("joint", F.lit(0.0), lambda t, x: t + x)
+    rows = rows.select("ticker", joint.alias("joint")).select("ticker", F.transform("joint", lambda x: x / total).alias("p"))
     top = F.array_max("p")
     return rows.select("ticker", F.element_at(F.array(*[F.lit(x) for x in REGIMES]), F.array_position("p", top).cast("int")).alias("regime"), top.alias("probability"))
 

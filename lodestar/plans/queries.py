@@ -591,6 +591,16 @@ def _(spark, d):
     return market.ema_last(views.view(spark, d, "prices"), 12).select("ticker", F.round("ema", 6).alias("ema"))
 
 
+EMA_SQL = FOLD_SQL.replace("AS (SELECT ticker, close, row_number()", "AS (SELECT ticker, seq, close, row_number()").replace("(SELECT ticker, n, total, close AS f,", "(SELECT ticker, seq, n, total, close AS f,").replace("SELECT o.ticker, o.n,", "SELECT o.ticker, o.seq, o.n,")
+
+
+@query("w3_ema_series", f"{EMA_SQL} SELECT ticker, seq, round(f, 6) AS ema FROM fold", "prices")
+def _(spark, d):
+    """The recursive mean behind every price, not only the last one's."""
+    prices = views.view(spark, d, "prices")
+    return market.ema(prices, 12).join(prices.select("ticker", "ts", "seq"), ["ticker", "ts"]).select("ticker", "seq", F.round("ema", 6).alias("ema"))
+
+
 @query("w4_macd", f"{FOLD_SQL} SELECT ticker, round(f - s, 6) AS macd, round(g, 6) AS signal, round(f - s - g, 6) AS histogram FROM fold WHERE n = total", "prices")
 def _(spark, d):
     return market.macd(views.view(spark, d, "prices")).select("ticker", *[F.round(c, 6).alias(c) for c in ("macd", "signal", "histogram")])
