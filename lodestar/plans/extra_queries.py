@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from .. import schema as S
 from ..functions import text as X
-from ..operators import ann_index, compress, embed, evaluate, filters, market, quant
+from ..operators import ann_index, compress, embed, evaluate, filters, graph_index, market, quant, retrieve
 from ..sources import generators, vector_store, views
 from .queries import ASKED, CONTEXT_QUERY, FOLD_SQL, KEY_SQL, KNN_SQL, NOW, RSI_SQL, T, _contains, _rules, asking, at, ev, query, terms_sql, trust_sql, words_sql
 
@@ -34,6 +34,25 @@ def _(spark, d):
     return found.select("query_id", "id", (F.round("distance", 6) + 0.0).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("v4_graph_insert", "SELECT count(*) AS nodes, max(len(embedding))::INTEGER AS dims, TRUE AS bounded FROM embeddings")
+def _(spark, d):
+    """Every third vector is inserted into the graph of the others; lists stay bounded."""
+    e = T(spark, d, "embeddings")
+    index = graph_index.GraphIndex.build(e.filter("vec_id % 3 <> 0")).insert(e)
+    return index.stats().select("nodes", "dims", (F.col("longest") <= index.degree + 2).alias("bounded"))
+
+
+@query("v5_graph_recall", "SELECT count(*) AS queries, TRUE AS enough, TRUE AS ranked FROM embeddings WHERE vec_id % 20 = 0")
+def _(spark, d):
+    """The graph's answers against all rows': at least nine tenths of each query's five nearest, on average."""
+    e = T(spark, d, "embeddings")
+    asked = asking(e)
+    found, right = graph_index.GraphIndex.build(e).search(asked, 5), retrieve.nearest(e, asked, 5)
+    hits = found.join(right.select("query_id", "id"), ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    each = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(hits, "query_id", "left")
+    return each.agg(F.count(F.lit(1)).alias("queries"), (F.avg(F.coalesce("hits", F.lit(0))) >= 4.5).alias("enough"), F.every(F.col("n") == 5).alias("ranked"))
+
+
 DIMS = 8
 TERMS_OF = terms_sql("title || '. ' || substring(content, 1, 512)")
 PROJECTION_SQL = f""", tx AS (SELECT id, {TERMS_OF} AS ts FROM evidence), nn AS (SELECT count(*) AS n FROM tx),
