@@ -56,9 +56,13 @@ class CellIndex:
     def _filed(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
         return rows.select(_nearest_cells(centroids, 1)("v")[0].alias("cell"), "id", "v")
 
-    def insert(self, vectors: DataFrame, *, id_: str = "vec_id", vector: str = "embedding") -> CellIndex:
-        """The index with more rows; ids that it has already stay as they are."""
-        new = vectors.select(F.col(id_).alias("id"), V.normalize(F.col(vector)).alias("v")).dropDuplicates(["id"]).join(self.rows.select("id"), "id", "left_anti")
+    def insert(self, vectors: DataFrame, *, id_: str = "vec_id", vector: str = "embedding", fresh: bool = False) -> CellIndex:
+        """The index with more rows; ids that it has already stay as they are.
+
+        fresh: the caller knows that the ids are new; then nothing filed is read.
+        """
+        new = vectors.filter(F.col(id_).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_).alias("id"), V.normalize(F.col(vector)).alias("v")).dropDuplicates(["id"])
+        new = new if fresh else new.join(self.rows.select("id"), "id", "left_anti")
         return CellIndex(self.rows.unionByName(tables.save(self._filed(new, self.centroids))), self.centroids)
 
     def search(self, asked: DataFrame, k: int, *, probes: int | None = None, among: DataFrame | None = None) -> DataFrame:
@@ -87,7 +91,7 @@ class VectorRetriever:
     """Builds an index over evidence, then answers queries: (query_id, id, similarity, rank)."""
 
     def __init__(self, embedder, *, characters: int = 512):
-        self.embedder, self.characters, self.index = embedder, characters, None
+        self.embedder, self.characters, self.index, self.added = embedder, characters, None, 0
 
     def text(self) -> Column:
         return F.concat("title", F.lit(". "), F.substring("content", 1, self.characters))
@@ -98,6 +102,16 @@ class VectorRetriever:
         self.index = CellIndex.build(texts.select("id", self.fitted.embed(F.col("text")).alias("v")), id_="id", vector="v")
         return self
 
+    def add(self, evidence: DataFrame, *, merge: int = 16) -> VectorRetriever:
+        """Embeds and files more evidence, of new ids, as the index was fitted; every ``merge`` additions its tables become one."""
+        if self.index is None:
+            raise RuntimeError("build() comes first")
+        vectors = evidence.select("id", self.fitted.embed(self.text()).alias("v"))
+        self.index, self.added = self.index.insert(vectors, id_="id", vector="v", fresh=True), self.added + 1
+        if self.added % merge == 0:
+            self.index = CellIndex(tables.save(self.index.rows), self.index.centroids)
+        return self
+
     def retrieve(self, asked: DataFrame, k: int = 25, *, probes: int | None = None, among: DataFrame | None = None) -> DataFrame:
         if self.index is None:
             raise RuntimeError("build() comes first")

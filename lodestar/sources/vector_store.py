@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
@@ -32,58 +34,82 @@ class VectorStore(ABC):
 
 
 class TableVectorStore(VectorStore):
-    """Rows and deletions as appended tables in a folder; of each id the last entry counts.
+    """Rows and deletions as tables in a folder; of each id the last entry counts.
 
-    Nothing written is changed, so a reader sees whole versions, and a later session
-    that opens the folder goes on with it.  The index is built by the first search
-    after a change, over all live rows.
+    Each change writes one table under a name of its own, and then a new list of the
+    tables that count, the last thing written.  What a failed change has left is in no
+    list and is never read.  Two changes at once write the same list: one of them is an
+    error and can be tried again.  A later session that opens the folder goes on with it.
+
+    The index is fitted and built by a session's first search; later searches embed and
+    file only what came since.  Replaced and deleted rows stay in it, masked, until
+    ``reindex``.  ``compact`` makes one table of the live rows.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, embedder: Embedder | None = None, *, id_: str = "id"):
         self.spark, self.path, self.id = spark, path or tables.shared_folder(spark), id_
-        self.embedder, self.retriever = embedder or Router(), None
+        self.embedder, self.retriever, self.indexed = embedder or Router(), None, 0
 
-    def _versions(self) -> list[int]:
+    def _fs(self, name: str):
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        done = [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n.split("-")[0]) for n in done if n.split("-")[0].isdigit())
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _append(self, rows: DataFrame, kind: str) -> None:
-        versions = self._versions()
-        rows.write.parquet(f"{self.path}/{(versions[-1] if versions else 0) + 1}-{kind}")
-        self.retriever = None
-
-    def _entries(self) -> DataFrame | None:
-        """(id, version, row): row is null in a deletion."""
+    def _list(self) -> tuple[int, list[dict]]:
+        """(version, its tables) as the last finished list has them; a table: name, kind, version."""
+        fs, p = self._fs("lists")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        done = sorted((n for n in names if n.isdigit() and fs.exists(self._fs(f"lists/{n}/_SUCCESS")[1])), key=int)
+        return (int(done[-1]), json.loads(self.spark.read.text(f"{self.path}/lists/{done[-1]}").first()[0])) if done else (0, [])
+
+    def _put(self, version: int, listed: list[dict]) -> None:
+        """Makes the tables the store's version, unless another change has made one."""
+        fs, p = self._fs(f"lists/{version}")
+        if fs.exists(p) and not fs.exists(self._fs(f"lists/{version}/_SUCCESS")[1]):
+            fs.delete(p, True)  # left by a change that failed
+        self.spark.createDataFrame([(json.dumps(listed),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{self.path}/lists/{version}")
+
+    def _append(self, rows: DataFrame, kind: str) -> str:
+        version, listed = self._list()
+        name = f"{kind}-{uuid.uuid4().hex}"
+        rows.withColumn("__version", F.lit(version + 1).cast("long")).write.parquet(f"{self.path}/{name}")
+        self._put(version + 1, [*listed, {"name": name, "kind": kind, "version": version + 1}])
+        return name
+
+    def _read(self, kind: str, since: int = 0) -> DataFrame | None:
+        names = [x["name"] for x in self._list()[1] if x["kind"] == kind and x["version"] > since]
+        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/{n}" for n in names]) if names else None
+
+    def _entries(self, *, whole: bool = True) -> DataFrame | None:
+        """(__id, __version, there, row): there is false in a deletion; row only if whole."""
         out = None
         for kind in ("rows", "dead"):
-            if self._exist(kind):
-                # the version is the folder's name
-                t = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/*-{kind}")
-                version = F.regexp_extract(F.input_file_name(), rf"/(\d+)-{kind}/", 1).cast("long")
-                own = t.select(F.col(self.id).alias("__id"), version.alias("__version"), (F.struct(*t.columns) if kind == "rows" else F.lit(None)).alias("row"))
+            t = self._read(kind)
+            if t is not None:
+                row = F.struct(*[c for c in t.columns if c != "__version"]) if kind == "rows" else F.lit(None)
+                own = t.select(F.col(self.id).alias("__id"), "__version", F.lit(kind == "rows").alias("there"), *([row.alias("row")] if whole else []))
                 out = own if out is None else out.unionByName(own)
         return out
 
-    def _exist(self, kind: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/*-{kind}")
-        return len(p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []) > 0
+    def _last(self) -> DataFrame:
+        """(__id, __version) of the live rows; texts are not read."""
+        last = self._entries(whole=False).groupBy("__id").agg(F.max(F.struct("__version", "there")).alias("last"))
+        return last.filter("last.there").select("__id", F.col("last.__version").alias("__version"))
+
+    def _live(self) -> DataFrame | None:
+        if self._read("rows") is None:
+            return None
+        last = self._entries().groupBy("__id").agg(F.max_by(F.struct("row", "__version"), "__version").alias("last"))
+        return last.filter("last.row IS NOT NULL").select("last.row.*", "last.__version")
 
     def live(self) -> DataFrame | None:
         """The live rows; None in a new store."""
-        if not self._exist("rows"):
-            return None
-        last = self._entries().groupBy("__id").agg(F.max_by("row", "__version").alias("row"))
-        return last.filter("row IS NOT NULL").select("row.*")
+        rows = self._live()
+        return None if rows is None else rows.drop("__version")
 
     def upsert(self, rows: DataFrame) -> int:
-        rows = rows.dropDuplicates([self.id])
-        self._append(rows, "rows")
-        return self.spark.read.parquet(f"{self.path}/{self._versions()[-1]}-rows").count()
+        name = self._append(rows.dropDuplicates([self.id]), "rows")
+        return self.spark.read.parquet(f"{self.path}/{name}").count()
 
     def delete(self, ids: Sequence | DataFrame) -> int:
         live = self.live()
@@ -91,27 +117,58 @@ class TableVectorStore(VectorStore):
             return 0
         kind = live.schema[self.id].dataType
         gone = ids.select(self.id) if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], f"`{self.id}` {kind.simpleString()}")
-        gone = tables.save(live.select(self.id).join(gone.distinct(), self.id, "left_semi"))
+        gone = tables.save(self._last().select(F.col("__id").alias(self.id)).join(gone.distinct(), self.id, "left_semi"))
         n = gone.count()
         if n:
             self._append(gone, "dead")
         return n
 
+    def compact(self) -> None:
+        """One table of the live rows, each with the version it came with, in place of all; then the old ones go.
+
+        A row keeps its version, so an index stays right.
+        """
+        live = self._live()
+        if live is None:
+            return
+        version, listed = self._list()
+        name = f"rows-{uuid.uuid4().hex}"
+        live.write.parquet(f"{self.path}/{name}")
+        self._put(version + 1, [{"name": name, "kind": "rows", "version": version}])
+        for old in listed:
+            fs, p = self._fs(old["name"])
+            fs.delete(p, True)
+
+    def reindex(self) -> None:
+        """The next search fits and builds the index anew, over the live rows alone."""
+        self.retriever, self.indexed = None, 0
+
     def count(self) -> int:
-        live = self.live()
-        return 0 if live is None else live.count()
+        return 0 if self._read("rows") is None else self._last().count()
+
+    def _filed(self) -> VectorRetriever:
+        """The index, with all rows up to the last version in it."""
+        version = self._list()[0]
+        keyed = lambda rows: rows.withColumn("id", F.struct(F.col(self.id).alias("id"), F.col("__version").alias("version")))
+        if self.retriever is None:
+            self.retriever = VectorRetriever(self.embedder, characters=600).build(keyed(self._live()))
+        elif (new := self._read("rows", self.indexed)) is not None:
+            self.retriever.add(keyed(new.filter(F.col("__version") > self.indexed)))
+        self.indexed = version
+        return self.retriever
 
     def search(self, asked: DataFrame, k: int = 10, where: Column | None = None, *, probes: int | None = None) -> DataFrame:
-        live = self.live()
+        live = self._live()
         if live is None:
             raise LookupError("the store is empty")
-        if self.retriever is None:
-            self.retriever = VectorRetriever(self.embedder, characters=600).build(live.withColumnRenamed(self.id, "id"))
-        found = self.retriever.retrieve(asked, k, probes=probes, among=None if where is None else live.filter(where).select(F.col(self.id).alias("id")))
-        return live.join(found.withColumnRenamed("id", "__id"), F.col(self.id) == F.col("__id")).select("query_id", "rank", "similarity", *live.columns)
+        key = F.struct(F.col("__id").alias("id"), F.col("__version").alias("version")).alias("id")
+        allowed = self._last().select(key) if where is None else live.filter(where).withColumn("__id", F.col(self.id)).select(key)
+        found = self._filed().retrieve(asked, k, probes=probes, among=allowed).select("query_id", "rank", "similarity", F.col("id.id").alias("__id"))
+        columns = [c for c in live.columns if c != "__version"]
+        return live.join(found, F.col(self.id) == F.col("__id")).select("query_id", "rank", "similarity", *columns)
 
     def stats(self) -> dict[str, int]:
-        """Stored ids, live rows and deleted ones."""
-        entries = self._entries()
-        stored, live = (0 if entries is None else entries.filter("row IS NOT NULL").select("__id").distinct().count()), self.count()
+        """Stored ids, live rows and deleted ones; compaction forgets the deleted."""
+        entries = self._entries(whole=False)
+        stored, live = (0 if entries is None else entries.filter("there").select("__id").distinct().count()), self.count()
         return {"stored": stored, "live": live, "deleted": stored - live}

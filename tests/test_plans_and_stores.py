@@ -128,6 +128,50 @@ def test_store_upserts_searches_and_deletes(spark, tmp_path):
     assert {r.id: r.title for r in again.live().collect()}[1] == "back"
 
 
+def test_failed_changes_leave_the_store_usable(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    store = vector_store.TableVectorStore(spark, path, embed.TermEmbedder(32))
+    store.upsert(corpus(spark))
+    broken = corpus(spark).withColumn("title", F.when(F.col("id") == 1, F.raise_error(F.lit("lost"))).otherwise("new"))
+    with pytest.raises(Exception, match="lost"):
+        store.upsert(broken)
+    (tmp_path / "store" / "rows-half").mkdir()  # a folder that no list names
+    (tmp_path / "store" / "lists" / "2").mkdir()  # a list that was not finished
+    assert store.count() == 3 and {r.title for r in store.live().collect()} == {r[1] for r in ROWS}
+    assert store.upsert(corpus(spark).filter("id = 0").withColumn("title", F.lit("renewed"))) == 1
+    assert {r.id: r.title for r in store.live().collect()}[0] == "renewed"
+    version, listed = store._list()
+    assert version == 2 and [x["kind"] for x in listed] == ["rows", "rows"]
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        store._put(2, listed)  # another change came first
+
+
+def test_index_follows_the_store(spark, tmp_path, monkeypatch):
+    """After the first search only new rows are embedded; replaced and deleted ones do not come out; compaction changes nothing."""
+    store = vector_store.TableVectorStore(spark, f"file://{tmp_path}/store", embed.TermEmbedder(32))
+    asked = retrieve.queries(spark, [(1, "Blackwell Hopper"), (2, "phone revenue"), (3, "gaming cards")])
+    best = lambda: {r.query_id: (r.id, r.title) for r in store.search(asked, 1, probes=99).collect()}
+    store.upsert(corpus(spark))
+    assert best()[1][0] == 0
+    built, added = [], []
+    build, add = ann_index.VectorRetriever.build, ann_index.VectorRetriever.add
+    monkeypatch.setattr(ann_index.VectorRetriever, "build", lambda self, rows: built.append(rows.count()) or build(self, rows))
+    monkeypatch.setattr(ann_index.VectorRetriever, "add", lambda self, rows, **k: added.append(rows.count()) or add(self, rows, **k))
+    store.upsert(spark.createDataFrame([(0, "renewed", "phone revenue", "NVDA"), (7, "more", "Blackwell Hopper Blackwell Hopper", "NVDA")], corpus(spark).schema))
+    assert best()[1] == (7, "more") and (built, added) == ([], [2])
+    assert len(store.search(asked, 9, probes=99).filter("query_id = 1").collect()) == 4  # each live id once
+    store.delete([7])
+    assert best()[1][0] != 7 and added == [2]
+    before = sorted((r.query_id, r.rank, r.id, r.title) for r in store.search(asked, 9, probes=99).collect())
+    store.compact()
+    assert sorted((r.query_id, r.rank, r.id, r.title) for r in store.search(asked, 9, probes=99).collect()) == before and added == [2]
+    assert len(store._list()[1]) == 1 and store.stats() == {"stored": 3, "live": 3, "deleted": 0}
+    store.upsert(corpus(spark).filter("id = 2"))
+    assert store.count() == 3 and len(best()) == 3 and added == [2, 1]
+    store.reindex()
+    assert len(best()) == 3 and built == [3]
+
+
 def test_retriever_needs_an_index(spark):
     r = ann_index.VectorRetriever(embed.TermEmbedder(32))
     with pytest.raises(RuntimeError):
