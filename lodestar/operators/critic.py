@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +66,21 @@ REFINEMENTS = [
 ]
 
 
+def refined(query: Column, gaps: Column) -> Column:
+    """refined_query() of columns: a query and an array of gaps; a null array is none."""
+
+    def words(gap: Column) -> Column:
+        out = F.array().cast("array<string>")
+        for exact, low, added in reversed(REFINEMENTS):
+            holds = [F.contains(gap, F.lit(w)) for w in exact] + [F.contains(F.lower(gap), F.lit(w)) for w in low]
+            out = F.when(reduce(or_, holds), F.array(*[F.lit(w) for w in added])).otherwise(out)
+        return out
+
+    found = F.array_distinct(F.flatten(F.transform(F.slice(gaps, 1, 3), words)))
+    out = F.trim(F.concat(query, F.lit(" "), F.substring(F.array_join(found, " "), 1, 80)))
+    return F.when(F.coalesce(F.size(gaps), F.lit(0)) < 1, query).otherwise(out)
+
+
 def refined_query(query: str, gaps: Sequence[str]) -> str:
     """The query with words for its first three gaps, at most 80 characters of them."""
     found: list[str] = []

@@ -75,12 +75,13 @@ def _(spark, d):
     return v.select("id", *[(F.round(F.col("v")[j], 6) + 0.0).alias(f"x{j}") for j in range(DIMS)])
 
 
-@query("e6_embedding_router", "SELECT doc_id AS id, 3.0::DOUBLE AS size FROM documents")
+@query("e6_embedding_router", "SELECT doc_id AS id, round((len(text) + 1.0::DOUBLE) / sqrt((len(text) + 1.0::DOUBLE) * (len(text) + 1.0::DOUBLE) + 1), 9) AS x, round(1 / sqrt((len(text) + 1.0::DOUBLE) * (len(text) + 1.0::DOUBLE) + 1), 9) AS y FROM documents")
 def _(spark, d):
     """The first strategy that is available, here a model given as a function."""
     docs = T(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     router = embed.Router(embed.ModelEmbedder(None), embed.ModelEmbedder(lambda texts: [[len(t) + 1.0, 1.0, 0.0] for t in texts]), embed.TermEmbedder())
-    return docs.select("id", F.size(router.fit(docs).embed(F.col("text"))).cast("double").alias("size"))
+    v = docs.select("id", router.fit(docs).embed(F.col("text")).alias("v"))
+    return v.select("id", F.round(F.col("v")[0], 9).alias("x"), F.round(F.col("v")[1], 9).alias("y"))
 
 
 @query("v11_retriever_stats", f"SELECT count(*) AS nodes, {DIMS}::INTEGER AS dims FROM documents")
@@ -158,8 +159,9 @@ def _(spark, d):
     return providers.gather(spark, teams, "src3", ASKED[0][1]).select("id", "source_type")
 
 
-@query("e4_provider_fallback", "SELECT 'second: hello' AS answer")
+@query("e4_provider_fallback", "SELECT doc_id, 'second: ' || substring(text, 1, 30) AS answer FROM documents")
 def _(spark, d):
+    """Each document's beginning as a prompt: the first provider fails, the next is unknown, the third answers."""
     from . import providers
 
     def broken(**_):
@@ -170,7 +172,8 @@ def _(spark, d):
 
     providers.register_provider("broken", broken)
     providers.register_provider("second", lambda **_: lambda prompt: f"second: {prompt}")
-    return spark.createDataFrame([(providers.with_fallback(["broken", "absent", "second"])("hello"),)], "answer string")
+    prompts = T(spark, d, "documents").select("doc_id", F.substring("text", 1, 30).alias("prompt"))
+    return providers.answers(prompts, providers.with_fallback(["broken", "absent", "second"])).select("doc_id", "answer")
 
 
 @query("r1_progress_events", "SELECT unnest(['start', 'complete']) AS stage, unnest([0, 1])::INTEGER AS n")
@@ -460,10 +463,12 @@ def _(spark, d):
     return rows.select("ticker", "ts", F.round("close", 6).alias("close"), F.round("high", 6).alias("high"))
 
 
-@query("w18_fan", f"""WITH s AS (SELECT p AS path, t AS step, (0.0004::DOUBLE - 0.018::DOUBLE * 0.018::DOUBLE / 2) + 0.018::DOUBLE * {normal_sql('p', 't', '0')} AS r FROM range(25) AS a(p), range(1, 61) AS b(t)),
-  c AS (SELECT step, 100 * exp(sum(r) OVER (PARTITION BY path ORDER BY step)) AS price FROM s), l AS (SELECT step, list(price ORDER BY price) AS l FROM c GROUP BY 1) SELECT step::INTEGER AS step, round(l[2], 6) AS p05, round(l[13], 6) AS median, round(l[24], 6) AS p95 FROM l""")
+@query("w18_fan", f""", s AS (SELECT p AS path, t AS step, (0.0004::DOUBLE - 0.018::DOUBLE * 0.018::DOUBLE / 2) + 0.018::DOUBLE * {normal_sql('p', 't', '0')} AS r FROM range(25) AS a(p), range(1, 61) AS b(t)),
+  c AS (SELECT step, exp(sum(r) OVER (PARTITION BY path ORDER BY step)) AS price FROM s), l AS (SELECT step, list(price ORDER BY price) AS l FROM c GROUP BY 1), last AS (SELECT ticker, max_by(close, ts) AS price FROM prices GROUP BY 1)
+  SELECT ticker, step::INTEGER AS step, round(price * l[2], 4) AS p05, round(price * l[13], 4) AS median, round(price * l[24], 4) AS p95 FROM last, l""", "prices")
 def _(spark, d):
-    return generators.fan(spark, 100.0, 0.0004, 0.018).select("step", *[F.round(c, 6).alias(c) for c in ("p05", "median", "p95")])
+    fans = generators.fans(views.view(spark, d, "prices"), 0.0004, 0.018)
+    return fans.select("ticker", "step", *[F.round(c, 4).alias(c) for c in ("p05", "median", "p95")])
 
 
 DATES = "dates AS (SELECT unnest([TIMESTAMP '2024-01-08', TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-22', TIMESTAMP '2024-01-29']) AS as_of)"

@@ -9,9 +9,9 @@ from .. import schema as S
 from ..functions import scores as M
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import committee, compress, critic, features, filters, memory, retrieve
+from ..operators import committee, compress, critic, embed, features, filters, memory, retrieve
 from ..sources import generators, stores, views
-from .queries import ASKED, BM25_SQL, CONTEXT_QUERY, COSINE_SQL, COVERAGE_SQL, JUDGE_SQL, KNN_SQL, NOW, RRF_SQL, T, asking, at, ev, query, trust_sql, words_sql
+from .queries import ASKED, BM25_SQL, CONTEXT_QUERY, COSINE_SQL, COVERAGE_SQL, JUDGE_SQL, KNN_SQL, NOW, RRF_SQL, T, asking, at, ev, query, terms_sql, trust_sql, words_sql
 
 Q0 = ASKED[0][1]
 
@@ -185,9 +185,15 @@ def _(spark, d):
     return T(spark, d, "documents").select("doc_id", rewritten(F.lit(Q0), gaps, F.when(i == 0, 1).otherwise(2), F.lit("nvda")).alias("query"))
 
 
-@query("t14_refined_query", f"SELECT '{Q0} financial news analyst report' AS query")
+#: Gaps that the documents are said to have, by the remainder of their ids.
+GAP_LISTS = [[S.GAPS["news"]], [], [S.GAPS["stale"], S.GAPS["news"], "bearish and bullish", "official"], ["nothing known", "SEC filings", "growth"]]
+
+
+@query("t14_refined_query", "SELECT doc_id, CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN trim(source || '{critic.refined_query('', g) and ' ' + critic.refined_query('', g)}')" for i, g in enumerate(GAP_LISTS)) + " END AS query FROM documents")
 def _(spark, d):
-    return spark.createDataFrame([(critic.refined_query(Q0, [S.GAPS["news"]]),)], "query string")
+    """Each document's source as a question, refined for its gaps; the SQL has what the function of single questions adds."""
+    lists = F.array(*[F.array(*[F.lit(x) for x in g]).cast("array<string>") for g in GAP_LISTS])
+    return T(spark, d, "documents").select("doc_id", critic.refined(F.col("source"), F.get(lists, (F.col("doc_id") % 4).cast("int"))).alias("query"))
 
 
 @query("t17_token_estimate", "SELECT id, CAST(len('Source: ' || source_type || ' | Title: ' || title || ' | Content: ' || content) // 4 + 10 AS BIGINT) AS tokens FROM evidence", "evidence")
@@ -219,9 +225,19 @@ def _(spark, d):
     return e.join(n, "vec_id").select("vec_id", (F.round(V.cosine_distance(F.col("embedding"), F.col("other")), 6) + 0.0).alias("distance"))
 
 
-@query("v9_fallback_vocabulary", "SELECT unnest([" + ", ".join(f"'{t}'" for t in S.FALLBACK_TERMS) + "]) AS term, 1.0::DOUBLE AS idf")
+V9_DIMS = 8
+V9_SQL = f""", t AS (SELECT id, unnest({terms_sql("replace(source_type, '_', ' ')")}) AS term FROM evidence), tf AS (SELECT id, term, count(*) AS tf FROM t WHERE term IN ({", ".join(f"'{t}'" for t in S.FALLBACK_TERMS)}) GROUP BY 1, 2),
+ x AS (SELECT id, {", ".join(f"sum((1 + ln(tf)) * CASE WHEN substr(md5(term || '|0'), {j + 1}, 1) >= '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x{j}" for j in range(V9_DIMS))} FROM tf GROUP BY id),
+ l AS (SELECT *, sqrt({" + ".join(f"x{j} * x{j}" for j in range(V9_DIMS))}) AS l FROM x)
+ SELECT e.id, {", ".join(f"round(CASE WHEN l > 1e-10 THEN x{j} / l ELSE 0 END, 6) + 0.0 AS x{j}" for j in range(V9_DIMS))} FROM evidence e LEFT JOIN l USING (id)"""
+
+
+@query("v9_fallback_vocabulary", V9_SQL, "evidence")
 def _(spark, d):
-    return generators.literal_table(spark, [(t, 1.0) for t in S.FALLBACK_TERMS], "term string, idf double")
+    """Source types by the terms that stand in for an empty corpus."""
+    texts = ev(spark, d).select("id", F.replace("source_type", F.lit("_"), F.lit(" ")).alias("text"))
+    v = texts.select("id", embed.TermEmbedder(V9_DIMS).fit(texts.limit(0)).embed(F.col("text")).alias("v"))
+    return v.select("id", *[(F.round(F.col("v")[j], 6) + 0.0).alias(f"x{j}") for j in range(V9_DIMS)])
 
 
 @query("c3_external_hybrid", f"""{BM25_SQL}{COSINE_SQL}, lists AS (SELECT query_id, id, 1.0::DOUBLE / (60 + r + 1) AS part FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS r FROM dense JOIN evidence USING (id) WHERE ticker = 'SRC3') WHERE r < 50

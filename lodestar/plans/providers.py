@@ -9,7 +9,9 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Provider = Callable[[str], str]
 
@@ -31,8 +33,6 @@ class TableTeam(ResearchTeam):
         self.name, self.evidence, self.source_types = name, evidence, list(source_types)
 
     def research(self, spark: SparkSession, ticker: str, query: str) -> DataFrame:
-        from pyspark.sql import functions as F
-
         return self.evidence.filter((F.upper("ticker") == ticker.upper()) & F.col("source_type").isin(self.source_types))
 
 
@@ -69,16 +69,27 @@ def mock(reply: str = "No model is configured.") -> Provider:
 register_provider("mock", mock)
 
 
+def answers(prompts: DataFrame, ask: Callable[[str], str], *, prompt: str = "prompt") -> DataFrame:
+    """Adds answer, from asking within tasks, a row at a time; the same prompt of a task's batch is asked once."""
+    @F.pandas_udf("string")
+    def asked(batch: pd.Series) -> pd.Series:
+        return batch.map({p: ask(p) for p in batch.dropna().unique()})
+
+    return prompts.withColumn("answer", asked(F.col(prompt)))
+
+
 def with_fallback(names: Sequence[str], **settings) -> Provider:
     """Asks the named providers in turn until one answers; last of all the mock."""
 
+    known, last = dict(_FACTORIES), mock()  # as of now: workers have no register of their own
+
     def ask(prompt: str) -> str:
         for name in names:
             try:
-                if answer := provider(name, **settings.get(name, {}))(prompt):
+                if answer := known[name.lower().strip()](**settings.get(name, {}))(prompt):
                     return answer
             except Exception:  # whatever a remote service throws, the next one is asked
                 continue
-        return mock()(prompt)
+        return last(prompt)
 
     return ask

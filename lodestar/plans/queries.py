@@ -6,7 +6,6 @@ Names begin with the operator's id in the inventory.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,9 +167,11 @@ def _(spark, d):
     return stores.json_round_trip(views.view(spark, d, "predictions").filter("realized_price IS NOT NULL").select("prediction_id", "rating", "conviction"))
 
 
-@query("s20_macro_reading", "SELECT 'neutral' AS sentiment, 16.2::DOUBLE AS vix")
+@query("s20_macro_reading", "SELECT o_orderkey, CASE WHEN o_totalprice % 40 > 25 THEN 'bearish' WHEN o_orderkey % 8 < 3 THEN 'bullish' ELSE 'neutral' END AS sentiment FROM orders")
 def _(spark, d):
-    return generators.macro_reading(spark).select("sentiment", "vix")
+    """A reading of each order's numbers, in place of a service's."""
+    readings = T(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") % 40).alias("vix"), (F.col("o_orderkey") % 8).alias("fed_funds"))
+    return readings.select("o_orderkey", generators.macro_sentiment().alias("sentiment"))
 
 
 @query("s21_source_union", "SELECT id, source_type FROM evidence WHERE source_type IN ('sec_filing', 'financial_news')", "evidence")
@@ -402,9 +403,14 @@ def flagship(spark, d):
     return retrieve.rerank(_fused(spark, d), ev(spark, d), retrieve.queries(spark, ASKED)).select("query_id", "id", "rerank_score")
 
 
-@query("t15_expand", f"WITH {ASKED_SQL} SELECT query_id, query FROM asked UNION ALL SELECT query_id, 'NVDA ' || query || ' SEC 10-K quarterly earnings balance sheet valuation' FROM asked UNION ALL SELECT query_id, 'NVDA ' || query || ' risk factors competition margin headwinds' FROM asked")
+FORMS = ["", " SEC 10-K quarterly earnings balance sheet valuation", " risk factors competition margin headwinds"]
+
+
+@query("t15_expand", "WITH q AS (SELECT doc_id AS query_id, substring(text, 1, 60) AS q, upper(source) AS t FROM documents) SELECT query_id, q AS query FROM q" + "".join(f" UNION ALL SELECT query_id, t || ' ' || q || '{x}' FROM q" for x in FORMS[1:]))
 def _(spark, d):
-    return retrieve.expand(retrieve.queries(spark, ASKED).withColumn("ticker", F.lit("nvda"))).select("query_id", "query")
+    """The beginning of each document as a question about its source."""
+    asked = T(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query"), F.col("source").alias("ticker"))
+    return retrieve.expand(asked).select("query_id", "query")
 
 
 @query("v1_normalize", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 9) AS x FROM embeddings")
@@ -637,9 +643,9 @@ def _(spark, d):
     return filings.latest_value(views.view(spark, d, "facts"), ["entity"]).select("entity", "filed", "value", "form")
 
 
-@query("w16_walk_forward", "SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-03-01', INTERVAL 7 DAY)) AS DATE) AS as_of")
+@query("w16_walk_forward", "SELECT ticker, CAST(unnest(generate_series(CAST(first AS TIMESTAMP), CAST(last AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS as_of FROM (SELECT ticker, CAST(min(ts) AS DATE) AS first, CAST(max(ts) AS DATE) AS last FROM prices GROUP BY 1)", "prices")
 def _(spark, d):
-    return generators.walk_forward(spark, date(2024, 1, 1), date(2024, 3, 1), 7).select(F.col("as_of").cast("date").alias("as_of"))
+    return generators.walk_forward_of(views.view(spark, d, "prices"), 7)
 
 
 @query("m8_ratios", """, nm AS (SELECT entity, CASE concept WHEN 'NetIncomeLoss' THEN 'net_income' ELSE 'revenue' END AS metric, filed, value, form, end_date FROM facts),

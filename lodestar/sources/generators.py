@@ -49,11 +49,16 @@ def fan(spark: SparkSession, price: float, drift: float, spread: float, *, paths
 MACRO = {"cpi": 2.7, "fed_funds": 4.75, "gdp": 2.8, "brent": 76.5, "gold": 2420.0, "vix": 16.2, "usd_inr": 83.9}
 
 
+def macro_sentiment() -> Column:
+    """What the columns vix and fed_funds mean: high volatility is bearish, low rates bullish."""
+    return F.when(F.col("vix") > 25, "bearish").when(F.col("fed_funds") < 3, "bullish").otherwise("neutral")
+
+
 def macro_reading(spark: SparkSession, **reading: float) -> DataFrame:
-    """One row of macro numbers with the sentiment they mean: high volatility is bearish, low rates bullish."""
+    """One row of macro numbers with the sentiment they mean."""
     row = MACRO | reading
     df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} double" for k in row))
-    return df.withColumn("sentiment", F.when(F.col("vix") > 25, "bearish").when(F.col("fed_funds") < 3, "bullish").otherwise("neutral"))
+    return df.withColumn("sentiment", macro_sentiment())
 
 
 def with_fallback(found: DataFrame, wanted: DataFrame, key: str, constants: dict) -> DataFrame:
@@ -74,5 +79,19 @@ def walk_forward(spark: SparkSession, first: date, last: date, step_days: int) -
     return spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last), F.make_dt_interval(F.lit(step_days)))).alias("as_of"))
 
 
+def walk_forward_of(prices: DataFrame, step_days: int) -> DataFrame:
+    """(ticker, as_of): evaluation dates of each ticker, from its first price's day to its last one's."""
+    days = prices.groupBy("ticker").agg(F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last"))
+    return days.select("ticker", F.explode(F.sequence("first", "last", F.make_dt_interval(F.lit(step_days)))).alias("as_of"))
+
+
+def fans(prices: DataFrame, drift: float, spread: float, *, steps: int = 60) -> DataFrame:
+    """(ticker, step, p05, median, p95) of paths from each ticker's last price; all see the same shocks."""
+    last = prices.groupBy("ticker").agg(F.max_by("close", "ts").alias("price"))
+    # a row for each step
+    shares = fan(prices.sparkSession, 1.0, drift, spread, steps=steps)
+    return last.crossJoin(F.broadcast(shares)).select("ticker", "step", *[(F.col("price") * F.col(c)).alias(c) for c in ("p05", "median", "p95")])
+
+
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
