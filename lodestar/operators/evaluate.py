@@ -86,12 +86,12 @@ def realized(predictions: DataFrame, prices: DataFrame, *, mode: str = "latest")
         seen = (F.col("__last") >= F.col("created_at")) & ((F.col("__n") >= 2) | F.coalesce(F.col("__before") >= F.col("created_at"), F.lit(False)))
         return joined.withColumn("realized_price", F.when(seen, F.col("__value"))).drop("__t", "__last", "__value", "__n", "__before")
     since = F.col("created_at") + F.make_dt_interval(F.col("window_days"))
-    asks = rest.select(F.col("ticker").alias("__t"), since.alias("__ts"), F.lit(None).cast("double").alias("__close"), "prediction_id")
-    both = asks.unionByName(p.select("__t", "__ts", F.col("__close").cast("double").alias("__close"), F.lit(None).cast(rest.schema["prediction_id"].dataType).alias("prediction_id")))
-    # from the latest on, prices before predictions of the same time
-    w = Window.partitionBy("__t").orderBy(F.desc("__ts"), F.col("prediction_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("realized_price", F.last("__close", ignorenulls=True).over(w)).filter("prediction_id IS NOT NULL")
-    return rest.join(found.select("prediction_id", "realized_price"), "prediction_id", "left")
+    asks = rest.select(F.col("ticker").alias("__t"), since.alias("__ts"), F.lit(None).cast("double").alias("__close"), F.struct(*rest.columns).alias("__row"))
+    both = asks.unionByName(p.select("__t", "__ts", F.col("__close").cast("double").alias("__close"), F.lit(None).cast(asks.schema["__row"].dataType).alias("__row")))
+    # from the latest on, prices before predictions of the same time; a prediction is carried as a whole, whatever its id
+    w = Window.partitionBy("__t").orderBy(F.desc("__ts"), F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__found", F.last("__close", ignorenulls=True).over(w)).filter("__row IS NOT NULL")
+    return found.select("__row.*", F.when(F.col("__t").isNotNull() & F.col("__ts").isNotNull(), F.col("__found")).alias("realized_price"))
 
 
 def judged(predictions: DataFrame) -> DataFrame:

@@ -121,6 +121,16 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([terms.values, pa.array(df.astype(np.int64))], names=["term", "df"])
 
 
+def counted_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, as tokens joined by a space, to (term, df, cf) of some thousand of them."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, DOCUMENTS):
+            terms, _, _, codes, tfs = count_tokens(whole.column(0).slice(at, DOCUMENTS).to_pylist(), frozenset())
+            codes = np.array(codes, np.int64)
+            df, cf = np.bincount(codes, minlength=len(terms)), np.bincount(codes, np.array(tfs, float), len(terms))
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(df.astype(np.int64)), pa.array(cf.astype(np.int64))], names=["term", "df", "cf"])
+
+
 def levels(impacts: np.ndarray) -> np.ndarray:
     """Four levels for each halving."""
     return np.floor(4 * np.log2(impacts)).astype(np.int32)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import tables
 from ..sources import generators
 from . import scan
 
@@ -73,10 +74,17 @@ def average_rank(column: str, *group: str) -> Column:
     return F.rank().over(w.orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*group, column)) - 1) / 2
 
 
-def information_coefficient(rows: DataFrame, group: Sequence[str], *, signal: str = "signal", outcome: str = "outcome") -> DataFrame:
-    """(group, n, ic, rank_ic): correlation of a signal with what followed, of values and of average ranks."""
+def information_coefficient(rows: DataFrame, group: Sequence[str], *, signal: str = "signal", outcome: str = "outcome", large: bool = False) -> DataFrame:
+    """(group, n, ic, rank_ic): correlation of a signal with what followed, of values and of average ranks.
+
+    large: groups are few and each may be the whole table; then none is ranked in one task.
+    """
     known = rows.filter(F.col(signal).isNotNull() & F.col(outcome).isNotNull())
-    known = known.withColumn("__a", average_rank(signal, *group)).withColumn("__b", average_rank(outcome, *group))
+    if large:
+        for column, name in ((signal, "__a"), (outcome, "__b")):
+            known = known.join(average_ranks(known, column, *group).withColumnRenamed("rank", name), [*group, column])
+    else:
+        known = known.withColumn("__a", average_rank(signal, *group)).withColumn("__b", average_rank(outcome, *group))
     return known.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr(signal, outcome).alias("ic"), F.corr("__a", "__b").alias("rank_ic"))
 
 
@@ -86,7 +94,7 @@ def signal_decay(rows: DataFrame, horizons: Sequence[int], *, signal: str = "sig
     for h in horizons:
         ahead = rows.select("ticker", "ts", F.col(signal).alias("signal"), (F.try_divide(F.lead(value, h).over(_w()), F.col(value)) - 1).alias("outcome"), F.lit(h).alias("horizon"))
         out = ahead if out is None else out.unionByName(ahead)
-    return information_coefficient(out, ["horizon"])
+    return information_coefficient(tables.save(out), ["horizon"], large=True)
 
 
 def partial_effect(rows: DataFrame, group: Sequence[str], *, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
@@ -173,13 +181,99 @@ def kelly(win: Column, odds: Column, fraction: float = 1.0) -> Column:
     return F.greatest(F.lit(0.0), fraction * F.try_divide(win * odds - (1 - win), odds))
 
 
-def tangency(mean: np.ndarray, covariance: np.ndarray, free: float = 0.0) -> np.ndarray:
-    """Weights of the portfolio with the highest Sharpe ratio, short positions left out; a few hundred assets on the driver."""
-    w = np.linalg.pinv(covariance) @ (np.asarray(mean, float) - free)
-    w = np.maximum(w, 0)
+def daily_returns(prices: DataFrame) -> DataFrame:
+    """(ticker, day, r): changes between the last prices of a ticker's days."""
+    days = prices.groupBy("ticker", F.to_date("ts").alias("day")).agg(F.max_by("close", "ts").alias("close"))
+    before = F.lag("close").over(Window.partitionBy("ticker").orderBy("day"))
+    return days.select("ticker", "day", (F.try_divide("close", before) - 1).alias("r")).filter("r IS NOT NULL")
+
+
+def covariance(returns: DataFrame) -> DataFrame:
+    """(a, b, covariance) of all pairs of tickers, both ways, one with itself too; returns: (ticker, day, r), a day once.
+
+    Sums of products of deviations over all days but one; a day that a ticker lacks
+    counts as its mean, so that the matrix has no negative direction.  For portfolios:
+    a day's pairs are as many as its tickers squared, summed before they are shuffled.
+    """
+    deviation = (F.col("r") - F.avg("r").over(Window.partitionBy("ticker"))).alias("x")
+    rows = returns.select("ticker", "day", deviation)
+    n = returns.agg(F.countDistinct("day").alias("n"))
+    pairs = rows.select(F.col("ticker").alias("a"), "day", "x").join(rows.select(F.col("ticker").alias("b"), "day", F.col("x").alias("y")), "day")
+    sums = pairs.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    return sums.crossJoin(F.broadcast(n)).select("a", "b", F.try_divide("s", F.col("n") - 1).alias("covariance"))
+
+
+#: Assets up to which a portfolio is solved on the driver.
+MOST_ASSETS = 2000
+
+
+def long_only(mean: np.ndarray, covariance_: np.ndarray, *, sweeps: int = 20_000, close: float = 1e-12) -> np.ndarray:
+    """y >= 0 that minimises y S y / 2 - mean y: at it the gradient S y - mean is 0 where y > 0, and 0 or more elsewhere.
+
+    Coordinates are minimised in turn, and the equations of the positive ones solved
+    once their set no longer changes.
+    """
+    s = np.asarray(covariance_, float) + np.eye(len(mean)) * max(1e-12 * np.trace(covariance_) / max(len(mean), 1), 1e-18)
+    m, y = np.asarray(mean, float), np.zeros(len(mean))
+    support, tried = None, None
+    for _ in range(sweeps):
+        before = y.copy()
+        for i in range(len(y)):
+            y[i] = max(0.0, y[i] + (m[i] - s[i] @ y) / s[i, i])
+        now = tuple(np.flatnonzero(y > 0))
+        if now and now == support and now != tried:
+            tried, at = now, list(now)
+            exact = np.zeros(len(y))
+            exact[at] = np.linalg.solve(s[np.ix_(at, at)], m[at])
+            if (exact >= 0).all() and (s @ exact - m >= -1e-9 * max(np.abs(m).max(), 1e-300)).all():
+                return exact
+        support = now
+        if np.abs(y - before).max(initial=0.0) <= close * max(y.max(initial=0.0), 1e-300):
+            break
+    return y
+
+
+def tangency(mean: np.ndarray, covariance_: np.ndarray, free: float = 0.0) -> np.ndarray:
+    """Weights of the portfolio without short positions that has the highest Sharpe ratio; equal ones if no mean is above ``free``."""
+    w = long_only(np.asarray(mean, float) - free, covariance_)
     return w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / max(len(w), 1))
 
 
+def mean_variance(returns: DataFrame, *, free: float = 0.0) -> DataFrame:
+    """(ticker, weight, gradient) of the tangency portfolio; gradient is S y - mean in the scale of the largest mean.
+
+    Means and covariances are aggregates; of up to MOST_ASSETS tickers, more are an error.
+    """
+    means = returns.groupBy("ticker").agg(F.avg("r").alias("mean")).orderBy("ticker").limit(MOST_ASSETS + 1).collect()
+    if len(means) > MOST_ASSETS:
+        raise ValueError(f"a portfolio is of {MOST_ASSETS} tickers at most")
+    at = {r["ticker"]: i for i, r in enumerate(means)}
+    s, m = np.zeros((len(at), len(at))), np.array([r["mean"] for r in means]) - free
+    for r in covariance(returns).collect():  # a square of the tickers
+        s[at[r["a"]], at[r["b"]]] = r["covariance"] or 0.0
+    y = long_only(m, s)
+    weights, gradient = tangency(m, s), (s @ y - m) / max(np.abs(m).max(initial=0.0), 1e-300)
+    rows = [(t, float(weights[i]), float(gradient[i])) for t, i in at.items()]
+    return returns.sparkSession.createDataFrame(rows, f"ticker {returns.schema['ticker'].dataType.simpleString()}, weight double, gradient double")
+
+
+def average_ranks(rows: DataFrame, column: str, *group: str) -> DataFrame:
+    """(group, column, rank): average_rank() of each value of groups of any size.
+
+    Equal values are counted first; the distinct ones are range-partitioned, and a value's
+    rank is the count of the parts before its own, of the smaller ones in it, and half its own.
+    """
+    counts = rows.groupBy(*group, column).agg(F.count(F.lit(1)).alias("__n"))
+    ordered = tables.save(counts.repartitionByRange(*group, column).withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy(*group, "__part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each group and part
+    parts = ordered.groupBy(*group, "__part").agg(F.sum("__n").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = ordered.withColumn("__smaller", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    both = own.join(parts.select(*group, "__part", before.alias("__before")), [*group, "__part"])
+    return both.select(*group, column, (F.col("__before") + F.col("__smaller") + (F.col("__n") + 1) / 2).alias("rank"))
+
+
 def black_litterman(covariance: np.ndarray, market: np.ndarray, picks: np.ndarray, views: np.ndarray, *, aversion: float = 2.5, tau: float = 0.05) -> np.ndarray:
     """Expected returns: those that the market's weights imply, blended with views (picks @ returns = views)."""
     prior, scaled = aversion * covariance @ market, tau * covariance

@@ -65,10 +65,13 @@ def _for_queries(docs: DataFrame | TextIndex, kind: int, terms: list[str] | None
 
 
 def term_statistics(docs: DataFrame, tokens: Column) -> DataFrame:
-    """(term, df, cf): documents that have each token, and its occurrences; no shuffle by document."""
-    both = F.concat(F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(0).alias("doc"))), F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("term"), F.lit(1).alias("doc"))))
-    rows = docs.select(F.explode(both).alias("t")).select("t.term", "t.doc")
-    return rows.groupBy("term").agg(F.sum("doc").alias("df"), F.sum(1 - F.col("doc")).alias("cf"))
+    """(term, df, cf): documents that have each token, and its occurrences, counted within each task before the shuffle.
+
+    Tokens are without spaces.
+    """
+    tables.ship_code(docs.sparkSession)
+    rows = P.spread(docs).select(F.array_join(tokens, " ").alias("tokens")).mapInArrow(P.counted_terms, "term string, df long, cf long")
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def idf(df: Column, n: Column) -> Column:

@@ -325,6 +325,27 @@ def _(spark, d):
     return weights.groupBy("book").agg(F.count(F.lit(1)).alias("n")).join(quant.diversification(weights, ["book"]), "book").select("n", F.round("diversification", 9).alias("diversification"))
 
 
+RETURNS_SQL = """, pd AS (SELECT ticker % 20 AS ticker, CAST(ts AS DATE) AS day, ts, close FROM prices), dl AS (SELECT ticker, day, max_by(close, ts) AS close FROM pd GROUP BY 1, 2),
+ rt AS (SELECT * FROM (SELECT ticker, day, close / lag(close) OVER (PARTITION BY ticker ORDER BY day) - 1 AS r FROM dl) WHERE r IS NOT NULL)"""
+
+
+def _returns(spark, d):
+    return quant.daily_returns(views.view(spark, d, "prices").withColumn("ticker", F.col("ticker") % 20))
+
+
+@query("d_covariance", f"{RETURNS_SQL}, x AS (SELECT ticker, day, r - avg(r) OVER (PARTITION BY ticker) AS x FROM rt), n AS (SELECT count(DISTINCT day) AS n FROM rt) SELECT a.ticker AS a, b.ticker AS b, round(sum(a.x * b.x) / (any_value(n) - 1), 6) AS covariance FROM x a JOIN x b USING (day), n GROUP BY 1, 2", "prices")
+def _(spark, d):
+    return quant.covariance(_returns(spark, d)).select("a", "b", F.round("covariance", 6).alias("covariance"))
+
+
+@query("d_mean_variance", f"{RETURNS_SQL} SELECT count(DISTINCT ticker) AS assets, TRUE AS invested, TRUE AS long_only, TRUE AS optimal FROM rt", "prices")
+def _(spark, d):
+    """The conditions of the best portfolio: all is invested, nothing short, no asset would better it."""
+    w = quant.mean_variance(_returns(spark, d))
+    slack = F.when(F.col("weight") > 1e-9, F.abs("gradient")).otherwise(-F.col("gradient"))
+    return w.agg(F.count(F.lit(1)).alias("assets"), (F.abs(F.sum("weight") - 1) < 1e-9).alias("invested"), (F.min("weight") >= 0).alias("long_only"), (F.max(slack) < 1e-6).alias("optimal"))
+
+
 @query("d_kelly", "SELECT o_orderkey, round(greatest(0.0::DOUBLE, ((o_orderkey % 100) / 100.0::DOUBLE * 2 - (1 - (o_orderkey % 100) / 100.0::DOUBLE)) / 2), 9) AS f FROM orders")
 def _(spark, d):
     p = (F.col("o_orderkey") % 100).cast("double") / 100
