@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import tables
 from ..operators.ann_index import VectorRetriever
 from ..operators.embed import Embedder, Router
+from .listed import ListedTables
 
 
 class VectorStore(ABC):
@@ -33,13 +33,11 @@ class VectorStore(ABC):
         """Live rows."""
 
 
-class TableVectorStore(VectorStore):
+class TableVectorStore(ListedTables, VectorStore):
     """Rows and deletions as tables in a folder; of each id the last entry counts.
 
-    Each change writes one table under a name of its own, and then a new list of the
-    tables that count, the last thing written.  What a failed change has left is in no
-    list and is never read.  Two changes at once write the same list: one of them is an
-    error and can be tried again.  A later session that opens the folder goes on with it.
+    Failed changes and changes at once: see ListedTables.  A later session that opens the
+    folder goes on with it.
 
     The index is fitted and built by a session's first search; later searches embed and
     file only what came since.  Replaced and deleted rows stay in it, masked, until
@@ -50,25 +48,6 @@ class TableVectorStore(VectorStore):
         self.spark, self.path, self.id = spark, path or tables.shared_folder(spark), id_
         self.embedder, self.retriever, self.indexed = embedder or Router(), None, 0
 
-    def _fs(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _list(self) -> tuple[int, list[dict]]:
-        """(version, its tables) as the last finished list has them; a table: name, kind, version."""
-        fs, p = self._fs("lists")
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        done = sorted((n for n in names if n.isdigit() and fs.exists(self._fs(f"lists/{n}/_SUCCESS")[1])), key=int)
-        return (int(done[-1]), json.loads(self.spark.read.text(f"{self.path}/lists/{done[-1]}").first()[0])) if done else (0, [])
-
-    def _put(self, version: int, listed: list[dict]) -> None:
-        """Makes the tables the store's version, unless another change has made one."""
-        fs, p = self._fs(f"lists/{version}")
-        if fs.exists(p) and not fs.exists(self._fs(f"lists/{version}/_SUCCESS")[1]):
-            fs.delete(p, True)  # left by a change that failed
-        self.spark.createDataFrame([(json.dumps(listed),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{self.path}/lists/{version}")
-
     def _append(self, rows: DataFrame, kind: str) -> str:
         version, listed = self._list()
         name = f"{kind}-{uuid.uuid4().hex}"
