@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from .. import tables
 from ..sources import generators
-from . import scan
+from . import fit, scan
 
 
 def _w(key: str = "ticker", ts: str = "ts"):
@@ -138,11 +138,14 @@ def density(r: Column, mean: float, spread: float) -> Column:
     return F.exp(-((r - mean) * (r - mean)) / (2 * spread * spread)) / spread + 1e-300
 
 
-def regimes(changes: DataFrame, *, stay: float = 0.95) -> DataFrame:
-    """(ticker, regime, probability) after the last change: the forward pass of a hidden chain that keeps its state with probability ``stay``."""
+def regimes(changes: DataFrame, *, stay: float = 0.95, chain: fit.Chain | None = None) -> DataFrame:
+    """(ticker, regime, probability) after the last change: the forward pass of a hidden chain that keeps its state with probability ``stay``.
+
+    chain: one that was fitted, its regimes in the order of REGIMES, instead.
+    """
     n, r = len(REGIMES), F.col("r")
-    seen = [density(r, m, s) for m, s in REGIMES.values()]
-    step = [seen[i] * (stay if i == j else (1 - stay) / (n - 1)) for i in range(n) for j in range(n)]
+    seen = [density(r, m, s) for m, s in (zip(chain.means, chain.spreads, strict=True) if chain else REGIMES.values())]
+    step = [seen[i] * (chain.moves[j][i] if chain else stay if i == j else (1 - stay) / (n - 1)) for i in range(n) for j in range(n)]
     rows = scan.last(changes, scan.numbers(*step), n, value="r", from_second=False, projective=True)
     # from equal chances
     joint = F.array(*[sum((scan.element("product", i, j, n) for j in range(1, n)), scan.element("product", i, 0, n)) for i in range(n)])
