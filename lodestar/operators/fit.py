@@ -204,3 +204,167 @@ def fit_regimes(changes: DataFrame, *, rounds: int = 30, close: float = 1e-6, st
             break
         chain = improved(chain, counts, least)
     return chain, seen
+
+
+# ---- volatility ------------------------------------------------------------------
+
+#: Of a fit's row: the point that is best so far and what is known there, and the next one to try.
+STATE = "best array<double>, value double, slope array<double>, bend array<double>, damp double, trial array<double>, promise double"
+#: The starting point: omega 0.1 of the mean square, alpha 0.1, beta 0.8, as they are searched for (see natural()).
+OUTSET = (float(np.log(0.1)), 0.0, float(np.log(8.0)))
+
+
+def natural(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, 3) omega, alpha, beta of points anywhere, with omega > 0, alpha, beta > 0 and alpha + beta < 1; and the derivatives."""
+    e = np.exp(p)
+    whole = 1 + e[:, 1] + e[:, 2]
+    out = np.stack([e[:, 0], e[:, 1] / whole, e[:, 2] / whole], 1)
+    j = np.zeros((len(p), 3, 3))
+    j[:, 0, 0] = e[:, 0]
+    for a in (1, 2):
+        for b in (1, 2):
+            j[:, a, b] = out[:, a] * ((a == b) - out[:, b])
+    return out, j
+
+
+def variances(r: np.ndarray, w: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each step of (n, steps) changes: (which have one, their squares, states before it); ``at`` is moved along.
+
+    A state is the variance and its derivatives by omega, alpha and beta.
+    """
+    for t in range(r.shape[1]):
+        here = ~np.isnan(r[:, t])
+        x = np.where(here, r[:, t], 0.0) ** 2
+        yield here, x, at
+        beta = w[:, 2]
+        after = np.stack([w[:, 0] + w[:, 1] * x + beta * at[:, 0], 1 + beta * at[:, 1], x + beta * at[:, 2], at[:, 0] + beta * at[:, 3]], 1)
+        at[here] = after[here]
+
+
+def carried(w: np.ndarray, own: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """The state behind n steps that lead from zeros to ``own``, entered in the state ``at``: all is linear in it."""
+    beta = w[2]
+    out = own + beta**n * at
+    out[3] += n * beta ** (n - 1) * at[0]
+    return out
+
+
+def _likelihood(cut: DataFrame, points: DataFrame, few: bool, few_chunks: bool) -> DataFrame:
+    """(key, s): log likelihood, slope and information by omega, alpha and beta at each series' trial point, summed over chunks.
+
+    points: (key, unit, trial); changes count in units of ``unit``.  First each chunk is run
+    from zeros, then a series' chunks get the states before them, then each is run from there.
+    """
+    kind = cut.schema["key"].dataType.simpleString()
+    near = F.broadcast if few else lambda d: d
+    p = near(points.select(F.col("key").alias("__key"), "unit", "trial"))
+    rows = cut.join(p, F.col("key").eqNullSafe(F.col("__key"))).select("key", "part", "seq", F.transform("values", lambda x: x / F.col("unit")).alias("values"), "trial")
+
+    def points_of(b: pa.RecordBatch) -> np.ndarray:
+        return np.array(b.column("trial").to_pylist(), float).reshape(-1, 3)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w, out = natural(points_of(b))[0], [None] * b.num_rows
+            for which, r in blocks(b.column("values")):
+                at = np.zeros((len(which), 4))
+                for _ in variances(r, w[which], at):
+                    pass
+                for i, row in zip(which, at, strict=True):
+                    out[i] = row
+            n = pa.array(b.column("values").value_lengths(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("key", "part", "seq", "trial")], n, pa.array(out, pa.list_(pa.float64()))], names=["key", "part", "seq", "trial", "n", "own"])
+
+    def entered(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("part", "ascending"), ("seq", "ascending")])
+        w, at, out = natural(np.array([t["trial"][0].as_py()]))[0][0], np.array([1.0, 0.0, 0.0, 0.0]), []
+        for n, own in zip(t["n"].to_pylist(), t["own"].to_pylist(), strict=True):
+            out.append(at.tolist())
+            at = carried(w, np.array(own), n, at)
+        return pa.table({"part": t["part"], "seq": t["seq"], "at": pa.array(out)})
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w, start = natural(points_of(b))[0], np.array(b.column("at").to_pylist(), float).reshape(-1, 4)
+            out = [None] * b.num_rows
+            for which, r in blocks(b.column("values")):
+                s = np.zeros((len(which), 13))
+                for here, x, at in variances(r, w[which], start[which].copy()):
+                    v, d = np.maximum(at[:, 0], 1e-300), at[:, 1:]
+                    own = np.concatenate([(-0.5 * (np.log(2 * np.pi * v) + x / v))[:, None], (0.5 * (x / v - 1) / v)[:, None] * d, (0.5 / v**2)[:, None] * (d[:, :, None] * d[:, None, :]).reshape(-1, 9)], 1)
+                    s[here] += own[here]
+                for i, row in zip(which, s, strict=True):
+                    out[i] = row
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.list_(pa.float64()))], names=["key", "s"])
+
+    starts = rows.mapInArrow(alone, f"key {kind}, part int, seq long, trial array<double>, n long, own array<double>").groupBy("key").applyInArrow(entered, "part int, seq long, at array<double>")
+    whole = rows.join(F.broadcast(starts) if few_chunks else starts, ["part", "seq"]).select("key", "values", "trial", "at")
+    return whole.mapInArrow(summed, f"key {kind}, s array<double>").groupBy("key").agg(F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(13)]).alias("s"))
+
+
+def _stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Takes a trial point if it is better, and sets the next one by a damped Newton step on the expected information."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        get = lambda c, n, b=b: np.array(b.column(c).to_pylist(), float).reshape(-1, n)
+        s, trial, best, slope, bend = get("s", 13), get("trial", 3), get("best", 3), get("slope", 3), get("bend", 9).reshape(-1, 3, 3)
+        value, damp = get("value", 1)[:, 0], get("damp", 1)[:, 0]
+        _, j = natural(trial)
+        taken = s[:, 0] >= value
+        best = np.where(taken[:, None], trial, best)
+        value = np.where(taken, s[:, 0], value)
+        slope = np.where(taken[:, None], np.einsum("nab,na->nb", j, s[:, 1:4]), slope)
+        bend = np.where(taken[:, None, None], np.einsum("nax,nab,nby->nxy", j, s[:, 4:].reshape(-1, 3, 3), j), bend)
+        damp = np.clip(np.where(taken, damp / 4, damp * 8), 1e-9, 1e12)
+        size = np.einsum("naa->na", bend)
+        firm = bend + (damp[:, None] * (size + 1e-9))[:, :, None] * np.eye(3)
+        step = np.linalg.solve(firm, slope[:, :, None])[:, :, 0]
+        trial = np.clip(best + np.clip(step, -3, 3), -15, 15)
+        promise = np.einsum("na,na->n", trial - best, slope)
+        lists = [pa.array(list(x.reshape(len(x), -1)), pa.list_(pa.float64())) for x in (best, slope, bend, trial)]
+        columns = [b.column("key"), b.column("unit"), b.column("n"), lists[0], pa.array(value), lists[1], lists[2], pa.array(damp), lists[3], pa.array(promise)]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "unit", "n", "best", "value", "slope", "bend", "damp", "trial", "promise"])
+
+
+def fit_garch(changes: DataFrame, *, rounds: int = 30, close: float = 1e-4, key: str = "ticker", value: str = "r", size: int = CHUNK) -> DataFrame:
+    """(key, n, omega, alpha, beta, log_likelihood, slope) of each series, by quasi-likelihood of normal changes with mean 0.
+
+    The variance starts at the mean square and goes to omega + alpha r^2 + beta v.  A round
+    takes one damped Newton step for all series at once; rounds end once no series is
+    promised more than ``close`` in log likelihood.  Omega is above 0, alpha and beta are, and
+    their sum is below 1; slope is the greatest derivative of the log likelihood by a
+    change's weight in the search, near 0 at an inner optimum.  A series whose
+    changes are all 0 has nulls.
+    """
+    spark = changes.sparkSession
+    cut = chunks(changes, key=key, value=value, size=size)
+    kind = cut.schema["key"].dataType.simpleString()
+    x = cut.select("key", F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, v: a + v * v).alias("q"))
+    units = x.groupBy("key").agg(F.sum("n").alias("n"), F.sqrt(F.sum("q") / F.sum("n")).alias("unit"))
+    point = F.array(*[F.lit(p) for p in OUTSET])
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    state = tables.save(units.filter("unit > 0").select("key", "unit", "n", point.alias("best"), F.lit(-1e308).alias("value"), zeros(3).alias("slope"), zeros(9).alias("bend"), F.lit(0.01).alias("damp"), point.alias("trial"), F.lit(0.0).alias("promise")))
+    few, few_chunks = tables.is_small(state), tables.is_small(cut)
+    last = None
+    for _ in range(rounds):
+        found = _likelihood(cut, state, few, few_chunks)
+        both = state.join(found.withColumnRenamed("key", "__key"), F.col("key").eqNullSafe(F.col("__key")))
+        path = tables.shared_folder(spark)
+        state = tables.save(both.drop("__key").mapInArrow(_stepped, f"key {kind}, unit double, n long, {STATE}"), path)
+        if last:
+            tables.delete(spark, last)
+        last = path
+        if (state.agg(F.max("promise")).first()[0] or 0.0) <= close:
+            break
+    e = [F.exp(F.get("best", F.lit(i))) for i in range(3)]
+    whole = 1 + e[1] + e[2]
+    fitted = state.select(
+        F.col("key").alias("__key"), (e[0] * F.col("unit") * F.col("unit")).alias("omega"), (e[1] / whole).alias("alpha"), (e[2] / whole).alias("beta"),
+        (F.col("value") - F.col("n") * F.log("unit")).alias("log_likelihood"), F.array_max(F.transform("slope", F.abs)).alias("slope"),
+    )
+    return units.join(fitted, F.col("key").eqNullSafe(F.col("__key")), "left").select(F.col("key").alias(key), "n", "omega", "alpha", "beta", "log_likelihood", "slope")

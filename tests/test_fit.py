@@ -90,3 +90,57 @@ def test_regimes_by_a_fitted_chain(spark):
             p = (p @ np.array(CHAIN.moves)) * np.exp(-0.5 * ((x - np.array(CHAIN.means)) / np.array(CHAIN.spreads)) ** 2) / np.array(CHAIN.spreads)
             p /= p.sum()
         assert got[k] == (list(quant.REGIMES)[int(p.argmax())], pytest.approx(p.max()))
+
+
+def garch_series(omega, alpha, beta, n, seed):
+    rng = np.random.default_rng(seed)
+    v, out = omega / (1 - alpha - beta), []
+    for _ in range(n):
+        out.append(rng.normal(0, np.sqrt(v)))
+        v = omega + alpha * out[-1] ** 2 + beta * v
+    return np.array(out)
+
+
+def garch_likelihood(r, omega, alpha, beta):
+    v, out = np.mean(r**2), 0.0
+    for x in r:
+        out -= 0.5 * (np.log(2 * np.pi * v) + x * x / v)
+        v = omega + alpha * x * x + beta * v
+    return out
+
+
+def test_fitted_volatility_is_the_likeliest_and_comes_back(spark):
+    true = {"hot": (2e-6, 0.12, 0.8), "b": (1e-3, 0.3, 0.5)}
+    series = {k: garch_series(*p, 40_000, i + 3) for i, (k, p) in enumerate(true.items())}
+    got = {r["ticker"]: r for r in fit.fit_garch(table(spark, series), size=3000).collect()}
+    for k, p in true.items():
+        r = got[k]
+        fitted = (r["omega"], r["alpha"], r["beta"])
+        np.testing.assert_allclose(fitted, p, rtol=0.1)
+        best = garch_likelihood(series[k], *fitted)
+        assert r["log_likelihood"] == pytest.approx(best, rel=1e-9) and r["n"] == 40_000
+        # no point beside it is likelier
+        for i in range(3):
+            for f in (0.98, 1.02):
+                beside = [x * (f if i == j else 1) for j, x in enumerate(fitted)]
+                assert garch_likelihood(series[k], *beside) <= best + 1e-3
+
+
+def test_chunks_do_not_change_the_fit(spark):
+    series = {f"k{i}": garch_series(1e-4, 0.2, 0.7, n, i) for i, n in enumerate((300, 501, 64))}
+    fits = [{r["ticker"]: r for r in fit.fit_garch(table(spark, series), size=s).collect()} for s in (16, 4096)]
+    for k in series:
+        for c in ("omega", "alpha", "beta", "log_likelihood"):
+            assert fits[0][k][c] == pytest.approx(fits[1][k][c], rel=1e-6)
+
+
+def test_volatility_of_short_flat_and_null_series(spark, monkeypatch):
+    schema = "ticker string, ts long, r double"
+    assert fit.fit_garch(spark.createDataFrame([], schema)).collect() == []
+    rows = [("one", 1, 0.1), ("flat", 1, 0.0), ("flat", 2, 0.0), (None, 1, 0.1), (None, 2, -0.3), (None, 2, -0.3), ("none", 1, None)]
+    monkeypatch.setattr(fit.tables, "is_small", lambda df: False)
+    got = {r["ticker"]: r for r in fit.fit_garch(spark.createDataFrame(rows, schema), rounds=8).collect()}
+    assert set(got) == {"one", "flat", None} and got["flat"]["omega"] is None and got[None]["n"] == 3
+    for k in ("one", None):
+        r = got[k]
+        assert r["omega"] > 0 and 0 < r["alpha"] + r["beta"] < 1 and np.isfinite(r["log_likelihood"])
