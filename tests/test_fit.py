@@ -144,3 +144,24 @@ def test_volatility_of_short_flat_and_null_series(spark, monkeypatch):
     for k in ("one", None):
         r = got[k]
         assert r["omega"] > 0 and 0 < r["alpha"] + r["beta"] < 1 and np.isfinite(r["log_likelihood"])
+
+
+def test_ensemble_weights_walk_forward_without_leaks(spark):
+    from lodestar.operators import ensemble
+    from lodestar.plans.model_queries import NUMBERS, REGIMES
+
+    rng = np.random.default_rng(5)
+    series = {f"k{i}": rng.normal(0, 1 + i, 40) for i in range(3)}
+    changed = {k: np.concatenate([r[:-1], [99.0]]) for k, r in series.items()}
+    scores = ensemble.foresight(table(spark, series), REGIMES, **NUMBERS)
+    walk = {(r["ticker"], r["ts"]): r for r in ensemble.walk_forward(scores).collect()}
+    other = {(r["ticker"], r["ts"]): r for r in ensemble.walk_forward(ensemble.foresight(table(spark, changed), REGIMES, **NUMBERS)).collect()}
+    for at, r in walk.items():
+        weights = [r[m] for m in ensemble.MODELS]
+        assert sum(weights) == pytest.approx(1)
+        # what comes later, and the change itself, do not move a weight
+        assert weights == pytest.approx([other[at][m] for m in ensemble.MODELS], rel=1e-9, abs=1e-12)
+        if at[1] == 1:
+            assert weights == pytest.approx([1 / 3] * 3)
+    one = spark.createDataFrame([("a", 1, 0.5), ("a", 2, None)], "ticker string, ts long, r double")
+    assert ensemble.foresight(one, REGIMES, **NUMBERS).collect() == []

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lodestar.plans import extra_queries, more_queries, stream_queries  # noqa: F401  they register their queries
+from lodestar.plans import extra_queries, model_queries, more_queries, stream_queries  # noqa: F401  they register their queries
 from lodestar.plans import queries as q
 
 SF = "/root/testdata/sf0.001"

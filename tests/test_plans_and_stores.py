@@ -27,7 +27,7 @@ def plan_of(df):
 
 @pytest.mark.parametrize("name", ["j7_nearest", "o2_bm25_topk", "c2_hybrid_rrf", "c4_rerank", "o4_knn_topk", "o8_group_topn", "v5_index_search", "w12_rank_position"])
 def test_ranks_are_limited_before_the_shuffle(spark, name):
-    from lodestar.plans import extra_queries, more_queries, stream_queries  # noqa: F401  they register their queries
+    from lodestar.plans import extra_queries, model_queries, more_queries, stream_queries  # noqa: F401  they register their queries
 
     assert "WindowGroupLimit" in plan_of(q.QUERIES[name](spark, SF))
 
