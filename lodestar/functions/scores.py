@@ -24,6 +24,11 @@ def or_default(x: Column, default) -> Column:
     return F.coalesce(F.nullif(x, F.lit(0)), default if isinstance(default, Column) else F.lit(default))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b of numbers, with 0 as a divisor as in IEEE 754: infinite, or NaN for 0 / 0; null of nulls only."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(F.try_divide(a, b))
+
+
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.least(x, F.lit(high)), F.lit(low))
 
