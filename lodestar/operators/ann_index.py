@@ -15,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import tables
 from ..functions import vectors as V
@@ -74,12 +73,15 @@ class CellIndex:
         cells = len(self.centroids)
         probes = min(cells, probes or 2 + math.ceil(math.sqrt(cells)))
         q = asked.select("query_id", V.normalize(F.col("q")).alias("u"))
-        q = q.withColumn("cell", F.explode(_nearest_cells(self.centroids, probes)("u")))
         rows = self.rows if among is None else self.rows.join(among.select("id"), "id", "left_semi")
-        found = rows.join(retrieve.by_queries(asked)(q), "cell").select("query_id", "id", V.cosine_distance(F.col("v"), F.col("u")).alias("distance"))
-        w = Window.partitionBy("query_id").orderBy("distance", "id")
-        found = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
-        return found.withColumn("similarity", V.similarity(F.col("distance")))
+        if probes == cells:  # every query meets every row, whatever its cell
+            return retrieve.nearest_units(rows, q, k)
+        q = q.withColumn("cell", F.explode(_nearest_cells(self.centroids, probes)("u")))
+        # a cell that many rows fall into, as copies do, is dealt into several parts
+        parts = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / retrieve.ROWS).cast("int").alias("parts")))
+        rows = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+        q = q.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return retrieve.nearest_by_block(rows.select("cell", "part", "id", "v"), q.select("cell", "part", "query_id", "u"), k, "cell", "part")
 
     def stats(self) -> DataFrame:
         """One row: nodes, cells in use, dims, rows of the largest cell."""
