@@ -14,6 +14,7 @@ they fill.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -75,13 +76,13 @@ def _batch(columns: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
 
-def count_tokens(texts: Sequence[str | None], drop: frozenset[str], only: frozenset[str] | None = None) -> tuple[list, list[int], list[int], list[int], list[int]]:
+def count_tokens(texts: Sequence[str | None], drop: frozenset[str], only: frozenset[str] | None = None) -> tuple[list, list[int], list[int], array, array]:
     """(terms, tokens of each text or -1 for a null, distinct terms of each, their codes, their counts).
 
     drop: terms without counts; only: if given, no others have any.
     """
     code: dict[str, int] = {}
-    lens, sizes, codes, tfs = [], [], [], []
+    lens, sizes, codes, tfs = [], [], array("i"), array("i")
     for s in texts:
         words = s.split(" ") if s else []
         seen = Counter(words if only is None else [w for w in words if w in only])
@@ -89,8 +90,8 @@ def count_tokens(texts: Sequence[str | None], drop: frozenset[str], only: frozen
             del seen[w]
         lens.append(-1 if s is None else len(words))
         sizes.append(len(seen))
-        codes += [code.setdefault(w, len(code)) for w in seen]
-        tfs += seen.values()
+        codes.extend(code.setdefault(w, len(code)) for w in seen)
+        tfs.extend(seen.values())
     return list(code), lens, sizes, codes, tfs
 
 
@@ -105,6 +106,7 @@ def _counted(kinds: Sequence[int], only: dict[int, frozenset[str]] | None = None
                 ids, oks = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
                 for i, kind in enumerate(kinds):
                     terms, lens, sizes, codes, tfs = count_tokens(b.column(2 + i).to_pylist(), stop if kind == TERM else frozenset(), only[RANK] if only and kind == RANK else None)
+                    codes, tfs = np.asarray(codes), np.asarray(tfs)
                     known = [n for n in lens if n >= 0]
                     numbers = [pa.array([n], t) for n, t in ((kind, pa.int32()), (len(lens), pa.int64()), (len(known), pa.int64()), (sum(known), pa.int64()))]
                     lists = [_one(v, t) for v, t in ((terms, pa.string()), (ids, pa.int64()), (oks, pa.bool_()), (lens, pa.int32()), (sizes, pa.int32()), (codes, pa.int32()), (tfs, pa.int32()))]
@@ -203,14 +205,37 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores else df
 
 
-def build(docs: DataFrame, rank: Column, term: Column, *, where: Column | None = None, id_: str = "id", kinds: Sequence[int] = (RANK, TERM), most: int = 4096, only: dict[int, frozenset[str]] | None = None) -> TextIndex:
+@dataclass(frozen=True)
+class CountedTexts:
+    """Texts read and counted once, of which indexes are made; counts: COUNTS, ``mean``: tokens of a text.
+
+    An index of a few terms costs a pass over the counts, and no shuffle of postings.
+    """
+
+    counts: DataFrame
+    documents: int
+    mean: float
+    vocabulary: dict[str, float]
+
+    def index(self, only: dict[int, frozenset[str]] | None = None) -> TextIndex:
+        """Postings of all terms, or of some by kind."""
+        blocks = self.counts.mapInArrow(_posted(self.mean, self.vocabulary, only), BLOCKS)
+        if only is None:
+            order = ["kind", "term", F.desc("level"), "first"]
+            blocks = tables.save(blocks).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_merged, BLOCKS)
+        blocks = blocks.withColumn("block", F.monotonically_increasing_id())
+        return TextIndex(tables.save(blocks, row_group=8 << 20), self.documents, self.vocabulary)
+
+
+def count(docs: DataFrame, rank: Column, term: Column, *, where: Column | None = None, id_: str = "id", kinds: Sequence[int] = (RANK, TERM), most: int = 4096, only: dict[int, frozenset[str]] | None = None) -> CountedTexts:
     """Reads the documents once.  rank, term: arrays of tokens, stop words still among them.
 
-    most: terms with weights, those that most documents have.  only: terms that get
-    postings, by kind; counts and lengths are those of all terms still.  A document with
+    most: terms with weights, those that most documents have.  only: terms of the sparse
+    ranking that are counted; lengths are those of all terms still.  A document with
     a null text counts, but has no length.  Ids are whole numbers.
     """
     tables.ship_code(docs.sparkSession)
+    tables.bound_batches(docs.sparkSession)
     ok = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     tokens = {RANK: rank, TERM: term}
     rows = spread(docs.select(F.col(id_).cast("long").alias("id"), ok.alias("ok"), "title", "content"))
@@ -222,12 +247,12 @@ def build(docs: DataFrame, rank: Column, term: Column, *, where: Column | None =
         df = counts.filter(F.col("kind") == TERM).select("terms", "codes").mapInArrow(_frequencies, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
         top = df.orderBy(F.desc("df"), "term").limit(most).collect()  # ``most`` rows at most
         vocabulary = {r.term: math.log((1.0 + docs_) / (1.0 + r.df)) + 1.0 for r in top}
-    blocks = counts.mapInArrow(_posted(total / known if total else 1.0, vocabulary, only), BLOCKS)
-    if only is None:
-        order = ["kind", "term", F.desc("level"), "first"]
-        blocks = tables.save(blocks).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_merged, BLOCKS)
-    blocks = blocks.withColumn("block", F.monotonically_increasing_id())
-    return TextIndex(tables.save(blocks, row_group=8 << 20), docs_, vocabulary)
+    return CountedTexts(counts, docs_, total / known if total else 1.0, vocabulary)
+
+
+def build(docs: DataFrame, rank: Column, term: Column, *, only: dict[int, frozenset[str]] | None = None, **more) -> TextIndex:
+    """An index of the documents; ``more`` as in count().  only: terms that get postings, by kind."""
+    return count(docs, rank, term, only=only, **more).index(only)
 
 
 def postings(blocks: DataFrame, *columns: str, restricted: bool = True) -> DataFrame:

@@ -47,13 +47,13 @@ def run(docs: DataFrame, query: str, ticker: str, as_of: Column, *, rounds: int
     if not size:
         return out
     where = F.upper("ticker") == ticker if size > 10 else None
-    index = retrieve.text_index(docs, where=where)  # once for all rounds
+    counted = retrieve.count_texts(docs, where=where)  # once for all rounds
     best: dict[int, float] = {}
     last: dict[int, float] = {}
     gone: set[int] = set()
     for i in range(1, rounds + 1):
         asked = retrieve.queries(spark, [(1, current)])
-        found = retrieve.hybrid(index, asked, k)
+        found = retrieve.hybrid(retrieve.index_of(counted, asked), asked, k)
         if last:
             previous = spark.createDataFrame(list(last.items()), "id long, previous double")
             found = found.join(F.broadcast(previous), "id", "left")

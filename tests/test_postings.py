@@ -103,6 +103,23 @@ def test_single_use_index_has_the_queries_terms_only(spark, corpus, index):
     assert a == b
 
 
+def test_loop_indexes_a_rounds_terms_only(spark, corpus, index, monkeypatch):
+    from lodestar.plans import loop
+
+    seen, hybrid = [], retrieve.hybrid
+    monkeypatch.setattr(retrieve, "hybrid", lambda ix, asked, k: seen.append((ix, asked)) or hybrid(ix, asked, k))
+    docs = corpus.filter("id < 300").withColumns({"source_type": F.lit("other"), "credibility": F.lit("high"), "confidence": F.lit(0.5), "sentiment": F.lit("neutral"), "published": F.lit("2024-01-01").cast("timestamp_ntz")})
+    found = loop.run(docs, "common w250", "s1", F.lit("2024-01-31").cast("timestamp_ntz"))
+    assert len(seen) == len(found.rounds) and found.ids
+    for ix, asked in seen:
+        words = set(asked.first().query.lower().replace(".", " ").split())
+        assert {r.term for r in ix.blocks.collect()} <= words
+    counted = retrieve.count_texts(corpus, where=F.col("ticker") != "S1")
+    asked = retrieve.queries(spark, [(1, "common w250"), (2, "w0")])
+    a, b = (sorted((r.query_id, r.id, round(r.normalized, 9)) for r in hybrid(x, asked, 7).collect()) for x in (retrieve.index_of(counted, asked), index))
+    assert a == b
+
+
 def test_no_documents(spark):
     empty, asked = spark.createDataFrame([], SCHEMA), retrieve.queries(spark, [(1, "common")])
     index = retrieve.text_index(empty)
