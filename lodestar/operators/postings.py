@@ -14,6 +14,7 @@ they fill.
 from __future__ import annotations
 
 import math
+import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -200,7 +201,12 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals the rows of a table in fewer parts than the cluster has cores to all of them; others stay as they are."""
+    """Deals the rows of a table in fewer parts than the cluster has cores to all of them; others stay as they are.
+
+    So do rows that come from a shuffle: to ask for their parts would run it, and run it again for the rows.
+    """
+    if re.search(r"\bExchange \w", df._jdf.queryExecution().executedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores else df
 
