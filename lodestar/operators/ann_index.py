@@ -44,12 +44,19 @@ class CellIndex:
 
         There are about as many cells as rows in each, up to ``most_cells``.
         """
-        rows = vectors.filter(F.col(id_).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_).alias("id"), V.normalize(F.col(vector)).alias("v")).dropDuplicates(["id"])
+        spark = vectors.sparkSession
+        raw, path = tables.shared_folder(spark), tables.shared_folder(spark)
+        # vectors may cost a model's work: they are made once, with no filter on them below
+        made = tables.save(vectors.select(F.col(id_).alias("id"), F.col(vector).alias("raw")), raw)
+        rows = tables.save(made.filter("id IS NOT NULL AND raw IS NOT NULL").select("id", V.normalize(F.col("raw")).alias("v")).dropDuplicates(["id"]), path)
+        tables.delete(spark, raw)
         n = rows.count()
         cells = max(1, min(cells or round(math.sqrt(n)), most_cells, max(n, 1)))
         sample = rows.orderBy(F.xxhash64("id"), "id").limit(cells).collect()  # most_cells rows at most
         centroids = np.array([r["v"] for r in sample], float).reshape(len(sample), -1) if sample else np.zeros((1, 1))
-        return CellIndex(tables.save(CellIndex._filed(rows, centroids)), centroids)
+        filed = tables.save(CellIndex._filed(rows, centroids))
+        tables.delete(spark, path)
+        return CellIndex(filed, centroids)
 
     @staticmethod
     def _filed(rows: DataFrame, centroids: np.ndarray) -> DataFrame:

@@ -4,11 +4,12 @@ import datetime as dt
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar import tables
-from lodestar.operators import ann_index, embed, evaluate, quant, retrieve
+from lodestar.operators import ann_index, embed, evaluate, postings, quant, retrieve
 from lodestar.plans import engine, providers
 from lodestar.plans import queries as q
 from lodestar.sources import vector_store
@@ -317,3 +318,29 @@ def test_texts_of_few_questions_are_not_dealt_by_question(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "strategy=broadcast" in plan
+
+
+def test_vectors_of_an_index_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<double>")
+    def model(ids: pd.Series) -> pd.Series:
+        made.add(len(ids))
+        return pd.Series([[float(i), 1.0] for i in ids])
+
+    index = ann_index.CellIndex.build(spark.range(40).select(F.col("id").alias("vec_id"), model("id").alias("embedding")))
+    assert index.rows.count() == 40 and made.value == 40
+
+
+def test_texts_behind_a_shuffle_are_shuffled_once(spark):
+    """Neither to learn how many parts they have, nor to re-rank a few of them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = q.ev(spark, SF)
+        assert postings.spread(e) is e
+        asked = retrieve.queries(spark, q.ASKED)
+        candidates = e.filter("id < 3").select(F.lit(1).alias("query_id"), "id", F.lit(1).alias("rank"))
+        plan = retrieve.rerank(candidates, e, asked)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"Filter [^\n]*doc_id#\d+L? IN \(", plan)
