@@ -23,9 +23,10 @@ CHUNK = 4096
 
 
 def chunks(rows: DataFrame, *, key: str = "ticker", order: Sequence[str] = ("ts",), value: str = "r", size: int = CHUNK) -> DataFrame:
-    """(key, part, seq, values), written: the series' values in order of (part, seq).
+    """(key, part, seq, values, whole), written: the series' values in order of (part, seq); whole: the row is all of its series.
 
     Rows whose value is null or not finite are left out; equal times are ordered by value.
+    The first and the last series of a task's part may go on in another one, so they are never called whole.
     """
     tables.ship_code(rows.sparkSession)
     v = F.col(value).cast("double")
@@ -35,18 +36,36 @@ def chunks(rows: DataFrame, *, key: str = "ticker", order: Sequence[str] = ("ts"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
+        held_key, held, open_ = None, None, True  # the series that may go on in the next batch, and whether it has begun elsewhere
         for b in batches:
-            keys, values = b.column(0).to_pylist(), b.column(1).to_numpy()
+            if not b.num_rows:
+                continue
+            keys, values, out = b.column(0).to_pylist(), b.column(1).to_numpy(), []
             starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
-            ends = [*starts[1:], len(keys)]
-            spans = [(a, min(a + size, z)) for s, z in zip(starts, ends, strict=True) for a in range(s, z, size)]
-            if spans:
-                columns = [pa.array([keys[a] for a, _ in spans], b.column(0).type), pa.array([part] * len(spans), pa.int32()), pa.array(range(seq, seq + len(spans)), pa.int64()), pa.array([values[a:z] for a, z in spans], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "part", "seq", "values"])
-                seq += len(spans)
+            for a, z in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if held is not None and keys[a] == held_key:
+                    held = np.concatenate([held, values[a:z]])
+                else:
+                    if held is not None:
+                        out.append((held_key, held, not open_))
+                        open_ = False
+                    held_key, held = keys[a], values[a:z]
+                while len(held) > size:
+                    out.append((held_key, held[:size], False))
+                    held, open_ = held[size:], True
+            if out:
+                yield table(out, b.column(0).type, part, seq)
+                seq += len(out)
+            kind_ = b.column(0).type
+        if held is not None:
+            yield table([(held_key, held, False)], kind_, part, seq)
+
+    def table(out: list, kind_: pa.DataType, part: int, seq: int) -> pa.RecordBatch:
+        columns = [pa.array([k for k, _, _ in out], kind_), pa.array([part] * len(out), pa.int32()), pa.array(range(seq, seq + len(out)), pa.int64()), pa.array([v for _, v, _ in out], pa.list_(pa.float64())), pa.array([w for _, _, w in out])]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "part", "seq", "values", "whole"])
 
     ordered = kept.repartitionByRange(*by).sortWithinPartitions(*by)
-    return tables.save(ordered.select("key", "value").mapInArrow(cut, f"key {kind}, part int, seq long, values array<double>"))
+    return tables.save(ordered.select("key", "value").mapInArrow(cut, f"key {kind}, part int, seq long, values array<double>, whole boolean"))
 
 
 def blocks(values: pa.Array, most: int = 1 << 15) -> Iterator[tuple[list[int], np.ndarray]]:
@@ -89,22 +108,53 @@ class Counted:
         self.m, self.t, self.log = m, t, log
 
     @staticmethod
-    def steps(chain: Chain, r: np.ndarray) -> Counted:
-        """Of changes of any shape; a NaN is no step."""
-        mean, spread, moves = np.array(chain.means), np.array(chain.spreads), np.array(chain.moves)
-        d, none = len(mean), np.isnan(r)
-        x = np.where(none, 0.0, r)[..., None] - mean
+    def along(chain: Chain, r: np.ndarray) -> Counted:
+        """Of (n, steps) changes, the steps being a power of two; a NaN is no step.
+
+        Runs of at most ``RUN`` steps are gone through forth and back, all at once; then runs are combined.
+        """
+        run = min(Counted.RUN, r.shape[1])
+        runs = Counted._of_runs(chain, r.reshape(-1, run))
+        return runs.part_shape((len(r), -1)).whole()
+
+    #: Steps whose products are kept at once.
+    RUN = 64
+
+    @staticmethod
+    def _of_runs(chain: Chain, r: np.ndarray) -> Counted:
+        mean, spread, moves = (np.array(x)[..., None] for x in (chain.means, chain.spreads, chain.moves))
+        d, n = len(mean), len(r)
+        none = np.isnan(r.T)  # (steps, n), series last from here on
+        x = np.where(none, 0.0, r.T)[:, None] - mean
         log = -0.5 * (x / spread) ** 2 - np.log(spread) - 0.5 * np.log(2 * np.pi)
-        top = log.max(-1)
-        m = np.exp(log - top[..., None])[..., :, None] * moves.T
-        t = np.zeros((*r.shape, d * d + 2 * d, d, d))
+        top = log.max(1)
+        m = np.exp(log - top[:, None])[:, :, None] * moves.swapaxes(0, 1)
         for i in range(d):
             for j in range(d):
-                t[..., j * d + i, i, j] = m[..., i, j]
-            t[..., d * d + i, i, :] = m[..., i, :] * x[..., i, None]
-            t[..., d * d + d + i, i, :] = m[..., i, :] * (x[..., i, None] ** 2)
-        m[none], t[none] = np.eye(d), 0.0
-        return Counted(m, t, np.where(none, 0.0, top))
+                m[:, i, j][none] = float(i == j)
+        before, grown = np.empty((len(m) + 1, d, d, n)), np.zeros((len(m) + 1, n))
+        before[0] = np.eye(d)[..., None]
+        for k in range(len(m)):
+            p = (m[k][:, :, None] * before[k][None]).sum(1)
+            most = p.max((0, 1))
+            before[k + 1], grown[k + 1] = p / most, grown[k] + np.log(most)
+        after, shrunk = np.repeat(np.eye(d)[..., None], n, 2), np.zeros(n)
+        t = np.zeros((d, d, d + 2, d, n))  # by state entered, row, statistic, column
+        for k in range(len(m) - 1, -1, -1):
+            y = m[k][:, :, None] * before[k][None]
+            z = y.sum(1)
+            y = np.concatenate([y, (x[k][:, None] * z)[:, None], (x[k][:, None] ** 2 * z)[:, None]], 1)
+            weight = np.where(none[k], 0.0, np.exp(grown[k] + shrunk - grown[-1]))
+            t += (after * weight).swapaxes(0, 1)[:, :, None, None] * y[:, None]
+            p = (after[:, :, None] * m[k][None]).sum(1)
+            most = p.max((0, 1))
+            after, shrunk = p / most, shrunk + np.log(most)
+        moved = t[:, :, :d].transpose(4, 2, 0, 1, 3).reshape(n, d * d, d, d)
+        rest = t[:, :, d:].transpose(4, 2, 0, 1, 3).reshape(n, 2 * d, d, d)
+        return Counted(before[-1].transpose(2, 0, 1), np.concatenate([moved, rest], 1), grown[-1] + np.where(none, 0.0, top).sum(0))
+
+    def part_shape(self, lead: tuple[int, ...]) -> Counted:
+        return Counted(self.m.reshape(*lead, *self.m.shape[-2:]), self.t.reshape(*lead, *self.t.shape[-3:]), self.log.reshape(lead))
 
     def then(self, later: Counted) -> Counted:
         m = later.m @ self.m
@@ -124,10 +174,10 @@ class Counted:
         return Counted(self.m[(*lead, at)], self.t[(*lead, at)], self.log[(*lead, at)])
 
     def expected(self) -> np.ndarray:
-        """The log likelihood and the statistics of a series that starts from equal chances."""
+        """The log likelihood and the statistics of series that start from equal chances."""
         d = self.m.shape[-1]
         total = self.m.sum((-2, -1))
-        return np.concatenate([[self.log + np.log(total / d)], self.t.sum((-2, -1)) / total])
+        return np.concatenate([(self.log + np.log(total / d))[..., None], self.t.sum((-2, -1)) / total[..., None]], -1)
 
 
 def expected_counts(cut: DataFrame, chain: Chain) -> np.ndarray:
@@ -142,13 +192,19 @@ def expected_counts(cut: DataFrame, chain: Chain) -> np.ndarray:
                 continue
             out = [None] * b.num_rows
             for which, r in blocks(b.column("values")):
-                c = Counted.steps(chain, r).whole()
+                c = Counted.along(chain, r)
                 flat = np.concatenate([c.log[:, None], c.m.reshape(len(which), -1), c.t.reshape(len(which), -1)], 1)
                 for i, row in zip(which, flat, strict=True):
                     out[i] = row
             columns = [b.column("key"), b.column("part"), b.column("seq"), pa.array(out, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "part", "seq", "c"])
 
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                total = sum(Counted.along(chain, r).expected().sum(0) for _, r in blocks(b.column(0)))
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+
     def folded(t: pa.Table) -> pa.Table:
         flat = np.array(t.sort_by([("part", "ascending"), ("seq", "ascending")])["c"].combine_chunks().flatten()).reshape(len(t), -1)
         c = Counted(flat[:, 1 : 1 + d * d].reshape(-1, d, d), flat[:, 1 + d * d :].reshape(len(flat), -1, d, d), flat[:, 0])
@@ -157,8 +213,10 @@ def expected_counts(cut: DataFrame, chain: Chain) -> np.ndarray:
             all_ = all_.then(c.part(i))
         return pa.table({"s": pa.array([all_.expected().tolist()])})
 
-    products = cut.mapInArrow(reduced, f"key {kind}, part int, seq long, c array<double>")
-    sums = products.groupBy("key").applyInArrow(folded, "s array<double>").agg(*[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(size)])
+    # whole series are summed where they lie; of the others a row for each chunk meets
+    products = cut.filter("NOT whole").mapInArrow(reduced, f"key {kind}, part int, seq long, c array<double>")
+    each = products.groupBy("key").applyInArrow(folded, "s array<double>").unionByName(cut.filter("whole").select("values").mapInArrow(summed, "s array<double>"))
+    sums = each.agg(*[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(size)])
     return np.array([x or 0.0 for x in sums.first()])
 
 
@@ -189,6 +247,11 @@ def fit_regimes(changes: DataFrame, *, rounds: int = 30, close: float = 1e-6, st
     for a change.  The driver gets the sums only, as many as a model has numbers.  Of no changes, or of equal
     ones, the starting chain with spread 1e-9 at least, or 1 where there are none.
     """
+    return fit_with_counts(changes, rounds=rounds, close=close, start=start, key=key, value=value, size=size)[:2]
+
+
+def fit_with_counts(changes: DataFrame, *, rounds: int, close: float, start: Chain | None = None, key: str = "ticker", value: str = "r", size: int = CHUNK) -> tuple[Chain, list[float], np.ndarray]:
+    """fit_regimes(), and the expected counts by the chain that it ends with."""
     cut = chunks(changes, key=key, value=value, size=size)
     x = F.explode("values")
     n, mean, spread = cut.select(x.alias("x")).agg(F.count("x"), F.avg("x"), F.stddev_pop("x")).first()
@@ -196,14 +259,14 @@ def fit_regimes(changes: DataFrame, *, rounds: int = 30, close: float = 1e-6, st
     chain = start or starting_chain(mean or 0.0, max(spread or 0.0, 1e-9) if n else 1.0)
     seen: list[float] = []
     if not n:
-        return chain, [0.0]
+        return chain, [0.0], np.zeros(1 + len(chain.means) * (len(chain.means) + 2))
     for i in range(rounds + 1):
         counts = expected_counts(cut, chain)
         seen.append(float(counts[0]))
         if i == rounds or (i and seen[-1] - seen[-2] < close * n):
             break
         chain = improved(chain, counts, least)
-    return chain, seen
+    return chain, seen, counts
 
 
 # ---- volatility ------------------------------------------------------------------

@@ -24,8 +24,7 @@ def log_changes(spark, d):
 def _(spark, d):
     """Ten rounds of fitting; a round's means and spreads, weighted by how often each regime is expected, give back the sums of all changes."""
     changes = log_changes(spark, d)
-    chain, seen = fit.fit_regimes(changes, rounds=10, close=0.0)
-    counts = fit.expected_counts(fit.chunks(changes), chain)
+    chain, seen, counts = fit.fit_with_counts(changes, rounds=10, close=0.0)
     after = fit.improved(chain, counts, 0.0)
     met = [float(sum(counts[1 + 3 * j + i] for j in range(3))) for i in range(3)]
     total = sum(n * m for n, m in zip(met, after.means, strict=True))

@@ -55,6 +55,23 @@ def test_expected_counts_are_those_of_forward_and_backward(spark, size):
     np.testing.assert_allclose(fit.expected_counts(cut, CHAIN), plain_counts(CHAIN, series.values()), rtol=1e-8, atol=1e-8)
 
 
+def test_series_that_cross_a_batch_stay_in_one_row_and_are_summed_where_they_lie(spark):
+    series = {f"k{i:02d}": generated(CHAIN, 5 + i % 3, i) for i in range(40)}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        cut = fit.chunks(table(spark, series)).collect()
+        counts = fit.expected_counts(fit.chunks(table(spark, series)), CHAIN)
+    finally:
+        spark.conf.set(name, before)
+    # only a part's first and last series may go on elsewhere
+    parts = {r["part"] for r in cut}
+    assert len(cut) <= 40 + len(parts) and sum(not r["whole"] for r in cut) <= 2 * len(parts)
+    assert {r["key"]: r["values"] for r in cut if r["whole"]} == {r["key"]: series[r["key"]].tolist() for r in cut if r["whole"]}
+    np.testing.assert_allclose(counts, plain_counts(CHAIN, series.values()), rtol=1e-8, atol=1e-8)
+
+
 def test_far_values_do_not_underflow(spark):
     series = {"a": np.array([0.0, 500.0, -500.0, 0.01])}
     counts = fit.expected_counts(fit.chunks(table(spark, series)), CHAIN)
