@@ -29,6 +29,7 @@ def chunks(rows: DataFrame, *, key: str = "ticker", order: Sequence[str] = ("ts"
     The first and the last series of a task's part may go on in another one, so they are never called whole.
     """
     tables.ship_code(rows.sparkSession)
+    tables.bound_batches(rows.sparkSession)
     v = F.col(value).cast("double")
     kept = rows.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).select(F.col(key).alias("key"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], v.alias("value"))
     by = ["key", *[f"o{i}" for i in range(len(order))], "value"]
@@ -272,7 +273,7 @@ def fit_with_counts(changes: DataFrame, *, rounds: int, close: float, start: Cha
 # ---- volatility ------------------------------------------------------------------
 
 #: Of a fit's row: the point that is best so far and what is known there, and the next one to try.
-STATE = "best array<double>, value double, slope array<double>, bend array<double>, damp double, trial array<double>, promise double"
+STATE = "best array<double>, value double, slope array<double>, bend array<double>, damp double, trial array<double>, begun double, done boolean"
 #: The starting point: omega 0.1 of the mean square, alpha 0.1, beta 0.8, as they are searched for (see natural()).
 OUTSET = (float(np.log(0.1)), 0.0, float(np.log(8.0)))
 
@@ -304,6 +305,26 @@ def variances(r: np.ndarray, w: np.ndarray, at: np.ndarray) -> Iterator[tuple[np
         at[here] = after[here]
 
 
+def likelihoods(r: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(n, 13) log likelihood, slope and information by omega, alpha and beta of (n, steps) changes, entered in the states ``at``."""
+    here = ~np.isnan(r.T)
+    x = np.where(here, r.T, 0.0) ** 2
+    omega, alpha, beta = w.T
+    s, driven = np.empty((len(x), 4, len(r))), omega + alpha * x
+    s[0] = at.T
+    for t in range(len(x) - 1):
+        np.multiply(s[t], beta, out=s[t + 1])
+        s[t + 1, 0] += driven[t]
+        s[t + 1, 1] += 1
+        s[t + 1, 2] += x[t]
+        s[t + 1, 3] += s[t, 0]
+    v, d = np.maximum(s[:, 0], 1e-300), s[:, 1:]
+    log = np.where(here, -0.5 * (np.log(2 * np.pi * v) + x / v), 0.0).sum(0)
+    slope = np.einsum("tn,tan->na", np.where(here, 0.5 * (x / v - 1) / v, 0.0), d)
+    bend = np.einsum("tan,tbn->nab", np.where(here, 0.5 / v**2, 0.0)[:, None] * d, d)
+    return np.concatenate([log[:, None], slope, bend.reshape(-1, 9)], 1)
+
+
 def carried(w: np.ndarray, own: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
     """The state behind n steps that lead from zeros to ``own``, entered in the state ``at``: all is linear in it."""
     beta = w[2]
@@ -355,11 +376,7 @@ def _likelihood(cut: DataFrame, points: DataFrame, few: bool, few_chunks: bool)
             w, start = natural(points_of(b))[0], np.array(b.column("at").to_pylist(), float).reshape(-1, 4)
             out = [None] * b.num_rows
             for which, r in blocks(b.column("values")):
-                s = np.zeros((len(which), 13))
-                for here, x, at in variances(r, w[which], start[which].copy()):
-                    v, d = np.maximum(at[:, 0], 1e-300), at[:, 1:]
-                    own = np.concatenate([(-0.5 * (np.log(2 * np.pi * v) + x / v))[:, None], (0.5 * (x / v - 1) / v)[:, None] * d, (0.5 / v**2)[:, None] * (d[:, :, None] * d[:, None, :]).reshape(-1, 9)], 1)
-                    s[here] += own[here]
+                s = likelihoods(r, w[which], start[which])
                 for i, row in zip(which, s, strict=True):
                     out[i] = row
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.list_(pa.float64()))], names=["key", "s"])
@@ -369,65 +386,150 @@ def _likelihood(cut: DataFrame, points: DataFrame, few: bool, few_chunks: bool)
     return whole.mapInArrow(summed, f"key {kind}, s array<double>").groupBy("key").agg(F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(13)]).alias("s"))
 
 
-def _stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Takes a trial point if it is better, and sets the next one by a damped Newton step on the expected information."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        get = lambda c, n, b=b: np.array(b.column(c).to_pylist(), float).reshape(-1, n)
-        s, trial, best, slope, bend = get("s", 13), get("trial", 3), get("best", 3), get("slope", 3), get("bend", 9).reshape(-1, 3, 3)
-        value, damp = get("value", 1)[:, 0], get("damp", 1)[:, 0]
-        _, j = natural(trial)
-        taken = s[:, 0] >= value
-        best = np.where(taken[:, None], trial, best)
-        value = np.where(taken, s[:, 0], value)
-        slope = np.where(taken[:, None], np.einsum("nab,na->nb", j, s[:, 1:4]), slope)
-        bend = np.where(taken[:, None, None], np.einsum("nax,nab,nby->nxy", j, s[:, 4:].reshape(-1, 3, 3), j), bend)
-        damp = np.clip(np.where(taken, damp / 4, damp * 8), 1e-9, 1e12)
+@dataclass
+class Search:
+    """Of n series: the best point so far and what is known there, and the next one to try; done: no more than ``close`` is promised."""
+
+    best: np.ndarray
+    value: np.ndarray
+    slope: np.ndarray
+    bend: np.ndarray
+    damp: np.ndarray
+    trial: np.ndarray
+    begun: np.ndarray
+    done: np.ndarray
+
+    @staticmethod
+    def begin(n: int) -> Search:
+        return Search(np.tile(OUTSET, (n, 1)), np.full(n, -1e308), np.zeros((n, 3)), np.zeros((n, 3, 3)), np.full(n, 0.01), np.tile(OUTSET, (n, 1)), np.full(n, np.nan), np.zeros(n, bool))
+
+    def at(self, which: np.ndarray) -> Search:
+        return Search(*[x[which] for x in vars(self).values()])
+
+    def put(self, which: np.ndarray, part: Search) -> None:
+        for mine, its in zip(vars(self).values(), vars(part).values(), strict=True):
+            mine[which] = its
+
+    def stepped(self, s: np.ndarray, close: float) -> Search:
+        """Takes a trial point if it is better, and sets the next one by a damped Newton step on the expected information."""
+        _, j = natural(self.trial)
+        taken = s[:, 0] >= self.value
+        best = np.where(taken[:, None], self.trial, self.best)
+        value = np.where(taken, s[:, 0], self.value)
+        slope = np.where(taken[:, None], np.einsum("nab,na->nb", j, s[:, 1:4]), self.slope)
+        bend = np.where(taken[:, None, None], np.einsum("nax,nab,nby->nxy", j, s[:, 4:].reshape(-1, 3, 3), j), self.bend)
+        damp = np.clip(np.where(taken, self.damp / 4, self.damp * 8), 1e-9, 1e12)
         size = np.einsum("naa->na", bend)
         firm = bend + (damp[:, None] * (size + 1e-9))[:, :, None] * np.eye(3)
         step = np.linalg.solve(firm, slope[:, :, None])[:, :, 0]
         trial = np.clip(best + np.clip(step, -3, 3), -15, 15)
-        promise = np.einsum("na,na->n", trial - best, slope)
-        lists = [pa.array(list(x.reshape(len(x), -1)), pa.list_(pa.float64())) for x in (best, slope, bend, trial)]
-        columns = [b.column("key"), b.column("unit"), b.column("n"), lists[0], pa.array(value), lists[1], lists[2], pa.array(damp), lists[3], pa.array(promise)]
-        yield pa.RecordBatch.from_arrays(columns, names=["key", "unit", "n", "best", "value", "slope", "bend", "damp", "trial", "promise"])
+        done = taken & (np.einsum("na,na->n", trial - best, slope) <= close)
+        return Search(best, value, slope, bend, damp, trial, np.where(np.isnan(self.begun), s[:, 0], self.begun), done)
+
+
+def _steps(close: float):
+    """Maps (key, unit, n, STATE, s) to (key, unit, n, STATE) a step further; what is done stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                get = lambda c, n, b=b: np.array(b.column(c).to_pylist(), float).reshape(-1, n)
+                one = lambda c, get=get: get(c, 1)[:, 0]
+                now = Search(get("best", 3), one("value"), get("slope", 3), get("bend", 9).reshape(-1, 3, 3), one("damp"), get("trial", 3), one("begun"), one("done") > 0)
+                yield _batch(b.column("key"), b.column("unit"), b.column("n"), now.stepped(get("s", 13), close))
+
+    return run
+
+
+def _batch(key: pa.Array, unit: pa.Array, n: pa.Array, search: Search) -> pa.RecordBatch:
+    columns = [pa.array(x.tolist() if x.ndim == 1 else x.reshape(len(x), -1).tolist(), pa.bool_() if x.dtype == bool else pa.float64() if x.ndim == 1 else pa.list_(pa.float64())) for x in vars(search).values()]
+    return pa.RecordBatch.from_arrays([key, unit, n, *columns], names=["key", "unit", "n", *vars(search)])
+
+
+def _fitted_whole(rounds: int, close: float):
+    """Maps (key, values) of whole series to (key, unit, n, STATE), fitted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for which, r in blocks(b.column("values"), 1 << 16):
+                n = (~np.isnan(r)).sum(1)
+                unit = np.sqrt(np.nansum(r * r, 1) / n)
+                search, left = Search.begin(len(r)), np.flatnonzero(unit > 0)
+                r = r / np.where(unit > 0, unit, 1.0)[:, None]
+                for _ in range(rounds):
+                    now = search.at(left)
+                    search.put(left, now.stepped(likelihoods(r[left], natural(now.trial)[0], np.tile([1.0, 0.0, 0.0, 0.0], (len(left), 1))), close))
+                    left = left[~search.done[left]]
+                    if not len(left):
+                        break
+                yield _batch(b.column("key").take(pa.array(which)), pa.array(unit), pa.array(n, pa.int64()), search)
+
+    return run
+
+
+def _short_and_long(cut: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(key, values) of series of ``size`` values at most, and chunks() of the longer ones; few series lie across two parts."""
+    parts = cut.filter("NOT whole")
+    counts = parts.groupBy(F.col("key").alias("__key")).agg(F.sum(F.size("values")).alias("__n"))
+    both = parts.join(counts, F.col("key").eqNullSafe(F.col("__key"))).drop("__key")
+    inorder = F.array_sort(F.collect_list(F.struct("part", "seq", "values")))
+    joined = both.filter(F.col("__n") <= size).groupBy("key").agg(F.flatten(F.transform(inorder, lambda x: x["values"])).alias("values"))
+    return cut.filter("whole").select("key", "values").unionByName(joined), both.filter(F.col("__n") > size).drop("__n")
 
 
 def fit_garch(changes: DataFrame, *, rounds: int = 30, close: float = 1e-4, key: str = "ticker", value: str = "r", size: int = CHUNK) -> DataFrame:
-    """(key, n, omega, alpha, beta, log_likelihood, slope) of each series, by quasi-likelihood of normal changes with mean 0.
+    """(key, n, omega, alpha, beta, log_likelihood, slope, begun) of each series, by quasi-likelihood of normal changes with mean 0.
 
     The variance starts at the mean square and goes to omega + alpha r^2 + beta v.  A round
-    takes one damped Newton step for all series at once; rounds end once no series is
-    promised more than ``close`` in log likelihood.  Omega is above 0, alpha and beta are, and
+    takes one damped Newton step; a series ends once its last point was taken and the next
+    one promises no more than ``close`` in log likelihood.  Series of at most ``size`` values are
+    rows, many of which go through all their rounds together in a task; a round of longer
+    ones is a pass over their chunks.  Omega is above 0, alpha and beta are, and
     their sum is below 1; slope is the greatest derivative of the log likelihood by a
-    change's weight in the search, near 0 at an inner optimum.  A series whose
-    changes are all 0 has nulls.
+    change's weight in the search, near 0 at an inner optimum; begun is the log likelihood
+    where the search begins.  A series whose changes are all 0 has nulls.
     """
     spark = changes.sparkSession
     cut = chunks(changes, key=key, value=value, size=size)
     kind = cut.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, unit double, n long, {STATE}"
+    short, long_ = _short_and_long(cut, size)
+    # files of few bytes are many rounds of work
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fitted = tables.save(short.repartition(parts).mapInArrow(_fitted_whole(rounds, close), schema))
+    long_ = tables.save(long_)
+    if not long_.isEmpty():
+        fitted = fitted.unionByName(_fitted_long(long_, schema, rounds, close))
+    e = [F.exp(F.get("best", F.lit(i))) for i in range(3)]
+    whole = 1 + e[1] + e[2]
+    scale = F.col("n") * F.log("unit")
+    found = {
+        "omega": e[0] * F.col("unit") * F.col("unit"), "alpha": e[1] / whole, "beta": e[2] / whole, "log_likelihood": F.col("value") - scale,
+        "slope": F.array_max(F.transform("slope", F.abs)), "begun": F.col("begun") - scale,
+    }
+    return fitted.select(F.col("key").alias(key), "n", *[F.when(F.col("unit") > 0, c).alias(name) for name, c in found.items()])
+
+
+def _fitted_long(cut: DataFrame, schema: str, rounds: int, close: float) -> DataFrame:
+    """(key, unit, n, STATE) of series of several chunks, fitted; a round passes over the series that are not done."""
+    spark = cut.sparkSession
     x = cut.select("key", F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, v: a + v * v).alias("q"))
-    units = x.groupBy("key").agg(F.sum("n").alias("n"), F.sqrt(F.sum("q") / F.sum("n")).alias("unit"))
     point = F.array(*[F.lit(p) for p in OUTSET])
     zeros = lambda n: F.array_repeat(F.lit(0.0), n)
-    state = tables.save(units.filter("unit > 0").select("key", "unit", "n", point.alias("best"), F.lit(-1e308).alias("value"), zeros(3).alias("slope"), zeros(9).alias("bend"), F.lit(0.01).alias("damp"), point.alias("trial"), F.lit(0.0).alias("promise")))
+    units = x.groupBy("key").agg(F.sqrt(F.sum("q") / F.sum("n")).alias("unit"), F.sum("n").alias("n"))
+    begun = {"best": point, "value": F.lit(-1e308), "slope": zeros(3), "bend": zeros(9), "damp": F.lit(0.01), "trial": point, "begun": F.lit(float("nan"))}
+    state = tables.save(units.select("key", "unit", "n", *[c.alias(name) for name, c in begun.items()], (F.col("unit") == 0).alias("done")))
     few, few_chunks = tables.is_small(state), tables.is_small(cut)
     last = None
     for _ in range(rounds):
-        found = _likelihood(cut, state, few, few_chunks)
-        both = state.join(found.withColumnRenamed("key", "__key"), F.col("key").eqNullSafe(F.col("__key")))
+        left = state.filter("NOT done")
+        if left.isEmpty():
+            break
+        found = _likelihood(cut, left, few, few_chunks)
+        both = left.join(found.withColumnRenamed("key", "__key"), F.col("key").eqNullSafe(F.col("__key")))
         path = tables.shared_folder(spark)
-        state = tables.save(both.drop("__key").mapInArrow(_stepped, f"key {kind}, unit double, n long, {STATE}"), path)
+        state = tables.save(both.drop("__key").mapInArrow(_steps(close), schema).unionByName(state.filter("done")), path)
         if last:
             tables.delete(spark, last)
         last = path
-        if (state.agg(F.max("promise")).first()[0] or 0.0) <= close:
-            break
-    e = [F.exp(F.get("best", F.lit(i))) for i in range(3)]
-    whole = 1 + e[1] + e[2]
-    fitted = state.select(
-        F.col("key").alias("__key"), (e[0] * F.col("unit") * F.col("unit")).alias("omega"), (e[1] / whole).alias("alpha"), (e[2] / whole).alias("beta"),
-        (F.col("value") - F.col("n") * F.log("unit")).alias("log_likelihood"), F.array_max(F.transform("slope", F.abs)).alias("slope"),
-    )
-    return units.join(fitted, F.col("key").eqNullSafe(F.col("__key")), "left").select(F.col("key").alias(key), "n", "omega", "alpha", "beta", "log_likelihood", "slope")
+    return state

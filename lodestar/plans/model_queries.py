@@ -45,9 +45,7 @@ def _(spark, d):
 @query("d_garch_fit", f"{LOG_SQL} SELECT ticker, count(*) AS n, TRUE AS inside, TRUE AS better FROM k WHERE ms > 0 GROUP BY 1", "prices")
 def _(spark, d):
     """The fitted point is allowed, and at least as likely as the one where the search begins."""
-    changes = log_changes(spark, d)
-    begun = fit.fit_garch(changes, rounds=1).select("ticker", F.col("log_likelihood").alias("begun"))
-    fitted = fit.fit_garch(changes).filter("omega IS NOT NULL").join(begun, "ticker")
+    fitted = fit.fit_garch(log_changes(spark, d)).filter("omega IS NOT NULL")
     return fitted.select("ticker", "n", F.expr("omega > 0 AND alpha >= 0 AND beta >= 0 AND alpha + beta < 1").alias("inside"), F.expr("log_likelihood >= begun").alias("better"))
 
 

@@ -182,3 +182,14 @@ def test_ensemble_weights_walk_forward_without_leaks(spark):
             assert weights == pytest.approx([1 / 3] * 3)
     one = spark.createDataFrame([("a", 1, 0.5), ("a", 2, None)], "ticker string, ts long, r double")
     assert ensemble.foresight(one, REGIMES, **NUMBERS).collect() == []
+
+
+def test_short_series_are_fitted_without_a_table_for_each_round(spark, monkeypatch):
+    series = {f"k{i}": garch_series(1e-4, 0.2, 0.7, 30 + 7 * i, i) for i in range(12)}
+    saved, save = [], fit.tables.save
+    monkeypatch.setattr(fit.tables, "save", lambda *a, **b: saved.append(1) or save(*a, **b))
+    got = {r["ticker"]: r for r in fit.fit_garch(table(spark, series)).collect()}
+    assert len(saved) <= 3
+    for k, r in series.items():
+        assert got[k]["log_likelihood"] == pytest.approx(garch_likelihood(r, *(got[k][c] for c in ("omega", "alpha", "beta"))), rel=1e-9)
+        assert got[k]["begun"] == pytest.approx(garch_likelihood(r, 0.1 * np.mean(r**2), 0.1, 0.8), rel=1e-9) and got[k]["begun"] <= got[k]["log_likelihood"]
