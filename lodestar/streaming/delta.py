@@ -43,12 +43,42 @@ class EvidenceLog(ListedTables):
         order = F.struct(F.col(self.version), F.xxhash64(*rows.columns))
         return rows.groupBy(F.col(self.key).alias("__key")).agg(F.max_by(whole, order).alias("row")).select("row.*")
 
+    def _standing(self, stored: DataFrame) -> DataFrame:
+        """Stored rows that no other of them has replaced: a key has one row of a version, and a replacement knows the one before."""
+        if "__was" not in stored.columns:
+            return stored
+        gone = stored.filter("__was IS NOT NULL").select(F.col(self.key).alias("__key"), F.col("__was.__old").alias("__version"))
+        same = F.col(self.key).eqNullSafe(F.col("__key")) & F.col(self.version).eqNullSafe(F.col("__version"))
+        return stored.drop("__was").join(F.broadcast(gone) if tables.is_small(gone) else gone, same, "left_anti")
+
+    def _entering(self, batch: DataFrame, verdicts: DataFrame) -> DataFrame:
+        """The batch's rows that are stored, one a key, with __was.
+
+        verdicts: (__key, __newest, __n, __was, enters) of the batch's keys.  Rows go through a shuffle only where more
+        than one has a key, or where neither the keys that enter nor the others are few.
+        """
+        k = F.col(self.key)
+        plain = F.col("enters") & (F.col("__n") == 1) & F.col("__was").isNull()
+        others, entering = verdicts.filter(~plain), verdicts.filter("enters")
+        if tables.is_small(entering):
+            rows = batch.join(F.broadcast(entering), k.eqNullSafe(F.col("__key")))
+        elif tables.is_small(others):
+            rows = batch.join(F.broadcast(others), k.eqNullSafe(F.col("__key")), "left").filter("enters IS NULL OR enters")
+        else:
+            rows = batch.join(verdicts, k.eqNullSafe(F.col("__key"))).filter("enters")
+        one = rows.filter("__n IS NULL OR __n = 1").select(*batch.columns, "__was")
+        several = rows.filter(F.col("__n") > 1).filter(F.col(self.version).eqNullSafe(F.col("__newest"))).select(*batch.columns, "__was")
+        order = F.struct(F.xxhash64(*batch.columns))
+        chosen = several.groupBy(k.alias("__group")).agg(F.max_by(F.struct(*several.columns), order).alias("row")).select("row.*")
+        return one.unionByName(chosen)
+
     def merge(self, batch: DataFrame, *, stream: str = "", number: int | None = None) -> int:
         """Stores what is newer than the stored rows; how many rows that is, 0 for a batch that was merged before.
 
         number: the batch's, given by the stream; without one the batch is taken as new.
         Of the stored rows only keys, versions and the counted columns are read.  They are
-        not shuffled while the batch has at most MOST_BROADCAST keys; beyond, both sides are.
+        not shuffled while the batch has at most MOST_BROADCAST keys; beyond, they and the batch's
+        keys and versions are.  The rest of a row is, where it has to be: see _entering().
         """
         at, listed = self._list()
         if number is not None and any(x.get("stream") == stream and x.get("number") == number for x in listed):
@@ -56,18 +86,18 @@ class EvidenceLog(ListedTables):
         spark, k, v = batch.sparkSession, self.key, self.version
         batch = batch.persist()
         try:
-            fresh, stored = self._newest(batch), self._read(spark, "rows")
+            stored = self._read(spark, "rows")
+            keys = batch.groupBy(F.col(k).alias("__key")).agg(F.max(v).alias("__newest"), F.count(F.lit(1)).alias("__n"))
             if stored is None:
-                changes = fresh.withColumn("__was", F.lit(None).cast("struct<ticker:string>"))
+                verdicts = keys.withColumns({"__was": F.lit(None).cast("struct<ticker:string>"), "enters": F.lit(True)})
             else:
-                keys = batch.select(F.col(k).alias("__batch_key")).distinct()
-                old = stored.select(F.col(k).alias("__key"), F.col(v).alias("__old"), F.struct(*self._counted()).alias("__counted"))
+                old = stored.select(F.col(k).alias("__stored"), F.col(v).alias("__old"), F.struct(*self._counted()).alias("__counted"))
                 if tables.is_small(keys):
-                    old = old.join(F.broadcast(keys), F.col("__key").eqNullSafe(F.col("__batch_key")), "left_semi")
-                old = old.groupBy("__key").agg(F.max(F.struct("__old", "__counted")).alias("__was"))
-                changes = fresh.join(old, F.col(k).eqNullSafe(F.col("__key")), "left").drop("__key")
-                newer = (F.col(v) > F.col("__was.__old")) | (F.col("__was.__old").isNull() & F.col(v).isNotNull())
-                changes = changes.filter(F.col("__was").isNull() | newer)
+                    old = old.join(F.broadcast(keys.select("__key")), F.col("__stored").eqNullSafe(F.col("__key")), "left_semi")
+                old = old.groupBy("__stored").agg(F.max(F.struct("__old", "__counted")).alias("__was"))
+                newer = (F.col("__newest") > F.col("__was.__old")) | (F.col("__was.__old").isNull() & F.col("__newest").isNotNull())
+                verdicts = keys.join(old, F.col("__key").eqNullSafe(F.col("__stored")), "left").drop("__stored").withColumn("enters", F.col("__was").isNull() | F.coalesce(newer, F.lit(False)))
+            changes = self._entering(batch, tables.save(verdicts, f"{self.path}/verdicts-{(passing := uuid.uuid4().hex)}"))
             name = uuid.uuid4().hex
             if stored is None:
                 changes.drop("__was").write.parquet(f"{self.path}/rows-{name}")
@@ -80,6 +110,7 @@ class EvidenceLog(ListedTables):
             sums = added.groupBy("ticker", "period").agg(F.sum("sign").alias("n"), F.sum(F.when(F.col("confidence").isNotNull(), F.col("sign"))).alias("known"), F.sum(F.col("sign") * F.col("confidence")).alias("total"))
             sums.write.parquet(f"{self.path}/tiers-{name}")
             kept = spark.read.parquet(f"{self.path}/rows-{name}").count()
+            tables.delete(spark, f"{self.path}/verdicts-{passing}")
         finally:
             batch.unpersist()
         entry = {"version": at + 1, "stream": stream, "number": number}
@@ -89,12 +120,12 @@ class EvidenceLog(ListedTables):
     def rows(self) -> DataFrame | None:
         """The newest row of each key; None in a new log."""
         stored = self._read(self.spark, "rows")
-        return None if stored is None else self._newest(stored.drop("__was"))
+        return None if stored is None else self._standing(stored)
 
     def changes(self, since: int = 0) -> tuple[int, DataFrame | None]:
         """(position, rows stored after position ``since``): what a reader that was there last has missed."""
         rows = self._read(self.spark, "rows", since)
-        return self._list()[0], None if rows is None else self._newest(rows.drop("__was"))
+        return self._list()[0], None if rows is None else self._standing(rows)
 
     def tiers(self) -> DataFrame | None:
         """(ticker, period, n, confidence) of the newest rows, from the batches' counts alone."""
