@@ -117,4 +117,4 @@ def test_texts_are_read_where_they_are_asked_for_only(spark, log, monkeypatch, s
     log.merge(spark.createDataFrame([row(1), row(2), row(2), row(3, note="a"), row(3, note="b")], SCHEMA))
     assert log.merge(spark.createDataFrame([row(2, 2), row(2, 3, note="last"), row(3, 1), row(4)], SCHEMA)) == 2
     assert [(r["id"], r["revision"]) for r in sorted(log.rows().collect())] == [(1, 1), (2, 3), (3, 1), (4, 1)]
-    assert "note" not in log.rows().select("id", "ticker")._jdf.queryExecution().optimizedPlan().toString()
+    assert "note" not in log.rows().select("id", "ticker")._jdf.queryExecution().executedPlan().toString()
