@@ -15,13 +15,12 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,7 +32,7 @@ from ..functions import text as X
 K1, B = 1.5, 0.75
 #: Kinds of postings: tokens of the sparse ranking, and tokens of term weights.
 RANK, TERM = 0, 1
-COUNTS = "kind int, docs long, known long, total long, terms array<string>, ids array<long>, oks array<boolean>, lens array<int>, sizes array<int>, codes array<int>, tfs array<int>"
+COUNTS = "kind int, docs long, known long, total long, terms array<string>, ids array<long>, oks array<boolean>, lens array<int>, sizes array<int>, codes array<int>, tfs array<int>, dfs array<int>"
 BLOCKS = "kind int, term string, level int, first long, n int, top double, ids array<long>, impacts array<double>, oks array<boolean>"
 #: Postings of a block, and texts counted in one row of counts.
 BLOCK, DOCUMENTS = 1024, 4096
@@ -66,7 +65,7 @@ class TextIndex:
 
 def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """Values cut into lists that end at ``ends``."""
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values, kind))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind))
 
 
 def _one(values, kind: pa.DataType) -> pa.ListArray:
@@ -77,23 +76,37 @@ def _batch(columns: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
 
-def count_tokens(texts: Sequence[str | None], drop: frozenset[str], only: frozenset[str] | None = None) -> tuple[list, list[int], list[int], array, array]:
-    """(terms, tokens of each text or -1 for a null, distinct terms of each, their codes, their counts).
+def count_tokens(texts: pa.Array, drop: frozenset[str], only: frozenset[str] | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, tokens of each text or -1 for a null, distinct terms of each, their codes, their counts, texts of each term).
 
-    drop: terms without counts; only: if given, no others have any.
+    Texts are tokens joined by a space.  drop: terms without counts; only: if given, no others
+    have any.  Terms stand in order, so that equal texts have equal lists wherever they are.
     """
-    code: dict[str, int] = {}
-    lens, sizes, codes, tfs = [], [], array("i"), array("i")
-    for s in texts:
-        words = s.split(" ") if s else []
-        seen = Counter(words if only is None else [w for w in words if w in only])
-        for w in drop & seen.keys():
-            del seen[w]
-        lens.append(-1 if s is None else len(words))
-        sizes.append(len(seen))
-        codes.extend(code.setdefault(w, len(code)) for w in seen)
-        tfs.extend(seen.values())
-    return list(code), lens, sizes, codes, tfs
+    words = pc.split_pattern(texts, " ")
+    parts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False)
+    lens = np.where(texts.is_null().to_numpy(zero_copy_only=False), -1, np.where(some, parts, 0)).astype(np.int32)
+    found = words.flatten().dictionary_encode()
+    terms, codes, doc = found.dictionary, found.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(parts)), parts)
+    use = ~pc.is_in(terms, pa.array(sorted(drop), terms.type)).to_numpy(zero_copy_only=False)
+    if only is not None:
+        use &= pc.is_in(terms, pa.array(sorted(only), terms.type)).to_numpy(zero_copy_only=False)
+    kept = use[codes] & some[doc]
+    codes, doc = codes[kept], doc[kept]
+    use[:] = False
+    use[codes] = True
+    order = pc.array_sort_indices(terms).to_numpy()
+    order = order[use[order]]
+    place = np.zeros(len(terms), np.int64)
+    place[order] = np.arange(len(order))
+    n = max(1, len(order))
+    pairs = doc * n + place[codes]
+    pairs = pairs.astype(np.uint32) if len(parts) * n < 1 << 32 else pairs
+    pairs.sort()
+    at = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, int)
+    tfs = np.diff(np.append(at, len(pairs))).astype(np.int32)
+    doc, codes = np.divmod(pairs[at].astype(np.int64), n)
+    return terms.take(pa.array(order)), lens, np.bincount(doc, minlength=len(parts)).astype(np.int32), codes.astype(np.int32), tfs, np.bincount(codes, minlength=len(order)).astype(np.int32)
 
 
 def _counted(kinds: Sequence[int], only: dict[int, frozenset[str]] | None = None):
@@ -106,11 +119,10 @@ def _counted(kinds: Sequence[int], only: dict[int, frozenset[str]] | None = None
                 b = whole.slice(at, DOCUMENTS)
                 ids, oks = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
                 for i, kind in enumerate(kinds):
-                    terms, lens, sizes, codes, tfs = count_tokens(b.column(2 + i).to_pylist(), stop if kind == TERM else frozenset(), only[RANK] if only and kind == RANK else None)
-                    codes, tfs = np.asarray(codes), np.asarray(tfs)
-                    known = [n for n in lens if n >= 0]
-                    numbers = [pa.array([n], t) for n, t in ((kind, pa.int32()), (len(lens), pa.int64()), (len(known), pa.int64()), (sum(known), pa.int64()))]
-                    lists = [_one(v, t) for v, t in ((terms, pa.string()), (ids, pa.int64()), (oks, pa.bool_()), (lens, pa.int32()), (sizes, pa.int32()), (codes, pa.int32()), (tfs, pa.int32()))]
+                    terms, lens, sizes, codes, tfs, dfs = count_tokens(b.column(2 + i), stop if kind == TERM else frozenset(), only[RANK] if only and kind == RANK else None)
+                    known = lens[lens >= 0]
+                    numbers = [pa.array([n], t) for n, t in ((kind, pa.int32()), (len(lens), pa.int64()), (len(known), pa.int64()), (int(known.sum(dtype=np.int64)), pa.int64()))]
+                    lists = [_one(v, t) for v, t in ((terms, pa.string()), (ids, pa.int64()), (oks, pa.bool_()), (lens, pa.int32()), (sizes, pa.int32()), (codes, pa.int32()), (tfs, pa.int32()), (dfs, pa.int32()))]
                     yield _batch([*numbers, *lists], COUNTS)
 
     return run
@@ -119,19 +131,17 @@ def _counted(kinds: Sequence[int], only: dict[int, frozenset[str]] | None = None
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """COUNTS to (term, df)."""
     for b in batches:
-        for terms, codes in zip(b.column("terms"), b.column("codes"), strict=True):
-            df = np.bincount(codes.values.to_numpy(), minlength=len(terms.values))
-            yield pa.RecordBatch.from_arrays([terms.values, pa.array(df.astype(np.int64))], names=["term", "df"])
+        for terms, dfs in zip(b.column("terms"), b.column("dfs"), strict=True):
+            yield pa.RecordBatch.from_arrays([terms.values, dfs.values.cast(pa.int64())], names=["term", "df"])
 
 
 def counted_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts, as tokens joined by a space, to (term, df, cf) of some thousand of them."""
     for whole in batches:
         for at in range(0, whole.num_rows, DOCUMENTS):
-            terms, _, _, codes, tfs = count_tokens(whole.column(0).slice(at, DOCUMENTS).to_pylist(), frozenset())
-            codes = np.array(codes, np.int64)
-            df, cf = np.bincount(codes, minlength=len(terms)), np.bincount(codes, np.array(tfs, float), len(terms))
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(df.astype(np.int64)), pa.array(cf.astype(np.int64))], names=["term", "df", "cf"])
+            terms, _, _, codes, tfs, df = count_tokens(whole.column(0).slice(at, DOCUMENTS), frozenset())
+            cf = np.bincount(codes, tfs, len(terms))
+            yield pa.RecordBatch.from_arrays([terms.cast(pa.string()), pa.array(df.astype(np.int64)), pa.array(cf.astype(np.int64))], names=["term", "df", "cf"])
 
 
 def levels(impacts: np.ndarray) -> np.ndarray:
@@ -216,12 +226,18 @@ class CountedTexts:
     """Texts read and counted once, of which indexes are made; counts: COUNTS, ``mean``: tokens of a text.
 
     An index of a few terms costs a pass over the counts, and no shuffle of postings.
+    ``only``: terms of the sparse ranking that were counted, None if all were.
     """
 
     counts: DataFrame
     documents: int
     mean: float
     vocabulary: dict[str, float]
+    only: frozenset[str] | None = None
+
+    def has(self, terms: dict[int, frozenset[str]] | None) -> bool:
+        """Whether all of these terms were counted, so that they can be indexed."""
+        return self.only is None or (terms is not None and terms[RANK] <= self.only)
 
     def index(self, only: dict[int, frozenset[str]] | None = None) -> TextIndex:
         """Postings of all terms, or of some by kind."""
@@ -250,10 +266,10 @@ def count(docs: DataFrame, rank: Column, term: Column, *, where: Column | None =
     docs_, known, total = counts.filter(F.col("kind") == kinds[0]).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("docs", "known", "total")]).first()
     vocabulary = {}
     if TERM in kinds:
-        df = counts.filter(F.col("kind") == TERM).select("terms", "codes").mapInArrow(_frequencies, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+        df = counts.filter(F.col("kind") == TERM).select("terms", "dfs").mapInArrow(_frequencies, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
         top = df.orderBy(F.desc("df"), "term").limit(most).collect()  # ``most`` rows at most
         vocabulary = {r.term: math.log((1.0 + docs_) / (1.0 + r.df)) + 1.0 for r in top}
-    return CountedTexts(counts, docs_, total / known if total else 1.0, vocabulary)
+    return CountedTexts(counts, docs_, total / known if total else 1.0, vocabulary, only[RANK] if only and RANK in only else None)
 
 
 def build(docs: DataFrame, rank: Column, term: Column, *, only: dict[int, frozenset[str]] | None = None, **more) -> TextIndex:

@@ -47,13 +47,18 @@ def run(docs: DataFrame, query: str, ticker: str, as_of: Column, *, rounds: int
     if not size:
         return out
     where = F.upper("ticker") == ticker if size > 10 else None
-    counted = retrieve.count_texts(docs, where=where)  # once for all rounds
+    # once for all rounds, of the words that the rules may ask for
+    possible = None if provider else retrieve.terms_of(retrieve.queries(spark, [(1, planner.words_of_rewrites(query, ticker))]))
+    counted = retrieve.count_texts(docs, where=where, only=possible)
     best: dict[int, float] = {}
     last: dict[int, float] = {}
     gone: set[int] = set()
     for i in range(1, rounds + 1):
         asked = retrieve.queries(spark, [(1, current)])
-        found = retrieve.hybrid(retrieve.index_of(counted, asked), asked, k)
+        terms = retrieve.terms_of(asked)
+        if not counted.has(terms):
+            counted = retrieve.count_texts(docs, where=where)
+        found = retrieve.hybrid(counted.index(terms), asked, k)
         if last:
             previous = spark.createDataFrame(list(last.items()), "id long, previous double")
             found = found.join(F.broadcast(previous), "id", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +50,12 @@ def rewritten(query: Column, gaps: Column, iteration: Column, ticker: Column) ->
     return F.when(kept, query).otherwise(F.substring(F.regexp_replace(out, X.EDGES, ""), 1, 250))
 
 
+def words_of_rewrites(query: str, ticker: str = "") -> str:
+    """A text with all words that rewritten() may use, but for one cut at the end of a long query."""
+    terms = " ".join([*S.ASPECT_TERMS.values(), S.LAST_RESORT])
+    return " ".join([ticker.upper(), query, terms, *re.findall(r"\w+", terms.lower()), "fundamental analysis"])
+
+
 def rewrite(spark: SparkSession, query: str, gaps: Sequence[str], iteration: int, ticker: str = "", provider: Callable[[str], str] | None = None) -> str:
     """rewritten() for one question; a provider, if given, is asked first, for a line of more than eight characters."""
     if provider and gaps and iteration > 1:
