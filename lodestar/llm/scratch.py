@@ -70,7 +70,9 @@ class Scratch:
 
     ``save`` writes a DataFrame as Parquet below the shared folder and reads it
     back: lost executors then cost a reread, not a recomputation, and files stay
-    compressed.  Tables are deleted by ``drop`` or when the driver ends.
+    compressed, with a codec that can be read in parts: of raw LZ4, Spark fails to read
+    dictionaries above 32 KB when it filters by them.  Tables are deleted by ``drop`` or
+    when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -87,7 +89,7 @@ class Scratch:
         except Exception:  # the JVM may be gone at exit; the folder is temporary
             pass
 
-    def save(self, df: DataFrame, codec: str = "lz4_raw") -> DataFrame:
+    def save(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", codec).parquet(path)

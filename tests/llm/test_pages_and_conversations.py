@@ -18,6 +18,13 @@ def archive(spark, rows, tmp_path, name="a"):
     return warc.write(df, f"file://{tmp_path}/{name}")
 
 
+def test_payloads_of_many_lengths(spark, tmp_path):
+    """So many in one file that the dictionary of lengths, by which payloads are filtered, is above 32 KB."""
+    rows = spark.range(10000).coalesce(1).selectExpr("id AS page_id", "'u' AS url", "repeat('x', CAST(id % 5000 AS INT) + 100) AS html")
+    kinds = warc.write(rows, f"file://{tmp_path}/many").read(spark).groupBy("record_type").agg(F.count(F.lit(1)), F.countDistinct("payload_digest"))
+    assert sorted(map(tuple, kinds.collect())) == [("response", 5000, 5000), ("revisit", 5000, 5000)]
+
+
 def test_records_come_back(spark, tmp_path):
     rng = random.Random(0)
     long = ["é<p>" * 40, "a" * 100, "b" * 99, "x\r\n\r\ny\x00" * 500, "z" * 3_000_000]
