@@ -29,6 +29,14 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, a * F.lit(float("inf"))).otherwise(F.try_divide(a, b))
 
 
+def nearest_places(x: Column, places: int) -> Column:
+    """Rounded as in DuckDB: the double times 10^places to the nearest whole number, halves away from 0.
+
+    F.round goes by the shortest decimal text instead, where a product just below a half counts as one.
+    """
+    return F.round(x * 10.0**places) / 10.0**places
+
+
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.least(x, F.lit(high)), F.lit(low))
 

@@ -38,3 +38,15 @@ def test_against_sql(spark, folder, name, events):
     names = [x[0] for x in result.description]
     want = [tuple(plain(r[names.index(x)]) for x in columns) for r in result.fetchall()]
     assert sorted(rows, key=repr) == sorted(want, key=repr)
+
+
+def test_changes_at_a_half_of_the_last_place(spark, tmp_path):
+    """Changes by multiples of 1 / 5120 end at a half of the ninth place, or a little below it as doubles."""
+    prices = [x for i in range(1, 5000) for x in (51.2, i / 100)]
+    rows = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=i), 1, "view", x, None) for i, x in enumerate(prices)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.seq: r.r for r in q.QUERIES["w6_pct_change"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {seq: r for _, seq, r in c.execute(q.ORACLE_SQL["w6_pct_change"]).fetchall()}
+    assert len(want) == len(prices) - 1 and got == want
