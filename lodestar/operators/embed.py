@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .. import tables
 from ..functions import text as X
 from . import retrieve
 
@@ -56,6 +57,7 @@ class TermEmbedder(Embedder):
         self.dims, self.most, self.vocabulary = dims, most, {}
 
     def fit(self, texts: DataFrame, column: str = "text") -> TermEmbedder:
+        tables.bound_batches(texts.sparkSession)
         statistics = retrieve.term_statistics(texts, X.term_tokens(F.col(column)))
         n = texts.agg(F.count(F.lit(1)).alias("n"))
         found = retrieve.vocabulary(statistics, n, self.most).collect()  # ``most`` rows at most

@@ -3,6 +3,8 @@
 import datetime as dt
 from collections import Counter
 
+import duckdb
+
 from lodestar.plans import extra_queries, queries as q  # noqa: F401  the former registers its queries
 from lodestar.sources import views
 
@@ -31,3 +33,17 @@ def test_projection_shuffles_no_texts(spark):
         assert "Exchange" not in plan and "Join" not in plan
     finally:
         spark.conf.set(name, before)
+
+
+def test_projection_is_of_whole_texts(spark, tmp_path):
+    """Texts that differ behind their first thousand letters only."""
+    own = [(i, "alpha beta gamma " * 60 + end) for i, end in enumerate(["", "delta epsilon " * 200, "zeta eta theta " * 400, "zeta eta theta " * 399])]
+    spark.createDataFrame(own, "doc_id long, text string").selectExpr("*", "'web' AS source").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, dt.datetime(2024, 1, 1))], "event_id long, ts timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(map(tuple, q.QUERIES["v8_projection"](spark, str(tmp_path)).collect()))
+    c = duckdb.connect()
+    for t in ("documents", "events", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(c.execute(q.ORACLE_SQL["v8_projection"]).fetchall())
+    assert got == want and len({r[1:] for r in got}) == 4
